@@ -1,0 +1,192 @@
+"""Removing every passage of L symbols that occurs anywhere else; shared by operators 2 and 6.
+
+1. *Parse.* A rolling hash over k symbols runs along each document. The smallest hash in each window
+   of L symbols (leftmost on a tie) is a trigger; windows with the same trigger form one phrase, which
+   reaches from the first symbol of its first window to the last of its last. Equal windows choose
+   their trigger at the same place, so each window belongs to exactly one phrase, and only phrases
+   with the same trigger hash can share a window. Phrases overlap; L - k + 1 windows is the longest.
+2. *Dictionary.* Phrases go to the bucket of their trigger hash. A phrase that occurs twice is
+   repeated as a whole. One that is alone under its trigger is unique as a whole.
+3. *Order.* What remains are phrases that share a trigger but differ: here a repeat begins or ends.
+   Their suffixes, cut at L symbols, are keyed and put in order across the corpus; equal neighbours
+   are repeats. A repeated phrase in such company puts in one of its occurrences for all.
+
+Each occurrence is judged on the input. The text travels with its chunk, compressed, so that documents
+are read once. A key is 64 bits under a trigger of 64 more. Cost grows with the input only: a passage
+of any number of copies adds one entry for each phrase and nothing for each pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import exchange as X
+from . import kernels as K
+
+#: What the dictionary says of a phrase.
+UNIQUE, REPEATED, MIXED, REPEATED_MIXED = 0, 1, 2, 3
+
+
+def phrases(vals: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, trigger hash, phrase hash) of all phrases, in order; windows are
+    positions in vals and never cross the documents that offs bounds."""
+    w, n = length - k + 1, vals.size
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    low = np.uint64((1 << 20) - 1)
+    doc_end = None
+    for a in range(0, max(0, n - length + 1), K.BLOCK):
+        b = min(n - length + 1, a + K.BLOCK)  # windows that start in [a, b)
+        part = vals[a : b + length - 1]
+        h = K.prefix(part)
+        _, inv = K.powers(h.size)
+        kh = K.mix((h[k:] - h[:-k]) * inv[: h.size - k])
+        at = np.arange(kh.size, dtype=np.uint64)
+        pick = (K.sliding_min((kh & ~low) | at, w) & low).astype(np.int64)  # of each window
+        if doc_end is None:
+            doc_end = offs[1:]
+        s = np.arange(a, b)
+        owner = np.searchsorted(doc_end, s, "right")
+        fits = s + length <= doc_end[owner]
+        new = np.empty(b - a, bool)
+        new[0] = True
+        new[1:] = (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], b - a)
+        # windows that don't fit lie at the end of a document: cut them off
+        good = np.concatenate([[0], np.cumsum(fits)])
+        count = good[ends] - good[first]
+        first, count = first[count > 0], count[count > 0]
+        p = pick[first]
+        out[0].append(first + a)
+        out[1].append(count)
+        out[2].append(kh[p])
+        out[3].append(K.mix(K.ranged(h, first, first + count - 1 + length) + (p - first).astype(np.uint64)))
+    if not out[0]:
+        z = np.zeros(0, np.int64)
+        return z, z, z.astype(np.uint64), z.astype(np.uint64)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def consult(blobs: list[bytes]) -> list[bytes]:
+    """The dictionary's answer for each phrase of a bucket."""
+    got = [X.parts(b, np.uint64, np.uint64) for b in blobs]
+    a, s = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+    order = np.lexsort((s, a))
+    a, s = a[order], s[order]
+    new_a = np.r_[True, a[1:] != a[:-1]]
+    new_s = new_a | np.r_[True, s[1:] != s[:-1]]
+    group, kind = np.cumsum(new_a) - 1, np.cumsum(new_s) - 1
+    in_group, in_kind = np.bincount(group)[group], np.bincount(kind)[kind]
+    say = np.where(in_group == 1, UNIQUE, np.where(in_kind == in_group, REPEATED, np.where(in_kind == 1, MIXED, np.where(new_s, REPEATED_MIXED, REPEATED)))).astype(np.uint8)
+    out = np.empty(a.size, np.uint8)
+    out[order] = say
+    ends = np.cumsum([x.size for x, _ in got])
+    return [K.pack(x) for x in np.split(out, ends[:-1])]
+
+
+def occurs_again(blobs: list[bytes]) -> list[bytes]:
+    """For each key of a bucket whether it is there twice: the keys put in order, neighbours compared."""
+    got = [X.parts(b, np.uint64)[0] for b in blobs]
+    x = np.concatenate(got)
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    same = np.zeros(x.size + 1, bool)
+    same[1:-1] = y[1:] == y[:-1]
+    out = np.empty(x.size, bool)
+    out[order] = same[1:] | same[:-1]
+    ends = np.cumsum([g.size for g in got])
+    return [K.pack(np.packbits(g)) for g in np.split(out, ends[:-1])]
+
+
+def _answers(order: np.ndarray, got: list[np.ndarray], dtype) -> np.ndarray:
+    out = np.empty(order.size, dtype)
+    if order.size:
+        out[order] = np.concatenate(got)
+    return out
+
+
+def remove(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, symbols: Callable, finish: Callable, schema: str) -> DataFrame:
+    """symbols(data, offs) -> (values, offsets of the documents in values, what finish needs);
+    finish(ids, data, offs, symbol offsets, extra, removed mask, values' size) -> RecordBatch."""
+    spark = docs.sparkSession
+    n = X.settle(spark)
+
+    def scan(batches):
+        def made():
+            for c, t in X.chunks(batches, "text"):
+                data, offs = K.text_buffer(t.column("text"))
+                vals, vo, _ = symbols(data, offs)
+                s0, count, trig, span = phrases(vals, vo, length, k)
+                bucket = X.bucket_of(trig, n)
+                order, sent = X.deal(c, bucket, trig, span)
+                yield c, -1, X.fields(K.pack(data.tobytes()), K.pack(offs), t.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), K.pack(s0), K.pack(count.astype(np.int32)), K.pack(bucket))
+                yield from sent
+
+        yield from X.batched(made())
+
+    def look(c, head, got):
+        text, offs, ids, s0, count, bucket = X.unfields(head)
+        s0, count, bucket = K.unpack(s0, np.int64), K.unpack(count, np.int32), K.unpack(bucket, np.int32)
+        say = _answers(np.argsort(bucket, kind="stable"), [K.unpack(x, np.uint8) for _, x in got], np.uint8)
+        ask = (say == MIXED) | (say == REPEATED_MIXED)
+        keys = at = np.zeros(0, np.int64)
+        if ask.any():
+            data, o = np.frombuffer(K.unpack(text), np.uint8), K.unpack(offs, np.int64)
+            vals, _, _ = symbols(data, o)
+            at = np.repeat(s0[ask], count[ask]) + K.sequences(count[ask])
+            keys = window_keys(vals, at, length)
+        bucket = X.bucket_of(keys.astype(np.uint64), n)
+        order, sent = X.deal(c, bucket, keys.astype(np.uint64))
+        yield from X.batched(iter([(c, -1, X.fields(text, offs, ids, K.pack(s0), K.pack(count), K.pack(say), K.pack(at), K.pack(bucket))), *sent]))
+
+    def end(c, head, got):
+        text, offs, ids, s0, count, say, at, bucket = X.unfields(head)
+        s0, count, say, at, bucket = K.unpack(s0, np.int64), K.unpack(count, np.int32), K.unpack(say, np.uint8), K.unpack(at, np.int64), K.unpack(bucket, np.int32)
+        data, o = np.frombuffer(K.unpack(text), np.uint8), K.unpack(offs, np.int64)
+        sizes = np.bincount(bucket)[np.unique(bucket)].tolist() if bucket.size else []
+        again = _answers(np.argsort(bucket, kind="stable"), [np.unpackbits(K.unpack(x, np.uint8), count=m).astype(bool) for (_, x), m in zip(got, sizes)], bool)
+        vals, vo, extra = symbols(data, o)
+        whole = (say == REPEATED) | (say == REPEATED_MIXED)
+        d = np.zeros(vals.size + 1, np.int32)
+        np.add.at(d, s0[whole], 1)
+        np.add.at(d, s0[whole] + count[whole] + (length - 1), -1)
+        np.add.at(d, at[again], 1)
+        np.add.at(d, at[again] + length, -1)
+        yield from finish(np.frombuffer(ids, np.int64), data, o, vo, extra, np.cumsum(d[:-1]) > 0)
+
+    src = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
+    sent = src.mapInArrow(scan, X.SCHEMA)
+    asked = X.by_chunk(X.by_bucket(sent, n, consult), n, look, X.SCHEMA)
+    return X.by_chunk(X.by_bucket(asked, n, occurs_again), n, end, schema)
+
+
+def window_keys(vals: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the windows that start at the given ascending positions."""
+    out = np.empty(at.size, np.uint64)
+    i = 0
+    while i < at.size:
+        a = int(at[i])
+        j = int(np.searchsorted(at, a + K.BLOCK, "left"))
+        h = K.prefix(vals[a : min(vals.size, a + K.BLOCK + length)])
+        out[i:j] = K.ranged(h, at[i:j] - a, at[i:j] - a + length)
+        i = j
+    return out
+
+
+def runs(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Number of maximal runs of True in each document."""
+    prev = np.r_[False, mask[:-1]] if mask.size else mask
+    prev = prev.copy()
+    prev[offs[:-1][offs[:-1] < offs[1:]]] = False
+    c = np.concatenate([[0], np.cumsum(mask & ~prev)])
+    return c[offs[1:]] - c[offs[:-1]]
+
+
+def binary_array(data: bytes, lens: np.ndarray) -> pa.Array:
+    o = np.zeros(lens.size + 1, np.int32)
+    np.cumsum(lens, out=o[1:])
+    return pa.Array.from_buffers(pa.binary(), lens.size, [None, pa.py_buffer(o.tobytes()), pa.py_buffer(data)])
