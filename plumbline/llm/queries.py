@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op02_substring_dedup import substring_dedup
+from .op05_packing import pack_documents
 from .op06_suffix_dedup import suffix_dedup
+from .op09_decontamination import decontaminate
 from .store import sf_table
 
 
@@ -18,10 +20,20 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
 
 
+def op5_packing(spark, sf_dir):
+    return pack_documents(_docs(spark, sf_dir), keep_ids=False)
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark, sf_dir):
+    got = decontaminate(_docs(spark, sf_dir), sf_table(spark, sf_dir, "benchmark"))
+    names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v) and v.__module__ == __name__}
 
