@@ -9,6 +9,7 @@ from .op02_substring_dedup import substring_dedup
 from .op05_packing import pack_documents
 from .op06_suffix_dedup import suffix_dedup
 from .op09_decontamination import decontaminate
+from .op10_jaccard_join import jaccard_join
 from .store import sf_table
 
 
@@ -34,6 +35,10 @@ def op9_decontamination(spark, sf_dir):
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at")
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join(_docs(spark, sf_dir))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v) and v.__module__ == __name__}
 
