@@ -180,10 +180,10 @@ def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def pack(x: np.ndarray | bytes) -> bytes:
+def pack(x: np.ndarray | bytes, level: int = 1) -> bytes:
     """zstd with the length in front."""
     b = x if isinstance(x, bytes) else x.tobytes()
-    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
+    return len(b).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(b, asbytes=True)
 
 
 def unpack(b: bytes, dtype=None):

@@ -123,7 +123,7 @@ def remove(docs: DataFrame, id_col: str, text_col: str, length: int, k: int, sym
                 s0, count, trig, span = phrases(vals, vo, length, k)
                 bucket = X.bucket_of(trig, n)
                 order, sent = X.deal(c, bucket, trig, span)
-                yield c, -1, X.fields(K.pack(data.tobytes()), K.pack(offs), t.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), K.pack(s0), K.pack(count.astype(np.int32)), K.pack(bucket))
+                yield c, -1, X.fields(K.pack(data.tobytes(), 3), K.pack(offs), t.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), K.pack(s0), K.pack(count.astype(np.int32)), K.pack(bucket))
                 yield from sent
 
         yield from X.batched(made())
