@@ -206,10 +206,17 @@ def candidates(sets: DataFrame, threshold: int, rare: int, n: int) -> DataFrame:
             new = np.r_[True, k[1:] != k[:-1]]
             first = d[np.flatnonzero(new)][np.cumsum(new) - 1]
             e = np.unique(np.stack([first, d], 1)[first != d], axis=0)
+            yield from X.batched(iter(X.deal(0, X.bucket_of(K.mix(e[:, 1].astype(np.uint64)), n), e[:, 0], e[:, 1])[1]))
+
+    def distinct(batches):  # a document's edges from all keys meet here
+        held = [np.stack(X.parts(x, np.int64, np.int64), 1) for _, _, x in X._loose(batches)]
+        if held:
+            e = np.unique(np.concatenate(held), axis=0)
             for i in range(0, len(e), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(e[i : i + 100_000, 0]), pa.array(e[i : i + 100_000, 1])], names=["a", "b"])
 
-    return sets.select("doc_id", "n_shingles", "toks", "dfs").mapInArrow(index, X.SCHEMA).repartitionById(n, "bucket").mapInArrow(stars, "a long, b long")
+    keyed = sets.select("doc_id", "n_shingles", "toks", "dfs").mapInArrow(index, X.SCHEMA).repartitionById(n, "bucket")
+    return keyed.mapInArrow(stars, X.SCHEMA).repartitionById(n, "bucket").mapInArrow(distinct, "a long, b long")
 
 
 def search(ids: np.ndarray, sizes: np.ndarray, toks: list[np.ndarray], threshold: int) -> np.ndarray:
