@@ -21,13 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import ship
+
 SCHEMA = "chunk long, bucket int, blob binary"
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 CHUNK_BYTES = 6 << 20
 
 
 def settle(spark: SparkSession) -> int:
-    """Bounds the Arrow batches of this session and gives the number of buckets."""
+    """Makes the session ready for Python workers with bounded Arrow batches; gives the number of buckets."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if str(spark.conf.get(key)) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, "8m")
