@@ -1,4 +1,64 @@
-STAGES = []
+"""The corpus pipeline: quality, line dedup, near-duplicate documents, decontamination, packing.
+
+Each stage reads all that the one before kept, from Parquet, and all but the last return the columns of
+``documents``. The rows that a stage returns are its decision.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.op01_quality import quality
+from plumbline.llm.op05_packing import pack_documents
+from plumbline.llm.op07_line_dedup import line_dedup
+from plumbline.llm.op09_decontamination import decontaminate
+from plumbline.llm.op10_jaccard_join import jaccard_join
+from plumbline.llm.store import sf_table, shared_dir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    kept = quality(docs, sf_table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs.doc_id == F.col("kept_id"), "left_semi")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of near copies stays; n_chars follows the text."""
+    out = line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of linked ones stays."""
+    kept = jaccard_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs.doc_id == F.col("kept_id"), "left_semi")
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    gone = decontaminate(docs, sf_table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs.doc_id == F.col("gone_id"), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack_documents(docs, keep_ids=False)
+
+
+STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("n-gram Jaccard join", near_stage), ("benchmark decontamination", benchmark_stage), ("packing", packing_stage)]
+#: Most stages can't be put in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and read again."""
+    shared_dir(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = sf_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
