@@ -16,7 +16,8 @@ from plumbline.llm.op05_packing import pack_documents
 from plumbline.llm.op07_line_dedup import line_dedup
 from plumbline.llm.op09_decontamination import decontaminate
 from plumbline.llm.op10_jaccard_join import jaccard_join
-from plumbline.llm.store import sf_table, shared_dir
+from plumbline.llm.store import sf_table
+from plumbline.operators.store import shared_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read again."""
-    shared_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = sf_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")

@@ -1,24 +1,9 @@
-"""Where operators cut lineage: the shared folder of ``spark.checkpoint.dir``."""
+"""Reading the corpus tables."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Uses the session's checkpoint folder; one is set only where there is none (tests, local mode)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder (reliable checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sf_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
