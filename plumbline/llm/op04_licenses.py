@@ -1,6 +1,6 @@
 """Operator 4, license scans by canonical digest lookup.
 
-A text's canonical form folds A-Z, drops lines that name a copyright, writes equivalent spellings one way and
+A text's canonical form folds A-Z, drops lines that begin with a copyright notice, writes equivalent spellings one way and
 turns every run of other ASCII than letters and digits into one space. Its SHA-256 is joined with the digests
 of the known licences, made by the same expressions. The catalogue is a fixed list of some kilobytes (or a
 given table), so the join may broadcast it once its size is known. Only whole texts match.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_NOTICE = r"(^|\n)[^\n]*(copyright|all rights reserved|\(c\) [0-9])[^\n]*"
+_NOTICE = r"(^|\n)[ \t]*(copyright|all rights reserved|\(c\))[^\n]*"
 #: Equivalent spellings, as written after folding.
 SPELLINGS = [("sub-licen", "sublicen"), ("licence", "license"), ("https:", "http:"), ("favour", "favor"), ("organisation", "organization"), ("per cent", "percent"), ("noninfringement", "non-infringement"), ("&", " and ")]
 
@@ -51,7 +51,7 @@ KNOWN = [
 def canonical(text):
     """The canonical form as a column; every copyright notice is dropped with its line."""
     t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    notice = t.contains("copyright") | t.contains("all rights reserved") | t.contains("(c) ")
+    notice = t.contains("copyright") | t.contains("all rights reserved") | t.contains("(c)")
     t = F.when(notice, F.regexp_replace(t, _NOTICE, "$1")).otherwise(t)
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(a), F.lit(b))
