@@ -17,7 +17,7 @@ words empty). Two documents link when 100 * intersection >= threshold * union.
 5. Each candidate component is verified with whole sets: a breadth-first search counts one document's
    common shingles with all unvisited ones at once, and takes out those it reaches; copies leave at the
    first count, so no pair is listed. A component of more than ``block_tokens`` shingles is split into
-   blocks, and every pair of blocks is searched as a task of its own; the links found are united.
+   blocks (``verified``); the links found in them are united.
 
 Nothing is capped. Nulls and texts without words give n_shingles 0 and their own class. Repeated rows are one
 class; rows of one id with other texts are judged each. Shingles are told apart by 48 bits of a hash, of which
@@ -258,13 +258,8 @@ def search(ids: np.ndarray, sizes: np.ndarray, toks: list[np.ndarray], threshold
     return label
 
 
-def verified(members: DataFrame, threshold: int, block_tokens: int, n: int) -> DataFrame:
-    """Links (a, b), enough to connect what is connected. members: comp, doc_id, n_shingles, toks."""
-    members = cut(members)
-    size = members.groupBy("comp").agg(F.ceil(F.sum(F.length("toks")) / (6 * block_tokens)).cast("int").alias("blocks"))
-    m = members.join(size, "comp").withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "n_shingles", "toks")
+def _searched(m: DataFrame, threshold: int, n: int) -> DataFrame:
+    """Links (a, b) that connect what is connected within each (comp, i, j). m: comp, i, j, doc_id, n_shingles, toks."""
 
     def run(batches):
         def tested(rows):
@@ -285,10 +280,37 @@ def verified(members: DataFrame, threshold: int, block_tokens: int, n: int) -> D
                 rows.append(r)
         yield from tested(rows)
 
-    return m.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "a long, b long")
+    return m.select("comp", "i", "j", "doc_id", "n_shingles", "toks").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "a long, b long")
+
 
+def verified(members: DataFrame, threshold: int, block_tokens: int, n: int, leaders: int = 64) -> DataFrame:
+    """Links (a, b), enough to connect what is connected. members: comp, doc_id, n_shingles, toks.
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75, rare: int = 64, block_tokens: int = 2 << 20) -> DataFrame:
+    A component of one block is searched as it is. In a larger one, each block is searched together with
+    some ``leaders``, which unites nearly all of a group of near copies. Then the documents that are still
+    outside the component's largest class, in blocks of their own, are searched with every block; two
+    documents of the largest class need no look at each other. So copies cost their number, not its square."""
+    members = cut(members)
+    size = members.groupBy("comp").agg(F.ceil(F.sum(F.length("toks")) / (6 * block_tokens)).cast("int").alias("blocks"), F.greatest(F.lit(1).cast("long"), (F.count(F.lit(1)) / leaders).cast("long")).alias("every"))
+    m = members.join(size, "comp").withColumn("j", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).otherwise(0).cast("int"))
+    lead = m.where("blocks > 1").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("every")) == 0)
+    lead = lead.withColumn("own", F.col("j")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> j").drop("own")
+    first = cut(_searched(m.unionByName(lead).withColumn("i", F.lit(-1)), threshold, n))
+    if m.where("blocks > 1").isEmpty():
+        return first
+    label = components(first).withColumnRenamed("node", "doc_id")
+    large = m.where("blocks > 1").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    main = large.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    rest = large.join(main, "comp").where("label <> main").drop("main", "label", "every")
+    parts = rest.groupBy("comp").agg(F.ceil(F.sum(F.length("toks")) / (6 * block_tokens)).cast("int").alias("parts"))
+    rest = rest.join(parts, "comp").withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")).cast("int"))
+    rest = rest.drop("j").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = m.where("blocks > 1").join(parts, "comp").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols = ["comp", "i", "j", "doc_id", "n_shingles", "toks"]
+    return first.unionAll(_searched(every.select(*cols).unionAll(rest.select(*cols)), threshold, n))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75, rare: int = 64, block_tokens: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id that links lead to)."""
     n = X.settle(docs.sparkSession)
     src = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
