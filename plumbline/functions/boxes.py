@@ -81,3 +81,35 @@ def ring(at: str | None = None) -> Column:
     """The box as a closed counter-clockwise ring."""
     p = lambda x, y: F.struct(_c(x, at).alias("x"), _c(y, at).alias("y"))
     return F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("x0", "y0"))
+
+
+def _gap(lo: str, hi: str, a: str, b: str) -> Column:
+    return F.greatest(F.lit(0.0), _c(lo, a) - _c(hi, b), _c(lo, b) - _c(hi, a))
+
+
+def distance(a: str, b: str) -> Column:
+    """Least distance between two footprints; 0 if they touch."""
+    return F.sqrt(_gap("x0", "x1", a, b) ** 2 + _gap("y0", "y1", a, b) ** 2)
+
+
+def centroid_distance(a: str, b: str) -> Column:
+    mid = lambda lo, hi, at: (_c(lo, at) + _c(hi, at)) / 2
+    return F.sqrt((mid("x0", "x1", a) - mid("x0", "x1", b)) ** 2 + (mid("y0", "y1", a) - mid("y0", "y1", b)) ** 2)
+
+
+def hausdorff_distance(a: str, b: str) -> Column:
+    """The largest distance from a point of either footprint to the other; for boxes a corner takes it."""
+    off = lambda p, lo, hi, at: F.greatest(F.lit(0.0), _c(lo, at) - p, p - _c(hi, at))
+    far = lambda s, t: F.greatest(*(F.sqrt(off(_c(x, s), "x0", "x1", t) ** 2 + off(_c(y, s), "y0", "y1", t) ** 2) for x in ("x0", "x1") for y in ("y0", "y1")))
+    return F.greatest(far(a, b), far(b, a))
+
+
+def difference_area(a: str, b: str) -> Column:
+    """Area of the symmetric difference of the footprints."""
+    return area(a) + area(b) - 2 * plan_overlap(a, b)
+
+
+def clipped(a: str, b: str) -> Column:
+    """The intersection of the footprints as a box, or null without area."""
+    c = [F.greatest(_c("x0", a), _c("x0", b)), F.greatest(_c("y0", a), _c("y0", b)), F.least(_c("x1", a), _c("x1", b)), F.least(_c("y1", a), _c("y1", b))]
+    return F.when((c[2] > c[0]) & (c[3] > c[1]), F.struct(*(x.alias(n) for x, n in zip(c, ("x0", "y0", "x1", "y1")))))

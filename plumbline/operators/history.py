@@ -93,3 +93,36 @@ def lineage(links: DataFrame, seeds: DataFrame, stages: list[str]) -> DataFrame:
 
 def derived_by_stage(links: DataFrame) -> DataFrame:
     return links.groupBy("stage").agg(F.count_distinct("object_id").alias("objects"), F.count_distinct("parent_id").alias("parents"))
+
+
+#: Methods that are arithmetic; a link by one of them names no model.
+ALGORITHMIC = ["ALGORITHM", "MANUAL"]
+
+
+def record_links(links: DataFrame, new: DataFrame, stages: list[str]) -> DataFrame:
+    """links and those of new with a known stage that don't claim a model for an algorithmic method; a link
+    (object, parent, stage) that is there already is not added again."""
+    good = new.where(F.col("stage").isin(*stages) & ~(F.col("method").isin(*ALGORITHMIC) & F.col("model_name").isNotNull()))
+    keys = ["object_id", "parent_id", "stage"]
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]
+    return links.unionByName(good.dropDuplicates(keys).alias("n").join(links.alias("l"), same, "left_anti"), allowMissingColumns=True)
+
+
+def sources_behind(links: DataFrame, seeds: DataFrame, sources: DataFrame) -> DataFrame:
+    """Of each seed the sources (object_id, source_id) of itself and its descendants, in order."""
+    down = walk(links, seeds, False).join(sources, "object_id")
+    return down.groupBy("seed").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"))
+
+
+def processing_history(links: DataFrame, seeds: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs (object_id, job_id) of each seed and its ancestors, nearest first."""
+    return walk(links, seeds, True).join(jobs, "object_id").groupBy("seed", "job_id").agg(F.min("depth").alias("depth"))
+
+
+def append_audit(log: DataFrame, rows: DataFrame, actions: list[str]) -> DataFrame:
+    """log and the rows with a known action."""
+    return log.unionByName(rows.where(F.col("action").isin(*actions)), allowMissingColumns=True)
+
+
+def quality_summary(df: DataFrame, by: str, quality, size) -> DataFrame:
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(quality).alias("least"), F.max(quality).alias("most"), F.sum(size).alias("total"))

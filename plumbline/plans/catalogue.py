@@ -284,3 +284,31 @@ _JOBS = "SELECT o_orderkey AS id, concat('DS-', o_custkey % 20) AS source_id, co
 query("source_status_rollup", f"SELECT source_id, CASE WHEN bool_or(status = 'FAILED') THEN 'FAILED' WHEN bool_or(status = 'RUNNING') THEN 'RUNNING' WHEN bool_and(status = 'DONE') THEN 'DONE' ELSE 'PENDING' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY source_id, job_type ORDER BY created_at DESC, id DESC) AS rn FROM ({_JOBS}) j) q WHERE rn = 1 GROUP BY 1")(
     lambda c: store.status_rollup(c.spark.sql(_JOBS.replace("FROM orders", "FROM {orders}"), orders=c.orders))
 )
+
+# --- more geometry and history ------------------------------------------------------------------
+
+_GX, _GY = "greatest(0e0, a.x0 - b.x1, b.x0 - a.x1)", "greatest(0e0, a.y0 - b.y1, b.y0 - a.y1)"
+_MID = "sqrt(power((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2, 2) + power((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2, 2))"
+query("geom_distances", f"SELECT a.id, round(sqrt(power({_GX}, 2) + power({_GY}, 2)), 6) AS least, round({_MID}, 6) AS centroid FROM properties a JOIN infrastructure b ON a.seq % 50 = b.seq % 50", "properties", "infrastructure")(
+    lambda c: c.properties.alias("a").join(c.infrastructure.alias("b"), F.col("a.seq") % 50 == F.col("b.seq") % 50).select("a.id", F.round(B.distance("a", "b"), 6).alias("least"), F.round(B.centroid_distance("a", "b"), 6).alias("centroid"))
+)
+query("geom_difference", f"SELECT a.id, {_SYM} AS difference, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1 {_BOTH} WHERE {_PLAN} > 0", "properties", "survey")(
+    lambda c: c.properties.alias("a").join(c.survey.alias("b"), "id").select("id", B.difference_area("a", "b").alias("difference"), B.clipped("a", "b").alias("k")).where("k is not null").select("id", "difference", "k.x0", "k.x1")
+)
+query("record_links", "SELECT object_id, parent_id, stage FROM links UNION ALL SELECT concat('NEW-', object_id), object_id, 'PROPERTY_VOLUME' FROM links WHERE stage = 'FLOOR_SEGMENTATION'", "links")(
+    lambda c: history.record_links(
+        c.links,
+        c.links.where("stage = 'FLOOR_SEGMENTATION'").select(F.concat(F.lit("NEW-"), "object_id").alias("object_id"), F.col("object_id").alias("parent_id"), F.explode(F.array(F.lit("PROPERTY_VOLUME"), F.lit("NO_SUCH_STAGE"))).alias("stage"), F.lit("ALGORITHM").alias("method"), F.lit(None).cast("string").alias("model_name"))
+        .unionByName(c.links.withColumns({"method": F.lit("MODEL"), "model_name": F.lit("m")})),
+        STAGE_ORDER,
+    ).select("object_id", "parent_id", "stage")
+)
+query("sources_behind", "SELECT concat('N', n_nationkey) AS seed, string_agg(DISTINCT s, ',' ORDER BY s) AS sources FROM (SELECT n_nationkey, concat('DS-', o_orderkey % 9) AS s FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey) q GROUP BY 1")(
+    lambda c: history.sources_behind(c.links, c.links.where("stage = 'POINT_CLOUD'"), c.orders.select(F.concat(F.lit("O"), "o_orderkey").alias("object_id"), F.concat(F.lit("DS-"), (F.col("o_orderkey") % 9).cast("string")).alias("source_id")))
+)
+query("processing_history", "SELECT concat('O', o_orderkey) AS seed, concat('J', c_nationkey % 4) AS job_id, 2 AS depth FROM orders JOIN customer ON o_custkey = c_custkey")(
+    lambda c: history.processing_history(c.links, c.links.where("stage = 'FLOOR_SEGMENTATION'"), c.nation.select(F.concat(F.lit("N"), "n_nationkey").alias("object_id"), F.concat(F.lit("J"), (F.col("n_nationkey") % 4).cast("string")).alias("job_id")))
+)
+query("audit_by_actor", "SELECT id, action FROM audit WHERE actor = 'actor3' AND action = 'REJECT' ORDER BY ts DESC, id DESC LIMIT 20", "audit")(lambda c: history.recent(c.audit, 20, "REJECT", "actor3").select("id", "action"))
+query("quality_summary", f"SELECT floor_number, count(*) AS n, min(z_max - z_min) AS least, max(z_max - z_min) AS most, sum({area_sql()}) AS total FROM properties GROUP BY 1", "properties")(lambda c: history.quality_summary(c.properties, "floor_number", B.height(), B.area()))
+query("jobs_by_source", f"SELECT id, job_type, status FROM ({_JOBS}) j WHERE source_id = 'DS-3'")(lambda c: c.spark.sql(_JOBS.replace("FROM orders", "FROM {orders}"), orders=c.orders).where("source_id = 'DS-3'").select("id", "job_type", "status"))

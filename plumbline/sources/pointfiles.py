@@ -158,3 +158,22 @@ def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     g = F.from_json("value", "features array<string>, crs struct<properties: struct<name: string>>")
     return f.select("file", F.coalesce(F.size(g["features"]), F.lit(0)).alias("features"), F.when(F.get_json_object("value", "$.crs").isNull(), "EPSG:4326").otherwise(F.coalesce(g["crs"]["properties"]["name"], F.lit("UNKNOWN"))).alias("crs"))
+
+
+#: Extension -> kind of source.
+KINDS = {"geojson": "GEOJSON", "json": "FLOOR_PLAN", "csv": "CSV", "las": "POINT_CLOUD", "laz": "POINT_CLOUD", "ply": "POINT_CLOUD", "tif": "RASTER", "tiff": "RASTER", "pdf": "DOCUMENT"}
+
+
+def sources(spark: SparkSession, path: str) -> DataFrame:
+    """Any files as sources: name, kind by extension, bytes and hash; contents aren't parsed."""
+    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
+    kinds = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.coalesce(kinds[ext], F.lit("OTHER")).alias("source_type"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def density(headers_: DataFrame) -> DataFrame:
+    """Points a square metre of a metric header's extent; null where that is undefined."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    from plumbline.functions.crs import is_metric
+
+    return headers_.withColumn("density", F.when(is_metric(F.col("crs")) & (area > 0), F.col("point_count") / area))
