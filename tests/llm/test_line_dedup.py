@@ -84,3 +84,16 @@ def test_empty_and_repeated(spark):
     assert near_lines(frame(spark, [(1, "a\nb"), (2, "")], "doc_id long, text string", 1)).count() == 0
     got = line_dedup(frame(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string", 1)).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c"), (1, "a b c"), (2, "")]
+
+
+def test_every_character_counts(spark):
+    r = random.Random(3)
+    tail = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    clean = ["https://www.example.org/archive/" + tail(60) for _ in range(30)]
+    clean += ["天地玄黄宇宙洪荒日月盈昃辰宿列張寒来暑往秋収冬蔵閏余" + "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(60)) for _ in range(30)]
+    clean += ["one word of old files\r" + tail(60) for _ in range(5)]
+    body = tail(400)
+    near = [tail(24) + body for _ in range(10)]  # other first characters, the same hundreds after them
+    rows = [(i, x) for i, x in enumerate(clean + near)]
+    got = {r.doc_id: r.keep_doc for r in near_lines(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == {i: len(clean) for i in range(len(clean) + 1, len(rows))}
