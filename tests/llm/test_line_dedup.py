@@ -97,3 +97,29 @@ def test_every_character_counts(spark):
     rows = [(i, x) for i, x in enumerate(clean + near)]
     got = {r.doc_id: r.keep_doc for r in near_lines(frame(spark, rows, "doc_id long, text string")).collect()}
     assert got == {i: len(clean) for i in range(len(clean) + 1, len(rows))}
+
+
+def test_crowded_bands(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+
+    def noisy(words, k):
+        w = list(words)
+        for _ in range(k):
+            w[r.randrange(len(w))] = word()
+        return w
+
+    opening, base = [word() for _ in range(45)], [word() for _ in range(60)]
+    template = []
+    for _ in range(700):  # of one opening, each with an own end and a near copy
+        end = [word() for _ in range(30)]
+        template += [opening + end, opening + noisy(end, 2)]
+    lines = [[" ".join(w) for w in g] for g in (template, [noisy(base, r.choice([1, 2, 2, 3, 3, 4])) for _ in range(1500)])]
+    for g in lines:
+        r.shuffle(g)
+        rows = list(enumerate(g))
+        want = {at[0]: keep[0] for at, keep in brute(rows).items()}
+        got = {x.doc_id for x in near_lines(frame(spark, rows, "doc_id long, text string")).collect()}
+        gone = {d for d, keep in want.items() if d != keep}
+        assert len(gone) > 500 and got <= gone
+        assert len(gone - got) <= 0.03 * len(gone)
