@@ -64,17 +64,18 @@ def classify(points: DataFrame, cell: float = CELL, passes: int = 2) -> DataFram
 def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """DBSCAN in plan: (id, cluster), noise left out. A point is core with min_samples points (itself
     included) within eps; core points within eps unite; a border point joins its least core's cluster. The
-    label is the least core id. Cells of side eps / sqrt(2) unite their cores without looking at pairs, so
-    a dense cell costs its points and not their pairs."""
+    label is the least core id. Points of one place count as one with their number as weight. Cells of side
+    eps / sqrt(2) unite their cores without looking at pairs."""
     side = eps / 2**0.5
-    p = with_cell(points.select("id", "x", "y"), side)
+    places = points.groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
+    p = with_cell(places, side)
     reach = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4))
-    sent = p.withColumn("s", F.explode(reach)).select((F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    full = p.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"))
+    sent = p.withColumn("s", F.explode(reach)).select((F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"), F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
+    full = p.groupBy("ix", "iy").agg(F.sum("w").alias("n"))
     p = p.join(full, ["ix", "iy"])
     close = (F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 <= eps * eps
     few = p.where(F.col("n") < min_samples)  # points of fuller cells are core at once
-    counted = few.join(sent, ["ix", "iy"]).where(close).groupBy("id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_samples).select("id")
+    counted = few.join(sent, ["ix", "iy"]).where(close).groupBy("id").agg(F.sum("w2").alias("m")).where(F.col("m") >= min_samples).select("id")
     from plumbline.operators.components import components
     from plumbline.operators.store import cut
 
@@ -87,7 +88,8 @@ def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES
     label = components(inside.unionAll(near).where("id <> id2"), "id", "id2").withColumnsRenamed({"node": "id", "label": "cluster"})
     of_core = core_ids.join(label, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
     rest = p.join(core_ids, "id", "left_anti").join(sent, ["ix", "iy"]).where(close).join(of_core.withColumnRenamed("id", "id2"), "id2")
-    return of_core.unionAll(rest.groupBy("id").agg(F.min_by("cluster", "id2").alias("cluster")))
+    out = of_core.unionAll(rest.groupBy("id").agg(F.min_by("cluster", "id2").alias("cluster")))
+    return points.select("id", "x", "y").join(places.join(out, "id").select("x", "y", "cluster"), ["x", "y"]).select("id", "cluster")
 
 
 def buildings(points: DataFrame, min_points: int = MIN_POINTS, min_area: float = MIN_AREA) -> DataFrame:

@@ -242,7 +242,7 @@ query("histogram_smooth5", "SELECT building, bin, sum(n) OVER (PARTITION BY buil
 )
 query("storey_spacing_check", "SELECT f.id, f.building_id, z_max - z_min AS height, mid FROM floors f JOIN (SELECT building_id, quantile_cont(z_max - z_min, 0.5) AS mid FROM floors GROUP BY 1) m ON f.building_id = m.building_id WHERE abs(z_max - z_min - mid) > 0.15 * mid", "floors")(lambda c: pointcloud.spacing_check(c.floors))
 query("coverage_ratio", "SELECT building, hit, hit / ((b - a + 1) * (d - c + 1)) AS coverage FROM (SELECT building, count(DISTINCT (ix, iy)) AS hit, max(ix) AS b, min(ix) AS a, max(iy) AS d, min(iy) AS c FROM (SELECT building, floor(x) AS ix, floor(y) AS iy FROM points) p GROUP BY 1) q", "points")(lambda c: pointcloud.coverage(c.points))
-query("dbscan_clusters")(lambda c: pointcloud.clusters(c.points.where("building = 0")))
+query("dbscan_clusters")(lambda c: pointcloud.clusters(c.points))
 query("ground_classify")(lambda c: pointcloud.classify(c.points).select("id", "ground_z", "height", "is_ground"))
 query("storey_levels")(lambda c: pointcloud.storeys(c.points.withColumnRenamed("z", "height")))
 

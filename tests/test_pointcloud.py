@@ -68,6 +68,16 @@ def test_clusters_against_definition(spark):
     assert {r.id: r.cluster for r in PC.clusters(df, 1.0, 5).collect()} == brute_dbscan(p, 1.0, 5)
 
 
+def test_cluster_query_takes_all_points(spark):
+    from __spark_entry__ import queries
+    from plumbline.llm.store import sf_table
+
+    e = sf_table(spark, "/root/testdata/sf0.001", "events").selectExpr("event_id", "double(event_id % 100)", "double(user_id % 40)").orderBy("event_id").collect()
+    want = brute_dbscan(np.array([r[1:] for r in e]), PC.EPS, PC.MIN_SAMPLES)
+    got = {r.id: r.cluster for r in queries()["dbscan_clusters"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {e[i].event_id: e[c].event_id for i, c in want.items()}
+
+
 def test_storeys(spark):
     rng = np.random.default_rng(41)
     h = [z + rng.normal(0, 0.03) for k in range(1, 6) for z in [3.2 * k] * 900] + list(rng.uniform(0, 16, 900))
