@@ -1,9 +1,9 @@
-"""Operator 2, substring dedup by relative Lempel-Ziv parsing, over words.
+"""Operator 2, substring dedup over words, by a hash exchange of winnowed phrases in place of relative Lempel-Ziv.
 
-The reference is the corpus itself, indexed in hash blocks. A document is factored greedily from left
-to right into phrases (``repeats``); a phrase that a reference block holds elsewhere is a factor of the
-document, and neighbouring ones join into one long factor. Where a factor begins or ends, the words
-beside it are checked window by window, so that a factor's bounds are exact. A word is removed if it is
+There is no greedy longest factor against a reference: a document is cut into phrases at the smallest rolling
+hash of each window (``repeats``, as operator 6), and a phrase that the corpus holds elsewhere is repeated;
+neighbouring ones join. Where a repeat begins or ends, the words beside it are checked window by window,
+so that its bounds are exact. A word is removed if it is
 in a window of ``window`` consecutive words that also starts anywhere else, in the same document or
 another; no occurrence is spared, and windows are judged on the input.
 

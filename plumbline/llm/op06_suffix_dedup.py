@@ -1,11 +1,11 @@
-"""Operator 6, suffix-array dedup by prefix-free parsing, over bytes.
+"""Operator 6, dedup over bytes by prefix-free parsing, with sorted hashes of windows in place of suffix arrays.
 
 Rolling-hash triggers cut each document into overlapping phrases (``repeats``): none can be the proper
 prefix of another with the same trigger place, and every string of ``window`` bytes lies within exactly
 one. The dictionary of phrases with their counts and the parse (each document as its phrases) stand for
 the corpus; a repeated phrase is settled in the dictionary at once, however many copies there are.
-Suffixes of the remaining phrases, which share a trigger with others but differ, are put in corpus order
-up to ``window`` bytes. Triggers are the smallest rolling hash in each window instead of hashes divisible
+Of the remaining phrases, which share a trigger with others but differ, 64-bit keys of the windows of ``window``
+bytes are sorted, and only their equality is used. Triggers are the smallest rolling hash in each window instead of hashes divisible
 by some number, since those leave strings without any trigger.
 
 A byte is removed if a string of ``window`` bytes that also starts anywhere else covers it. Nulls count as
