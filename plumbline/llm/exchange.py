@@ -28,13 +28,21 @@ _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("blob", pa.b
 CHUNK_BYTES = 6 << 20
 
 
-def settle(spark: SparkSession) -> int:
-    """Makes the session ready for Python workers with bounded Arrow batches; gives the number of buckets."""
+BUCKET_BYTES = 64 << 20
+
+
+def settle(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Makes the session ready for Python workers with bounded Arrow batches; gives the number of buckets: the session's
+    shuffle partitions, or more, so that a bucket answers for at most ``BUCKET_BYTES`` of the stored input."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if str(spark.conf.get(key)) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(key, "8m")
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is None:
+        return n
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n, -(-size // BUCKET_BYTES)) if size < 1 << 60 else n  # beyond, Spark has no estimate
 
 
 def rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -117,8 +125,9 @@ def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]
             yield c[i].as_py(), k[i].as_py(), x[i].as_py()
 
 
-def by_bucket(sent: DataFrame, buckets: int, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Answers the rows of each bucket together; chunks' headers (bucket < 0) pass through."""
+def by_bucket(sent: DataFrame, buckets: int, answer: Callable[[int, list[bytes]], list[bytes]]) -> DataFrame:
+    """Answers the rows of each bucket together; chunks' headers (bucket < 0) pass through. Numbers from ``buckets``
+    on are further kinds of keys in the same partitions."""
 
     def run(batches):
         held: dict[int, list[tuple[int, bytes]]] = {}
@@ -129,9 +138,9 @@ def by_bucket(sent: DataFrame, buckets: int, answer: Callable[[list[bytes]], lis
                 held.setdefault(k, []).append((c, x))
         for k in sorted(held):
             own = sorted(held.pop(k), key=lambda r: r[0])
-            yield from batched((c, k, x) for (c, _), x in zip(own, answer([x for _, x in own])))
+            yield from batched((c, k, x) for (c, _), x in zip(own, answer(k, [x for _, x in own])))
 
-    where = F.when(F.col("bucket") < 0, F.pmod(F.hash("chunk"), F.lit(buckets))).otherwise(F.col("bucket"))
+    where = F.when(F.col("bucket") < 0, F.pmod(F.hash("chunk"), F.lit(buckets))).otherwise(F.pmod("bucket", F.lit(buckets)))
     return sent.repartitionById(buckets, where.cast("int")).mapInArrow(run, SCHEMA)
 
 

@@ -134,7 +134,7 @@ def counted(docs: DataFrame, k: int, threshold: int, n: int) -> DataFrame:
                 t[i], d[i] = toks[o[i] : o[i + 1]].tobytes(), dfs[o[i] : o[i + 1]].tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(d1), pa.array(d2), pa.array(live), pa.array(t, pa.binary()), pa.array(d, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "live", "toks", "dfs"])
 
-    return X.by_chunk(X.by_bucket(docs.mapInArrow(scan, X.SCHEMA), n, frequencies), n, finish, _SETS)
+    return X.by_chunk(X.by_bucket(docs.mapInArrow(scan, X.SCHEMA), n, lambda _, blobs: frequencies(blobs)), n, finish, _SETS)
 
 
 def prefix_keys(toks: np.ndarray, dfs: np.ndarray, size: int, threshold: int, rare: int) -> np.ndarray:
@@ -312,7 +312,7 @@ def verified(members: DataFrame, threshold: int, block_tokens: int, n: int, lead
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 75, rare: int = 64, block_tokens: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id that links lead to)."""
-    n = X.settle(docs.sparkSession)
+    n = X.settle(docs.sparkSession, docs)
     src = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
     rows = cut(counted(src, k, threshold, n))
     reps = rows.where("live").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))

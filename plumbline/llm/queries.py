@@ -44,7 +44,7 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    return suffix_dedup(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return suffix_dedup(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op7_line_dedup(spark, sf_dir):
