@@ -61,7 +61,7 @@ def op8_toxicity(spark, sf_dir):
 
 def op9_decontamination(spark, sf_dir):
     got = decontaminate(_docs(spark, sf_dir), sf_table(spark, sf_dir, "benchmark"))
-    names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    names = F.concat_ws(",", "items")
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at")
 
 
