@@ -173,8 +173,8 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ..
 
         yield from X.batched(made())
 
-    def look(c, head, got):
-        text, sizes, ids, s0, count, bucket = X.unfields(head)
+    def look(c, heads, got):
+        text, sizes, ids, s0, count, bucket = X.unfields(heads[-1])
         s0, count, bucket = np.cumsum(K.unpack(s0, shipped).astype(np.int64)), K.unpack(count, shipped).astype(np.int64), K.unpack(bucket, np.int32)
         say = np.zeros(bucket.size, np.uint8)
         if bucket.size:
@@ -210,8 +210,8 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ..
     def answer(bucket, blobs):
         return sorted_keys(blobs) if bucket >= n else in_blocks(blobs, resolve, kinds, block_bytes)
 
-    def end(c, head, got):
-        text, sizes, ids, s0, count, say, bucket, kb = X.unfields(head)
+    def end(c, heads, got):
+        text, sizes, ids, s0, count, say, bucket, kb = X.unfields(heads[-1])
         s0, count, say, bucket, kb = K.unpack(s0, np.int64), K.unpack(count, np.int64), K.unpack(say, np.uint8), K.unpack(bucket, np.int32), K.unpack(kb, np.int32)
         data = np.frombuffer(K.unpack(text), np.uint8)
         offs = np.concatenate([[0], np.cumsum(K.unpack(sizes, np.int64))])

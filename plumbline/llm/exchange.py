@@ -6,7 +6,7 @@ its keys for that bucket; the bucket's task answers each such row with a blob in
 Every key goes to the bucket that its hash names, so the load is even however often a text is
 repeated, and a hot key costs eight bytes for each occurrence and no row of its own.
 
-A row is (chunk, bucket, blob). Rows for chunks carry bucket -1 for the chunk's own header.
+A row is (chunk, bucket, blob). Rows for chunks carry bucket -1, -2, ... for the chunk's own headers.
 Chunk numbers derive from the scan's partition and the order in it, so a retried task repeats them.
 """
 
@@ -41,8 +41,13 @@ def settle(spark: SparkSession, docs: DataFrame | None = None) -> int:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if docs is None:
         return n
+    return max(n, -(-input_bytes(docs) // BUCKET_BYTES))
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Spark's estimate of the stored size; 0 if it has none."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(n, -(-size // BUCKET_BYTES)) if size < 1 << 60 else n  # beyond, Spark has no estimate
+    return size if size < 1 << 60 else 0
 
 
 def rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -144,21 +149,21 @@ def by_bucket(sent: DataFrame, buckets: int, answer: Callable[[int, list[bytes]]
     return sent.repartitionById(buckets, where.cast("int")).mapInArrow(run, SCHEMA)
 
 
-def by_chunk(answered: DataFrame, parts_: int, finish: Callable[[int, bytes, list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Brings the answers back: ``finish(chunk, header, [(bucket, blob), ...])``, buckets in order."""
+def by_chunk(answered: DataFrame, parts_: int, finish: Callable[[int, dict[int, bytes], list[tuple[int, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Brings the answers back: ``finish(chunk, headers by their bucket number, [(bucket, blob), ...])``, buckets in order."""
 
     def run(batches):
-        now, head, got = None, b"", []
+        now, heads, got = None, {}, []
         for c, k, x in _loose(batches):
             if c != now:
                 if now is not None:
-                    yield from finish(now, head, got)
-                now, head, got = c, b"", []
+                    yield from finish(now, heads, got)
+                now, heads, got = c, {}, []
             if k < 0:
-                head = x
+                heads[k] = x
             else:
                 got.append((k, x))
         if now is not None:
-            yield from finish(now, head, got)
+            yield from finish(now, heads, got)
 
     return answered.repartition(parts_, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)

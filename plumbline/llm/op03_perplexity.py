@@ -1,16 +1,24 @@
-"""Operator 3, quality rules with perplexity bands of an n-gram model.
+"""Operator 3, quality rules with perplexity bands of a word bigram model counted over the whole corpus.
 
-Base rules count words, symbols, repeated lines and repeated 8-word windows of each whole text. The model is
-a modified Kneser-Ney character 4-gram for each language (``charlm``): each scan task sends its n-gram counts,
-Spark sums them over all documents, and the result, at most 64**4 entries a language, is kept in sorted hash
-arrays. Languages go to the workers in blocks of at most ``block_entries`` entries; each document is scored
-once, by the block of its language. Characters and not words are the symbols, since a word model would be as
-large as the corpus and would have to be shuffled against it.
+Base rules count words, symbols, repeated lines and repeated 8-word windows of each whole text. The model
+(``wordlm``) is modified Kneser-Ney over the words of each language. Its table grows with the corpus, so it is never in one place:
+
+1. *Pairs.* Each chunk of documents counts its different word pairs and sends their hashes, sorted and as differences, to
+   hash buckets (``exchange``). A bucket sums them in one sorted array, and answers each chunk with the pairs' counts in the
+   corpus; the first chunk that has a pair accounts for it below.
+2. *Words.* Each chunk sends what it knows of its words: pairs that begin with the word, how many of these occur once,
+   twice, more often, and how many different ones end with it. A word's bucket adds up and answers with the sums. A
+   language is one more key, with its counts of counts.
+3. *Scores.* With both answers a chunk holds all that the model says of its documents, and scores each without its
+   own counts.
+
+The texts meet the answers twice, compressed; they are scanned again for it, or written once if their plan has a
+shuffle that could deal the rows out otherwise the next time.
 
 A language's bands lie around its median log perplexity: ``below`` and ``above`` times half its interquartile
-range, and ``spread`` / sqrt(characters) for short texts. A document outside them, or that fails the base
+range, and ``spread`` / sqrt(words) for short texts. A document outside them, or that fails the base
 rules, is not kept. Null texts have no words and fail; a null language is a language; repeated rows are
-counted and judged each; an empty table gives no rows; extra columns are ignored.
+counted and judged each; an empty table gives no rows; extra columns are ignored. A very long text is a chunk by itself.
 """
 
 from __future__ import annotations
@@ -20,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import charlm as C
+from plumbline.operators.store import cut, written
+
 from . import exchange as X
 from . import kernels as K
-from plumbline.operators.store import cut
+from . import wordlm as W
 from .textstats import _SYMBOL, count_by, repeated_windows
 
-_ROWS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, log_ppl double"
+_ROWS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, log_ppl double"
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
+_CHUNK = 12 << 20
 
 
 def base_counts(data: np.ndarray, offs: np.ndarray, window: int = 8) -> list[np.ndarray]:
@@ -51,80 +61,157 @@ def base_counts(data: np.ndarray, offs: np.ndarray, window: int = 8) -> list[np.
     return [np.diff(wo), chars, count_by(_SYMBOL[data], offs), np.bincount(doc[same], minlength=offs.size - 1), count_by(again, wo)]
 
 
-def counts(src: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """(lang, code, count), summed over all documents."""
-
-    def run(batches):
-        held: dict[str, list] = {}
-        for b in batches:
-            data, offs = K.text_buffer(b.column("text"))
-            for i, j in K.slices(offs):
-                code, o = C.codes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                lang = np.array(b.column("lang").slice(i, j - i).to_pylist(), object)
-                for x in set(lang.tolist()):
-                    held.setdefault(x, []).append(C.count_codes(code[np.repeat(lang == x, np.diff(o))]))
-                    if len(held[x]) >= 16:
-                        held[x] = [C.merge_counts(held[x])]
-        for x, parts in held.items():
-            code, c = C.merge_counts(parts)
-            for i in range(0, code.size, 50_000):
-                k = code[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x] * k.size, pa.string()), pa.array(k.astype(np.int32)), pa.array(c[i : i + 50_000])], names=["lang", "code", "n"])
-
-    return src.select("lang", "text").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def scored(src: DataFrame, models: dict[str, C.Model]) -> DataFrame:
-    sent = src.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches):
-        table = np.zeros(C.SIZE, np.float32)  # log probabilities of the codes at hand
-        for b in batches:
-            data, offs = K.text_buffer(b.column("text"))
-            for i, j in K.slices(offs):
-                d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                code, co = C.codes(d, o)
-                lang = np.array(b.column("lang").slice(i, j - i).to_pylist(), object)
-                n = np.diff(co)
-                total = np.zeros(j - i)
-                owner = np.repeat(np.arange(j - i), n)
-                for x in set(lang.tolist()):
-                    own = lang == x
-                    of = own[owner]
-                    here = code[of]
-                    uniq = np.unique(here)
-                    table[uniq] = sent.value[x].log_probabilities(uniq)
-                    total[own] = np.bincount(owner[of], weights=table[here], minlength=j - i)[own]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("lang").slice(i, j - i), *(pa.array(v.astype(np.int64)) for v in base_counts(d, o)), pa.array(n), pa.array(-total / n)], names=[c.split()[0] for c in _ROWS.split(", ")])
-
-    return src.where(F.col("lang").isin(list(models))).mapInArrow(run, _ROWS)
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 10.0, above: float = 25.0, spread: float = 1.0, block_entries: int = 8 << 20) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, so that high bytes of zero cost nothing."""
+    return K.pack(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _unplanes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(K.unpack(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+
+
+def _lang_keys(langs: list[str]) -> np.ndarray:
+    data, offs = K.text_buffer(pa.array(langs, pa.string()))
+    return K.mix(np.concatenate([K.hash_spans(data[a:b], np.array([0]), np.array([b - a])) if b > a else np.ones(1, np.uint64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])) if langs else np.zeros(0, np.uint64)
+
+
+class Chunk:
+    """Word pairs of a chunk's documents. A pair's key has ``bits`` bits."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lang: list[str], bits: int):
+        names, self.lang = np.unique(np.array(lang, dtype=object), return_inverse=True) if lang else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.lang_keys = _lang_keys(names.tolist())
+        s, e, wo = K.split_words(data, offs, K.word_table("space"))
+        t, o = W.tokens(K.hash_spans(data, s, e), wo, self.lang_keys[self.lang] if lang else np.zeros(0, np.uint64), K.mix)
+        self.words, index = np.unique(t, return_inverse=True)
+        at = np.flatnonzero(np.ones(t.size, bool))
+        last = np.zeros(t.size, bool)
+        last[o[1:][np.diff(o) > 0] - 1] = True
+        at = at[~last]
+        key = K.mix(t[at] * np.uint64(3) + K.mix(t[at + 1])) >> np.uint64(64 - bits) if at.size else np.zeros(0, np.uint64)
+        self.keys, first, pair = np.unique(key, return_index=True, return_inverse=True)
+        self.count = np.bincount(pair, minlength=self.keys.size)
+        self.v, self.w = index[at[first]], index[at[first] + 1]
+        doc = np.searchsorted(o, at, "right") - 1
+        both, self.times = np.unique(doc * max(1, self.keys.size) + pair, return_counts=True)
+        self.doc, self.pair = np.divmod(both, max(1, self.keys.size))
+        self.pair_lang = np.zeros(self.keys.size, np.int64)
+        self.pair_lang[pair] = self.lang[doc]
+        self.n_tokens = np.maximum(np.diff(o) - 1, 0)
+
+
+def _deal(chunk: int, keys: np.ndarray, bits: int, n: int, *columns: np.ndarray):
+    """Rows for the buckets of ascending keys, which are cut where the bucket changes."""
+    bucket = X.bucket_of(keys << np.uint64(64 - bits), n)
+    ids, first = np.unique(bucket, return_index=True)
+    for b, i, j in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), keys.size]):
+        yield chunk, b, X.fields(_planes(np.diff(keys[i:j], prepend=np.uint64(0))), *(_planes(c[i:j]) for c in columns))
+
+
+def _add_up(blobs: list[bytes]) -> list[bytes]:
+    """Of pairs: twice their count in the corpus, and 1 more for the first chunk that has it."""
+    got = [X.unfields(b) for b in blobs]
+    keys = [np.cumsum(_unplanes(k).astype(np.uint64), dtype=np.uint64) for k, _ in got]
+    x = np.concatenate(keys)
+    order = np.argsort(x, kind="stable")
+    new = np.r_[True, x[order][1:] != x[order][:-1]]
+    group = np.cumsum(new) - 1
+    total = np.bincount(group, weights=np.concatenate([_unplanes(c) for _, c in got])[order]).astype(np.int64)
+    out = np.empty(x.size, np.int64)
+    out[order] = 2 * total[group] + new
+    return [_planes(y) for y in np.split(out, np.cumsum([k.size for k in keys])[:-1])]
+
+
+def _sums(blobs: list[bytes]) -> list[bytes]:
+    """Of words and languages: the sums of all columns."""
+    got = [X.unfields(b) for b in blobs]
+    keys = [np.cumsum(_unplanes(g[0]).astype(np.uint64), dtype=np.uint64) for g in got]
+    _, group = np.unique(np.concatenate(keys), return_inverse=True)
+    cols = [np.bincount(group, weights=np.concatenate([_unplanes(g[i]) for g in got])).astype(np.int64)[group] for i in range(1, 6)]
+    cuts = np.cumsum([k.size for k in keys])[:-1]
+    return [X.fields(*(_planes(c) for c in row)) for row in zip(*(np.split(c, cuts) for c in cols))]
+
+
+def _knowledge(c: Chunk, answer: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Ascending keys of the chunk's words and languages, and five columns of what it adds to each."""
+    total, mine = answer >> 1, (answer & 1) > 0
+    m, k = c.words.size, c.lang_keys.size
+    by = lambda at, n, which, weights=None: np.bincount(at[which], weights=None if weights is None else weights[which], minlength=n).astype(np.int64)
+    every = np.ones(total.size, bool)
+    cols = [by(c.v, m, every, c.count), *(by(c.v, m, mine & (np.minimum(total, 3) == x)) for x in (1, 2, 3)), by(c.w, m, mine)]
+    of_lang = [*(by(c.pair_lang, k, mine & (total == x)) for x in (1, 2, 3, 4)), by(c.pair_lang, k, mine)]
+    keys = np.concatenate([c.words, c.lang_keys])
+    order = np.argsort(keys, kind="stable")
+    return order, [keys[order], *(np.concatenate([a, b])[order] for a, b in zip(cols, of_lang))]
+
+
+def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
+    """Base counts and log perplexity of each document of (id, lang, text)."""
+
+    def pairs(batches):
+        def made():
+            for c, t in X.chunks(batches, "text", _CHUNK):
+                x = Chunk(*K.text_buffer(t.column("text")), t.column("lang").to_pylist(), bits)
+                yield from _deal(c, x.keys, bits, n, x.count)
+
+        yield from X.batched(made())
+
+    def texts(batches):
+        def made():
+            for c, t in X.chunks(batches, "text", _CHUNK):
+                data, offs = K.text_buffer(t.column("text"))
+                ids = t.column("id").combine_chunks()
+                lang = pa.RecordBatch.from_arrays([ids, t.column("lang").combine_chunks()], names=["id", "lang"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, lang.schema) as out:
+                    out.write_batch(lang)
+                yield c, -1, X.fields(K.pack(data.tobytes(), 6), K.pack(np.diff(offs)), K.pack(sink.getvalue().to_pybytes(), 3))
+
+        yield from X.batched(made())
+
+    def opened(head):
+        text, sizes, ids = X.unfields(head)
+        data, offs = np.frombuffer(K.unpack(text), np.uint8), np.concatenate([[0], np.cumsum(K.unpack(sizes, np.int64))])
+        ids = pa.ipc.open_stream(K.unpack(ids)).read_next_batch()
+        return data, offs, ids, Chunk(data, offs, ids.column(1).to_pylist(), bits)
+
+    def look(c, heads, got):
+        *_, x = opened(heads[-1])
+        answer = np.concatenate([_unplanes(a) for _, a in got]) if got else np.zeros(0, np.int64)
+        _, (keys, *cols) = _knowledge(x, answer)
+        yield from X.batched(iter([(c, -2, _planes(answer)), *_deal(c, keys, 64, n, *cols)]))
+
+    def end(c, heads, got):
+        data, offs, ids, x = opened(heads[-1])
+        total = _unplanes(heads[-2]) >> 1
+        order = np.argsort(np.concatenate([x.words, x.lang_keys]), kind="stable")
+        known = np.empty((order.size, 5), np.int64)
+        known[order] = np.stack([np.concatenate([_unplanes(y) for y in col]) for col in zip(*(X.unfields(a) for _, a in got))], 1) if got else 0
+        words, langs = known[: x.words.size], known[x.words.size :]
+        score = W.log_likelihoods(x.doc, x.v[x.pair], x.w[x.pair], x.times, total[x.pair], words, x.lang, langs)
+        ppl = np.where(x.n_tokens > 0, -score / np.maximum(x.n_tokens, 1), 0.0)
+        yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *(pa.array(v.astype(np.int64)) for v in base_counts(data, offs)), pa.array(x.n_tokens), pa.array(ppl)], names=[y.split()[0] for y in _ROWS.split(", ")])
+
+    heads = src.mapInArrow(texts, X.SCHEMA)
+    counts = X.by_bucket(src.mapInArrow(pairs, X.SCHEMA), n, lambda _, b: _add_up(b))
+    asked = X.by_chunk(heads.unionAll(counts), n, look, X.SCHEMA)
+    sums = X.by_bucket(asked, n, lambda _, b: _sums(b))
+    return X.by_chunk(heads.unionAll(sums), n, end, _ROWS)
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 10.0, above: float = 3.0, spread: float = 2.0) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, perplexity (per character), lang."""
-    X.settle(docs.sparkSession)
+    base_failed, kept, perplexity (per word), lang."""
+    n = X.settle(docs.sparkSession, docs)
     src = docs.selectExpr(f"cast(`{id_col}` as long) id", f"coalesce(cast(`{lang_col}` as string), '') lang", f"cast(`{text_col}` as string) text")
-    table = cut(counts(src))
-    sizes = [(r.lang, r.n) for r in table.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()]
-    parts, block, size = [], [], 0
-    for lang, n in [*sizes, (None, 0)]:
-        if block and (lang is None or size + n > block_entries):
-            t = table.where(F.col("lang").isin(block)).toPandas()
-            parts.append(scored(src, {x: C.Model(g.code.to_numpy(), g.n.to_numpy()) for x, g in t.groupby("lang")}))
-            block, size = [], 0
-        block.append(lang)
-        size += n
-    if not parts:
-        parts = [docs.sparkSession.createDataFrame([], _ROWS)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
-    rows = cut(rows).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    if "Exchange" in src._jdf.queryExecution().executedPlan().toString():
+        src = written(src)
+    bits = min(60, max(44, X.input_bytes(src).bit_length() + 14))  # false meetings stay as rare at any size
+    rows = cut(scored(src, n, bits)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     fit = rows.where("not base_failed")
     q = fit.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 100_000).alias("q"))
     dev = q.select("lang", F.col("q")[1].alias("mid"), ((F.col("q")[2] - F.col("q")[0]) / 2).alias("dev"))
-    room = F.lit(spread) / F.sqrt("n_chars")
+    room = F.lit(spread) / F.sqrt(F.greatest(F.lit(1), "n_tokens"))
     off = F.col("log_ppl") - F.col("mid")
     inside = (off >= -below * F.col("dev") - room) & (off <= above * F.col("dev") + room)
     return rows.join(dev, "lang", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), F.exp("log_ppl").alias("perplexity"), "lang")

@@ -116,8 +116,8 @@ def counted(docs: DataFrame, k: int, threshold: int, n: int) -> DataFrame:
             out.append(X.fields(_six(t[more]).tobytes(), K.pack(own[more]), K.pack(np.bincount(doc, minlength=counts.size).astype(np.uint32))))
         return out
 
-    def finish(c, head, got):
-        ids, size, d1, d2 = (np.frombuffer(x, np.int64) for x in X.unfields(head))
+    def finish(c, heads, got):
+        ids, size, d1, d2 = (np.frombuffer(x, np.int64) for x in X.unfields(heads[-1]))
         parts = [X.unfields(x) for _, x in got]
         counts = [K.unpack(x[2], np.uint32) for x in parts]
         toks = np.concatenate([_from_six(x[0]) for x in parts]) if parts else np.zeros(0, np.uint64)

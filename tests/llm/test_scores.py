@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import charlm as C
 from plumbline.llm.op01_quality import quality
 from plumbline.llm.op03_perplexity import quality_rules
 from plumbline.llm.op04_licenses import KNOWN, license_scan
@@ -77,48 +76,63 @@ def test_base_rules_against_brute_force(spark):
         assert not (r.kept and r.base_failed)
 
 
-def slow_model(texts):
-    """Modified Kneser-Ney straight from its definition, over symbol tuples."""
+def slow_scores(rows):
+    """Log perplexities by the model's definition: all counts are taken again without the document."""
     from collections import Counter, defaultdict
 
-    top = Counter()
-    for t in texts:
-        s = [C.EDGE] * 3 + [int(C.CLASSES[b]) for b in t.encode()] + [C.EDGE]
-        top.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
-    counts = {4: top}
-    for k in (3, 2, 1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    tables = {}
-    for k, c in counts.items():
-        d = C._discounts(np.array(list(c.values())))
-        by = defaultdict(list)
-        for g, n in c.items():
-            by[g[:-1]].append(n)
-        tables[k] = c, d, by
-
-    def p(g):
-        k = len(g)
-        if not k:
-            return 1 / 64
-        c, d, by = tables[k]
-        seen = by.get(g[:-1])
-        if not seen:
-            return p(g[1:])
-        n = c.get(g, 0)
-        return (n - d[min(n, 3)]) / sum(seen) + sum(d[min(x, 3)] for x in seen) / sum(seen) * p(g[1:])
-
-    return p
-
-
-def test_model_against_definition():
-    texts = [r[1][:300] for r in awkward(2) if r[1]][:20]
-    raw = [t.encode() for t in texts]
-    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-    code, _ = C.codes(data, offs)
-    model, p = C.Model(*C.count_codes(code)), slow_model(texts)
-    some = np.concatenate([np.unique(code)[::7], np.random.default_rng(1).integers(0, C.SIZE, 200)])
-    want = [p((c >> 18 & 63, c >> 12 & 63, c >> 6 & 63, c & 63)) for c in some.tolist()]
-    np.testing.assert_allclose(np.exp(model.log_probabilities(some.astype(np.int32))), want, rtol=1e-4)
+    seqs = {i: (lang or "", ["<s>", *words(t), "</s>"] if words(t) else []) for i, t, lang, *_ in rows}
+    all_ = defaultdict(Counter)
+    for lang, s in seqs.values():
+        all_[lang].update(zip(s, s[1:]))
+    out = {}
+    for i, (lang, s) in seqs.items():
+        if not s:
+            continue
+        n = [sum(c == k for c in all_[lang].values()) for k in (1, 2, 3, 4)]
+        d = [0, 0.5, 0.75, 1.0]
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k / 2, 0.05), k - 0.05) for k in (1, 2, 3)]
+        rest = +Counter({k: c for k, c in (all_[lang] - Counter(zip(s, s[1:]))).items()})
+        starts, ends = defaultdict(list), Counter()
+        for (v, w), c in rest.items():
+            starts[v].append(c)
+            ends[w] += 1
+        total = 0.0
+        for v, w in zip(s, s[1:]):
+            q = max(ends[w], 0.5) / max(1, len(rest))
+            c, row = rest[v, w], starts[v]
+            total += np.log(max(c - d[min(c, 3)], 0) / sum(row) + sum(d[min(x, 3)] for x in row) / sum(row) * q if row else q)
+        out[i] = -total / (len(s) - 1)
+    return out
+
+
+def test_model_and_verdicts_against_definition(spark):
+    rows = awkward(2)
+    got = {r.doc_id: r for r in quality_rules(frame(spark, rows), below=1.0, above=1.5, spread=0.5).collect()}
+    want = slow_scores(rows)
+    for i, x in want.items():
+        assert np.log(got[i].perplexity) == pytest.approx(x, rel=1e-9)
+    by = {}
+    for r in got.values():
+        if not r.base_failed:
+            by.setdefault(r.lang, []).append(want[r.doc_id])
+    rejected = 0
+    for r in got.values():
+        if not r.base_failed:
+            v = sorted(by[r.lang])
+            low, mid, high = (v[max(0, int(np.ceil(p * len(v))) - 1)] for p in (0.25, 0.5, 0.75))
+            off, dev, room = want[r.doc_id] - mid, (high - low) / 2, 0.5 / np.sqrt(r.n_words + 1)
+            assert r.kept == (-dev - room <= off <= 1.5 * dev + room)
+            rejected += not r.kept
+    assert rejected
+
+
+def test_chunks_and_buckets_change_nothing(spark):
+    rows = awkward(4)
+    a = {r.doc_id: r.perplexity for r in quality_rules(frame(spark, rows)).collect()}
+    b = {r.doc_id: r.perplexity for r in quality_rules(frame(spark, rows, parts=9)).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
 def test_bands_keep_clean_and_reject_noise(spark):
@@ -130,13 +144,6 @@ def test_bands_keep_clean_and_reject_noise(spark):
     assert np.mean([got[i].kept for i, q, _ in labels if q]) > 0.98
 
 
-def test_languages_in_blocks_score_alike(spark):
-    rows = awkward(4)
-    a = {r.doc_id: r.perplexity for r in quality_rules(frame(spark, rows)).collect()}
-    b = {r.doc_id: r.perplexity for r in quality_rules(frame(spark, rows), block_entries=1).collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
-
-
 def test_licenses(spark):
     mit = dict(KNOWN)["MIT"]
     rows = [(1, "Copyright (c) 2020 Somebody\n" + mit.upper()), (2, mit + " more"), (3, "LICENSED under CC-BY-NC 4.0"), (4, "Released under the MIT Licence!"), (5, None), (6, "")]
