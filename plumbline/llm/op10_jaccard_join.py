@@ -19,7 +19,7 @@ words empty). Two documents link when 100 * intersection >= threshold * union.
    first count, so no pair is listed. A component of more than ``block_tokens`` shingles is split into
    blocks (``verified``); the links found in them are united.
 
-Nothing is capped. Nulls and texts without words give n_shingles 0 and their own class. Repeated rows are one
+Nothing is capped. Nulls and texts without words give n_shingles 0 and their own class. Rows with a null id share one; a class of them alone has a null component_id. Repeated rows are one
 class; rows of one id with other texts are judged each. Shingles are told apart by 48 bits of a hash, of which
 collisions cost a wrong count of one in some 10**8 pairs.
 """
@@ -36,7 +36,7 @@ from . import kernels as K
 from plumbline.operators.components import components
 from plumbline.operators.store import cut
 
-_SETS = "doc_id long, n_shingles long, d1 long, d2 long, live boolean, toks binary, dfs binary"
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, live boolean, first long, toks binary, dfs binary"
 _M48 = np.uint64((1 << 48) - 1)
 
 
@@ -84,7 +84,7 @@ def counted(docs: DataFrame, k: int, threshold: int, n: int) -> DataFrame:
         def made():
             for c, t in X.chunks(batches, "text"):
                 keys, o = shingle_sets(*K.text_buffer(t.column("text")), k)
-                ids = t.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = X.ids_of(t.column("id"))
                 yield c, -1, X.fields(ids.tobytes(), np.diff(o).tobytes(), _sum_by(K.mix(keys), o).tobytes(), _sum_by(K.mix(keys ^ np.uint64(0xA5A5A5A5)), o).tobytes())
                 doc = np.repeat(np.arange(o.size - 1, dtype=np.int64), np.diff(o))
                 bucket = X.bucket_of(keys, n)
@@ -127,12 +127,15 @@ def counted(docs: DataFrame, k: int, threshold: int, n: int) -> DataFrame:
         toks, dfs = _six(toks[order]), dfs[order].astype("<u2")
         o = np.searchsorted(doc[order], np.arange(ids.size + 1))
         live = (size > 0) & (100 * np.diff(o) >= threshold * size)
-        seen, t, d = set(), [None] * ids.size, [None] * ids.size
+        # of equal sets in the chunk only the one of the least id goes on
+        first, seen, t, d = ids.copy(), {}, [None] * ids.size, [None] * ids.size
         for i in np.argsort(ids, kind="stable").tolist():
-            if live[i] and (key := (d1[i], d2[i], size[i])) not in seen:
-                seen.add(key)
-                t[i], d[i] = toks[o[i] : o[i + 1]].tobytes(), dfs[o[i] : o[i + 1]].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(d1), pa.array(d2), pa.array(live), pa.array(t, pa.binary()), pa.array(d, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "live", "toks", "dfs"])
+            if live[i]:
+                first[i] = seen.setdefault((d1[i], d2[i], size[i]), i)
+                if first[i] == i:
+                    t[i], d[i] = toks[o[i] : o[i + 1]].tobytes(), dfs[o[i] : o[i + 1]].tobytes()
+                first[i] = ids[first[i]]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(d1), pa.array(d2), pa.array(live), pa.array(first), pa.array(t, pa.binary()), pa.array(d, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "live", "first", "toks", "dfs"])
 
     return X.by_chunk(X.by_bucket(docs.mapInArrow(scan, X.SCHEMA), n, lambda _, blobs: frequencies(blobs)), n, finish, _SETS)
 
@@ -315,13 +318,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = X.settle(docs.sparkSession, docs)
     src = docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
     rows = cut(counted(src, k, threshold, n))
-    reps = rows.where("live").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    sets = rows.where("toks is not null").join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "n_shingles", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", "toks", "dfs")
+    firsts = rows.where("toks is not null")
+    key = ["d1", "d2", "n_shingles"]
+    reps = firsts.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    sets = firsts.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *key], "left_semi").select("doc_id", "n_shingles", "toks", "dfs")
     cand = components(candidates(sets, threshold, rare, n))
     members = sets.join(cand.withColumnsRenamed({"node": "doc_id", "label": "comp"}), "doc_id").select("comp", "doc_id", "n_shingles", "toks")
     links = components(verified(members, threshold, block_tokens, n))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2", "live").join(reps, ["d1", "d2", "n_shingles"], "left")
-    out = out.withColumn("rep", F.when(F.col("live"), F.col("rep")).otherwise(F.col("doc_id")))
-    # a repeated id is one node: all its rows share the links of each
-    out = out.join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    # copies find their class by the first of their chunk, so a key has as many rows as chunks at one join, and as a chunk at the other
+    own = firsts.join(reps, key).join(links.withColumnRenamed("node", "rep"), "rep", "left")
+    own = own.groupBy("first", *key).agg(F.min(F.coalesce("label", "rep")).alias("class"))
+    out = rows.where("live").join(own, ["first", *key]).select("doc_id", "n_shingles", "class").unionAll(rows.where("not live").select("doc_id", "n_shingles", "doc_id"))
+    null = F.lit(X.NO_ID).cast("long")
+    return out.select(F.nullif("doc_id", null).alias("doc_id"), "n_shingles", F.nullif("class", null).alias("component_id"))
