@@ -50,6 +50,20 @@ def input_bytes(docs: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
+#: Stands for a null id within an operator, so that numbers stay whole; the largest, so that it is never the least of a class.
+NO_ID = (1 << 63) - 1
+
+
+def ids_of(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    return col.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def id_array(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 def rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     c, b, x = zip(*out) if out else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(b, pa.int32()), pa.array(x, pa.binary())], schema=_ARROW)

@@ -13,7 +13,7 @@ it: stretches that no other place shares never travel, and one that recurs as a
 So a word is removed exactly if it is in a window of ``window`` consecutive words that also starts anywhere else, in
 the same document or another; no occurrence is spared, and windows are judged on the input.
 
-Nulls and texts without words have no words and nothing removed; repeated rows repeat each other
+Nulls and texts without words have no words and nothing removed; a null id stays null; repeated rows repeat each other
 whatever their ids; an empty table gives no rows; extra columns are ignored. A very long text is one chunk by itself and
 is hashed block by block.
 """
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import exchange as X
 from . import kernels as K
 from . import suffixes as S
 from .anchors import binary_array, repeated, runs
@@ -105,7 +106,7 @@ def _finish(ids, data, offs, wo, extra, covered):
     out[fill] = data[take]
     c = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(kept, wo)]
     n = np.diff(wo)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(n - n_kept), pa.array(runs(gone, wo)), binary_array(out.tobytes(), np.diff(c))], names=["doc_id", "n_words", "n_removed", "n_spans", "kept"])
+    yield pa.RecordBatch.from_arrays([X.id_array(ids), pa.array(n), pa.array(n - n_kept), pa.array(runs(gone, wo)), binary_array(out.tobytes(), np.diff(c))], names=["doc_id", "n_words", "n_removed", "n_spans", "kept"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, **bounds) -> DataFrame:

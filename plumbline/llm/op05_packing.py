@@ -11,7 +11,7 @@ of a text are those of its words in turn. Each worker keeps the ids of words it
 when full). New words are encoded many at a time with a special token between them. A vocabulary whose
 pre-tokens cross white space is recognised by a probe, and then whole texts are encoded.
 
-Null text counts as empty and gives the end id alone. Repeated rows are packed each. Extra columns are
+Null text counts as empty and gives the end id alone; a null id stays null. Repeated rows are packed each. Extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length:
     def run(batches):
         enc = encoder(spec)
         for b in batches:
-            all_ids, col = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            all_ids, col = X.ids_of(b.column(0)), b.column(1)
             data, offs = K.text_buffer(col)
             for i, j in K.slices(offs):
                 a = offs[i]
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length:
                 raw = memoryview(ids.tobytes())
                 cuts = [raw[4 * x : 4 * (x + y)] for x, y in zip(at.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(all_ids[i:j], n), pa.int64()), pa.array(start), pa.array(size), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(np.repeat(total, n)), pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(cuts), pa.binary())],
+                    [X.id_array(np.repeat(all_ids[i:j], n)), pa.array(start), pa.array(size), pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array(np.repeat(total, n)), pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(cuts), pa.binary())],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
 
@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     got = pieces(docs, id_col, text_col, tokenizer or default_tokenizer(), length, end_id, keep_ids)
     got = cut(got if keep_ids else got.drop("ids"))
     groups = max(1, -(-got.count() // group_pieces))
-    with_group = got.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(17)), F.lit(groups)))
+    with_group = got.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(17)), F.lit(groups)))
     extra = [("ids", pa.binary())] if keep_ids else []
 
     def run(t: pa.Table) -> pa.Table:
