@@ -165,9 +165,9 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ..
                 data, offs = K.text_buffer(t.column("text"))
                 vals, vo, _ = symbols(data, offs)
                 s0, count, anchor, span = stretches(vals, vo, least, k, reach)
-                bucket = X.bucket_of(anchor, n)
+                bucket = X.bucket_of(K.mix(anchor), n)  # least hashes are small numbers
                 _, sent = X.deal(c, bucket, anchor, span)
-                ids = t.column("id").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = X.ids_of(t.column("id"))
                 yield c, -1, X.fields(K.pack(data.tobytes(), 3), K.pack(np.diff(offs)), ids.tobytes(), K.pack(np.diff(s0, prepend=0).astype(shipped)), K.pack(count.astype(shipped)), K.pack(bucket))
                 yield from sent
 

@@ -16,7 +16,7 @@ Blocks are cut by anchors (smallest rolling hashes of windows), since hashes div
 strings without any trigger; within a block such strings are long phrases only.
 
 A byte is removed if a string of ``window`` bytes that also starts anywhere else covers it. ``n_repeated`` counts in the same way,
-without removing them, the bytes in repeated strings of ``least`` bytes. Nulls count as empty; nothing crosses documents;
+without removing them, the bytes in repeated strings of ``least`` bytes. Nulls count as empty, a null id stays null; nothing crosses documents;
 repeated rows repeat each other; an empty table gives no rows; extra columns are ignored. A very long text is one chunk
 by itself and is hashed block by block.
 """
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import exchange as X
 from . import kernels as K
 from . import suffixes as S
 from .anchors import binary_array, repeated, runs
@@ -79,11 +80,11 @@ def corpus_order(data: np.ndarray, offs: np.ndarray, places: np.ndarray) -> np.n
     d_offs = np.concatenate([[0], np.cumsum(d_size)])
     body = data[np.repeat(first[which], d_size) + K.sequences(d_size)]
     d_ends = np.repeat(d_offs[1:], d_size)
-    in_dictionary = S.levels(_first_symbols(body, d_ends), d_ends, int(d_size.max(initial=1)), _DEEP)[-1]
+    in_dictionary = S.last_level(_first_symbols(body, d_ends), d_ends, int(d_size.max(initial=1)), _DEEP)
     # parse: ranks of phrases, each string's own end
     symbol = in_dictionary[d_offs[phrase]]
     p_ends = np.searchsorted(string, string, "right")
-    in_parse = S.levels(symbol, p_ends, int(np.bincount(string).max(initial=1)))[-1] + 1
+    in_parse = S.last_level(symbol, p_ends, int(np.bincount(string).max(initial=1))) + 1
     follows = np.r_[in_parse[1:], 0]
     follows[p_ends == np.arange(1, first.size + 1)] = 0
     own = np.searchsorted(first, places, "right") - 1
@@ -131,7 +132,7 @@ def _finish(ids, data, offs, vo, extra, covered):
     gone = covered[-1]
     c = [np.concatenate([[0], np.cumsum(x)])[offs] for x in (~gone, covered[0])]
     n, kept = np.diff(offs), np.diff(c[0])
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(n - kept), pa.array(runs(gone, offs)), pa.array(np.diff(c[1])), binary_array(data[~gone].tobytes(), kept)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    yield pa.RecordBatch.from_arrays([X.id_array(ids), pa.array(n), pa.array(n - kept), pa.array(runs(gone, offs)), pa.array(np.diff(c[1])), binary_array(data[~gone].tobytes(), kept)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, least: int = 240, **bounds) -> DataFrame:

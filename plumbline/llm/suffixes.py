@@ -30,6 +30,30 @@ def levels(first: np.ndarray, ends: np.ndarray, depth: int, base: int = 1) -> li
     return out
 
 
+def last_level(first: np.ndarray, ends: np.ndarray, depth: int, base: int = 1) -> np.ndarray:
+    """The last of ``levels`` alone, in the same order: each round sorts only what is still tied."""
+    n = first.size
+    _, which, size = np.unique(first, return_inverse=True, return_counts=True)
+    r = (np.cumsum(size) - size)[which]  # how many are less
+    tied, have = np.flatnonzero(size[which] > 1), base
+    while tied.size and have < depth:
+        nxt = tied + have
+        tail = np.zeros(tied.size, np.int64)
+        ok = nxt < ends[tied]
+        tail[ok] = r[nxt[ok]] + 1
+        key = r[tied] * (n + 1) + tail
+        o = np.argsort(key, kind="stable")
+        tied, key, old = tied[o], key[o], r[tied[o]]
+        at = np.arange(tied.size)
+        of_old = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], at, 0))
+        new = np.r_[True, key[1:] != key[:-1]]
+        r[tied] = old + np.maximum.accumulate(np.where(new, at, 0)) - of_old
+        group = np.cumsum(new) - 1
+        tied = tied[np.bincount(group)[group] > 1]
+        have *= 2
+    return r
+
+
 def common(ranks: list[np.ndarray], ends: np.ndarray, a: np.ndarray, b: np.ndarray, base: int = 1) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, from levels deep enough for it."""
     room = np.minimum(ends[a] - a, ends[b] - b)
