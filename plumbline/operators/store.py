@@ -17,7 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one is set only where there is none (tests, local mode)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -27,14 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def temporary(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a compressed Parquet table there, for wide or large rows of which few columns are
     read again. The table goes when the JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = temporary(spark, "tables")
     df.write.option("compression", "zstd").parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
