@@ -1,6 +1,6 @@
-"""Coordinate reference systems as column expressions: EPSG 4326, 326zz, 327zz, 3413 and 3031.
+"""Coordinate reference systems as column expressions: EPSG 4326, 326zz, 327zz, 3413, 3031 and (to name, not to measure in) 3857.
 
-The projection is the transverse Mercator of WGS 84 by Krueger's series to the sixth order in n.
+The polar projections are the ellipsoidal stereographic ones with a standard parallel. The UTM projection is the transverse Mercator of WGS 84 by Krueger's series to the sixth order in n.
 """
 
 from __future__ import annotations
@@ -114,3 +114,131 @@ def from_utm(x: Column, y: Column, zone: Column, north: Column) -> Column:
 
     start = _pair((y - F.when(north, 0.0).otherwise(1e7)) / (K0 * _RADIUS), (x - 500000) / (K0 * _RADIUS))
     return let(let(start, series), geographic)
+
+
+UNKNOWN = "UNKNOWN"
+
+
+def is_projected(code: Column) -> Column:
+    return is_metric(code) | F.coalesce(number(code) == 3857, F.lit(False))
+
+
+def units(code: Column) -> Column:
+    """The unit of the first axis; 'unknown' for a code that isn't supported."""
+    return F.when(is_projected(code), "metre").when(number(code) == 4326, "degree").otherwise("unknown")
+
+
+def is_suitable(code: Column) -> Column:
+    """Whether lengths and areas may be measured in it: metric axes, and not the web map's."""
+    return is_metric(code)
+
+
+def source_crs(*declared: Column) -> Column:
+    """The first of the declared codes that can be resolved, in order of precedence; UNKNOWN if there is none."""
+    return F.coalesce(*(resolve(c) for c in declared), F.lit(UNKNOWN))
+
+
+def context(source: Column, lon: Column, lat: Column, explicit: Column | None = None) -> Column:
+    """STRUCT of the three roles; an unknown source has no processing CRS."""
+    own = F.coalesce(resolve(source), F.lit(UNKNOWN))
+    return F.struct(own.alias("source_crs"), F.when(own != UNKNOWN, processing_crs(own, lon, lat, explicit)).alias("processing_crs"), F.lit("EPSG:4326").alias("display_crs"))
+
+
+_E2 = FLATTENING * (2 - FLATTENING)
+_E = _E2**0.5
+#: (EPSG, sign of the pole, latitude of true scale, central meridian).
+POLAR = [(3413, 1, 70.0, -45.0), (3031, -1, -71.0, 0.0)]
+
+
+def _colatitude(phi: Column) -> Column:
+    """tan of half the conformal colatitude."""
+    s = F.lit(_E) * F.sin(phi)
+    return F.tan(F.lit(0.7853981633974483) - phi / 2) / F.pow((1 - s) / (1 + s), F.lit(_E / 2))
+
+
+def _polar_scale(true: float) -> Column:
+    phi = F.radians(F.lit(abs(true)))
+    return F.lit(A) * F.cos(phi) / F.sqrt(1 - F.lit(_E2) * F.sin(phi) ** 2) / _colatitude(phi)
+
+
+def to_polar(lon: Column, lat: Column, sign: int, true: float, meridian: float) -> Column:
+    """STRUCT<x, y> in metres."""
+    rho = _polar_scale(true) * _colatitude(F.radians(lat * sign))
+    turn = F.radians(lon - meridian)
+    return F.struct((rho * F.sin(turn)).alias("x"), (F.lit(-sign) * rho * F.cos(turn)).alias("y"))
+
+
+def from_polar(x: Column, y: Column, sign: int, true: float, meridian: float) -> Column:
+    """STRUCT<lon, lat>; the latitude by fixed-point steps, each some 300 times nearer."""
+    t = F.sqrt(x * x + y * y) / _polar_scale(true)
+    start = F.lit(1.5707963267948966) - 2 * F.atan(t)
+
+    def nearer(phi: Column, _: Column) -> Column:
+        s = F.lit(_E) * F.sin(phi)
+        return F.lit(1.5707963267948966) - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(_E / 2)))
+
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, nearer)
+    lon = F.degrees(F.atan2(x, F.lit(-sign) * y)) + meridian
+    return F.struct((F.pmod(lon + 180, F.lit(360.0)) - 180).alias("lon"), (F.degrees(phi) * sign).alias("lat"))
+
+
+def to_wgs84(x: Column, y: Column, code: Column) -> Column:
+    """STRUCT<lon, lat> of a point in any supported CRS but 3857; null for others."""
+    n = number(code)
+    out = F.when(n == 4326, F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))).when(n.between(32601, 32660) | n.between(32701, 32760), from_utm(x, y, n % 100, n < 32700))
+    for epsg, *p in POLAR:
+        out = out.when(n == epsg, from_polar(x, y, *p))
+    return out
+
+
+def from_wgs84(lon: Column, lat: Column, code: Column) -> Column:
+    """STRUCT<x, y> of a place in any supported CRS but 3857; null for others."""
+    n = number(code)
+    out = F.when(n == 4326, F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))).when(n.between(32601, 32660) | n.between(32701, 32760), to_utm(lon, lat, n % 100, n < 32700))
+    for epsg, *p in POLAR:
+        out = out.when(n == epsg, to_polar(lon, lat, *p))
+    return out
+
+
+def transform(x: Column, y: Column, source: Column, target: Column) -> Column:
+    """STRUCT<x, y>; always (x, y) or (lon, lat), never (lat, lon). Equal codes change nothing."""
+    moved = let(to_wgs84(x, y, source), lambda g: from_wgs84(g["lon"], g["lat"], target))
+    return F.when(number(source) == number(target), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))).otherwise(moved)
+
+
+def transform_ring(ring: Column, source: Column, target: Column) -> Column:
+    """A ring, point by point."""
+    return F.transform(ring, lambda p: transform(p["x"], p["y"], source, target))
+
+
+def _open_area(points: list[Column]) -> Column:
+    turn = sum((p["x"] * q["y"] - q["x"] * p["y"] for p, q in zip(points, [*points[1:], points[0]])), F.lit(0.0))
+    return F.abs(turn) / 2
+
+
+def processing_crs_of_bounds(x0: Column, y0: Column, x1: Column, y1: Column, source: Column) -> Column:
+    """By the middle of the extent; null if the source is unknown or the extent isn't defined."""
+    mid = let(to_wgs84((x0 + x1) / 2, (y0 + y1) / 2, source), lambda g: processing_crs(source, g["lon"], g["lat"]))
+    return F.when(resolve(source).isNotNull(), F.coalesce(F.when(is_metric(source), resolve(source)), mid))
+
+
+def _corners(x0, y0, x1, y1, source, target) -> Column:
+    return F.array(*(transform(x, y, source, target) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+
+
+def bounds_area(x0: Column, y0: Column, x1: Column, y1: Column, source: Column, target: Column) -> Column:
+    """Area of the four corners once they are transformed; null if it isn't positive."""
+    area = let(_corners(x0, y0, x1, y1, source, target), lambda c: _open_area([c[i] for i in range(4)]))
+    return F.when(area > 0, area)
+
+
+def density(n: Column, x0: Column, y0: Column, x1: Column, y1: Column, source: Column) -> Column:
+    """Points a square metre of the extent; null where that isn't defined."""
+    return F.when(n > 0, n / bounds_area(x0, y0, x1, y1, source, processing_crs_of_bounds(x0, y0, x1, y1, source)))
+
+
+def display_bounds(x0: Column, y0: Column, x1: Column, y1: Column, source: Column, digits: int = 7) -> Column:
+    """STRUCT<x0, y0, x1, y1> in degrees, from all four corners."""
+    c = _corners(x0, y0, x1, y1, source, F.lit("EPSG:4326"))
+    pick = lambda f, k: F.round(f(F.transform(c, lambda p: p[k])), digits)
+    return F.when(resolve(source).isNotNull(), F.struct(pick(F.array_min, "x").alias("x0"), pick(F.array_min, "y").alias("y0"), pick(F.array_max, "x").alias("x1"), pick(F.array_max, "y").alias("y1")))

@@ -50,3 +50,41 @@ def next_source_id(sources: DataFrame, col: str = "id") -> DataFrame:
     """DS-nnn, one past the largest well-formed id."""
     n = F.coalesce(F.max(F.regexp_extract(col, r"^DS-(\d+)$", 1).try_cast("long") if hasattr(Column, "try_cast") else F.expr(f"try_cast(regexp_extract({col}, '^DS-([0-9]+)$', 1) as long)")), F.lit(0)) + 1
     return sources.agg(F.concat(F.lit("DS-"), F.lpad(n.cast("string"), 3, "0")).alias("next_id"))
+
+
+def unit_label(building_id: Column, floor: Column, label: Column) -> Column:
+    """A plan's own label, told apart by building and storey."""
+    return F.concat_ws("-", building_id, F.concat(F.lit("F"), F.lpad(floor.cast("string"), 2, "0")), label)
+
+
+def extraction_ordinal(building_id: Column, fallback: Column) -> Column:
+    """The number that an id ends with after its last hyphen, else the fallback."""
+    tail = F.regexp_extract(building_id, r"(?:^|-)([0-9]+)$", 1)
+    return F.when(tail != "", tail.cast("long")).otherwise(fallback.cast("long"))
+
+
+def type_by_fields(**has: Column) -> Column:
+    """The kind of a record without a telling id, by which fields it carries; a field that isn't given is missing."""
+    there = lambda *names: F.lit(True) if not names else (has[names[0]].isNotNull() if names[0] in has else F.lit(False)) & there(*names[1:])
+    return F.when(there("floor_number", "unit_label"), "PROPERTY_VOLUME").when(there("parcel_id", "floor_count"), "BUILDING").when(there("parcel_id", "geometry"), "PARCEL").when(there("type"), "INFRASTRUCTURE").otherwise("PROPERTY_VOLUME")
+
+
+def event_id(prefix: str, at: Column, *parts: Column) -> Column:
+    """{prefix}-{UTC microseconds}-{eight hex digits of the parts}: ids sort by time, and a retried task gives the same."""
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMddHHmmssSSSSSS"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8))
+
+
+def iso(at: Column) -> Column:
+    """A timestamp as ISO text to the second; fractions only where there are any."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_trunc("second", at) == at, whole).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def day(text: Column) -> Column:
+    """The date that the first ten characters name; null if they name none."""
+    return F.to_date(F.when(F.substring(text, 1, 10).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.substring(text, 1, 10)), "yyyy-MM-dd")
+
+
+def now_utc() -> Column:
+    """The query's start as ISO text in the session's time zone, which is UTC in this library's sessions."""
+    return iso(F.current_timestamp())

@@ -1,7 +1,7 @@
 """The thirty integrity rules, each a DataFrame of (object_a, object_b, measure) over a catalog of collections.
 
 ``RULES`` is ordered; order is behaviour. A rule reads only the collections it names, and further ones can be
-registered. Storey rules come keyed by building; the ``_global`` variants ignore the building.
+registered. Storey rules compare all records, as ``_global``; variants keyed by building are there beside them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import boxes as B
 from plumbline.functions import rings as R
+from plumbline.functions.shapes import shared_area
 
 from .spatial_join import first_containing, grid_pairs
 
@@ -116,13 +117,19 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     return finding(pairs.where(v > B.EPS_AREA), "a.id", "b.id", v)
 
 
-@rule("VERT-FLOOR-OVERLAP", "VERTICAL", "CRITICAL")
 def floor_overlap(cat):
+    """Storeys of one building only."""
     a, b = cat.floors.alias("a"), cat.floors.alias("b")
     return _overlaps(a.join(b, (F.col("a.building_id") == F.col("b.building_id")) & (F.col("a.seq") < F.col("b.seq"))))
 
 
-@rule("VERT-PROPERTY-OVERLAP", "VERTICAL", "CRITICAL")
+@rule("VERT-FLOOR-OVERLAP", "VERTICAL", "CRITICAL")
+def floor_overlap_global(cat):
+    """Any two storeys, of whatever buildings: the grid join."""
+    cols = cat.floors.select("id", "seq", "x0", "y0", "x1", "y1", "z_min", "z_max")
+    return _overlaps(grid_pairs(cols, cols, CELL, F.col("a.seq") < F.col("b.seq")))
+
+
 def property_overlap(cat):
     """Keyed by block (the building's place) and storey, so cost is linear in the volumes."""
     a, b = cat.properties.alias("a"), cat.properties.alias("b")
@@ -130,6 +137,7 @@ def property_overlap(cat):
     return _overlaps(a.join(b, on & B.touches_box("a", "b")))
 
 
+@rule("VERT-PROPERTY-OVERLAP", "VERTICAL", "CRITICAL")
 def property_overlap_global(cat):
     """Any two volumes of one storey number (null equals null), wherever they are: the grid join."""
     cols = cat.properties.select("id", "seq", "floor_number", "x0", "y0", "x1", "y1", "z_min", "z_max")
@@ -140,13 +148,14 @@ def _bands(cat, *by) -> DataFrame:
     return cat.properties.groupBy(*by, "floor_number").agg(F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
 
 
-@rule("VERT-FLOOR-GAP", "VERTICAL", "WARNING")
 def floor_gap(cat):
+    """Within each building, over its own storeys."""
     w = Window.partitionBy("building_id").orderBy("z_min", "floor_number")
     f = cat.floors.withColumn("next_id", F.lead("id").over(w)).withColumn("gap", F.lead("z_min").over(w) - F.col("z_max"))
     return finding(f.where(F.col("gap") > B.EPS_GAP), "id", "next_id", "gap")
 
 
+@rule("VERT-FLOOR-GAP", "VERTICAL", "WARNING")
 def floor_gap_global(cat):
     """Bands by storey number over all buildings: as many rows as there are storey numbers."""
     w = Window.orderBy("z_min", "floor_number")
@@ -156,13 +165,12 @@ def floor_gap_global(cat):
 
 @rule("VERT-DISCONNECTED-STACK", "VERTICAL", "WARNING")
 def disconnected_stack(cat):
+    """Neighbouring storeys of a block whose footprints, each the union of its units', share no area in plan."""
     w = Window.partitionBy("block").orderBy("z_min", "floor_number")
-    f = _bands(cat, "block")
-    for c in ("x0", "y0", "x1", "y1", "floor_number"):
-        f = f.withColumn(f"n_{c}", F.lead(c).over(w))
-    shared = F.greatest(F.lit(0.0), F.least("x1", "n_x1") - F.greatest("x0", "n_x0")) * F.greatest(F.lit(0.0), F.least("y1", "n_y1") - F.greatest("y0", "n_y0"))
+    f = cat.properties.groupBy("block", "floor_number").agg(F.min("z_min").alias("z_min"), F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+    f = f.withColumns({"next": F.lead("floor_number").over(w), "above": F.lead("boxes").over(w)}).where("next is not null").withColumn("shared", shared_area(F.col("boxes"), F.col("above")))
     name = lambda c: F.concat(F.col("block").cast("string"), F.lit("/"), F.col(c).cast("string"))
-    return finding(f.where(F.col("n_x0").isNotNull() & (shared < B.EPS_AREA)), name("floor_number"), name("n_floor_number"), shared)
+    return finding(f.where(F.col("shared") < B.EPS_AREA), name("floor_number"), name("next"), "shared")
 
 
 @rule("VERT-Z-ORDER", "VERTICAL", "CRITICAL")
@@ -233,7 +241,7 @@ def infra_collisions(cat, *kinds: str) -> DataFrame:
 
 
 for _kind in ("TUNNEL", "BASEMENT", "FOUNDATION", "ELEVATED_STRUCTURE"):
-    RULES[f"INFRA-{_kind}-COLLISION"] = Rule(f"INFRA-{_kind}-COLLISION", "INFRASTRUCTURE", "CRITICAL", lambda cat, k=_kind: infra_collisions(cat, k))
+    RULES[f"INFRA-{_kind}"] = Rule(f"INFRA-{_kind}", "INFRASTRUCTURE", "CRITICAL", lambda cat, k=_kind: infra_collisions(cat, k))
 
 # --- change ------------------------------------------------------------------------------------
 

@@ -37,7 +37,12 @@ def query(name: str, sql: str | None = None, *views: str):
     return add
 
 
+RULE_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
+
+
 def rule_query(name: str, build, sql: str | None = None, *views: str):
+    if sql:
+        RULE_SQL[name] = sql, views
     query(name, sql and f"SELECT CAST(object_a AS VARCHAR) AS object_a, CAST(object_b AS VARCHAR) AS object_b, CAST(measure AS DOUBLE) AS measure FROM ({sql}) t", *views)(build)
 
 
@@ -63,13 +68,13 @@ query("spatial_query_within", "SELECT id FROM buildings WHERE x0 <= 130 AND x1 >
 query("import_source_types", "SELECT CASE WHEN instr(url, '?') > 0 THEN 'QUERY' WHEN instr(url, '#') > 0 THEN 'FRAGMENT' ELSE 'PLAIN' END AS kind, count(*) AS n, sum(CAST(strlen(html) AS BIGINT))::BIGINT AS bytes FROM pages GROUP BY 1")(
     lambda c: c.pages.groupBy(F.when(F.instr("url", "?") > 0, "QUERY").when(F.instr("url", "#") > 0, "FRAGMENT").otherwise("PLAIN").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
 )
-query("upsert_volumes", "SELECT id, floor_number, z_max FROM properties WHERE id NOT IN (SELECT id FROM survey) UNION ALL SELECT id, floor_number, z_max FROM survey", "properties", "survey")(
+query("upsert_volumes", "SELECT p.id, p.floor_number, p.z_max FROM properties p LEFT JOIN survey s ON p.id = s.id WHERE s.id IS NULL UNION ALL SELECT id, floor_number, z_max FROM survey", "properties", "survey")(
     lambda c: store.upsert(c.properties.select("id", "floor_number", "z_max"), c.survey.select("id", "floor_number", "z_max"), ["id"])
 )
 query("update_fields", "SELECT p.id, coalesce(s.z_max, p.z_max) AS z_max, p.ulpin FROM properties p LEFT JOIN survey s ON p.id = s.id", "properties", "survey")(
     lambda c: store.update(c.properties.select("id", "z_max", "ulpin"), c.survey.select("id", "z_max", F.lit("no").alias("ulpin")), ["z_max"])
 )
-query("delete_by_id", "SELECT id FROM properties WHERE id NOT IN (SELECT id FROM survey)", "properties", "survey")(lambda c: store.delete(c.properties.select("id"), c.survey))
+query("delete_by_id", "SELECT p.id FROM properties p LEFT JOIN survey s ON p.id = s.id WHERE s.id IS NULL", "properties", "survey")(lambda c: store.delete(c.properties.select("id"), c.survey))
 
 # --- geometry, CRS, identifiers -----------------------------------------------------------------
 
@@ -137,6 +142,7 @@ rule_query("rule_unassigned_building", rules.unassigned_building, _IN.format("bu
 rule_query("rule_unassigned_property", rules.unassigned_property, _IN.format("properties"), "properties", "parcels")
 _PAIR = f"SELECT a.id AS object_a, b.id AS object_b, {_VOL} AS measure"
 rule_query("rule_floor_overlap", rules.floor_overlap, f"{_PAIR} FROM floors a JOIN floors b ON a.building_id = b.building_id AND a.seq < b.seq WHERE {_VOL} > 0.01", "floors")
+rule_query("rule_floor_overlap_global", rules.floor_overlap_global, f"{_PAIR} FROM floors a JOIN floors b ON a.y0 = b.y0 AND floor(a.x0 / 100) = floor(b.x0 / 100) AND a.seq < b.seq WHERE {_VOL} > 0.01", "floors")
 rule_query("rule_property_overlap", rules.property_overlap, f"{_PAIR} {_P} JOIN properties b ON a.block = b.block AND a.floor_number IS NOT DISTINCT FROM b.floor_number AND a.seq < b.seq WHERE {_VOL} > 0.01", "properties")
 rule_query("rule_property_overlap_global", rules.property_overlap_global, f"{_PAIR} {_P} JOIN properties b ON a.site = b.site AND a.floor_number IS NOT DISTINCT FROM b.floor_number AND a.seq < b.seq WHERE {_VOL} > 0.01 UNION ALL {_PAIR} {_P} JOIN properties b ON a.site <> b.site AND a.floor_number = b.floor_number AND a.y0 = b.y0 AND a.seq < b.seq AND {_TOUCH} WHERE {_VOL} > 0.01", "properties")
 rule_query("rule_floor_gap", rules.floor_gap, "SELECT id AS object_a, nxt AS object_b, gap AS measure FROM (SELECT id, lead(id) OVER w AS nxt, lead(z_min) OVER w - z_max AS gap FROM floors WINDOW w AS (PARTITION BY building_id ORDER BY z_min, floor_number)) t WHERE gap > 0.05", "floors")
@@ -170,12 +176,23 @@ _FOUND = f"""SELECT 'GEOM-INVALID-Z-RANGE' AS rule_id, 'GEOMETRY' AS category, '
  UNION ALL SELECT 'CAD-MISSING-PARENT', 'CADASTRE', 'CRITICAL', id FROM properties WHERE coalesce(parcel_id, '') <> '' AND parcel_id NOT IN (SELECT id FROM parcels)
  UNION ALL SELECT 'CAD-ORPHAN-PROPERTY', 'CADASTRE', 'CRITICAL', id FROM properties WHERE building_id NOT IN (SELECT id FROM buildings)
  UNION ALL SELECT 'PARCEL-BUILDING-OUTSIDE', 'PARCEL', 'WARNING', a.id FROM buildings a JOIN parcels b ON a.parcel_id = b.id WHERE {area_sql("a.")} - {_PLAN} > 0.01
- UNION ALL SELECT 'VERT-PROPERTY-OVERLAP', 'VERTICAL', 'CRITICAL', a.id {_P} JOIN properties b ON a.block = b.block AND a.floor_number = b.floor_number AND a.seq < b.seq WHERE {_VOL} > 0.01"""
+ UNION ALL SELECT 'VERT-PROPERTY-OVERLAP', 'VERTICAL', 'CRITICAL', object_a FROM ({RULE_SQL['rule_property_overlap_global'][0]}) q"""
 query("validation_summary_grouping_sets", f"SELECT severity, category, rule_id, count(*) AS n FROM ({_FOUND}) f GROUP BY GROUPING SETS ((severity), (category), (rule_id), ())", "properties", "parcels", "buildings")(lambda c: rules.summary(rules.run_rules(c, *_RUN)))
 query("validation_run_counts", f"SELECT count(*) AS issues, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'WARNING') AS warning FROM ({_FOUND}) f", "properties", "parcels", "buildings")(
     lambda c: rules.run_rules(c, *_RUN).agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "WARNING").alias("warning"))
 )
-query("validation_run_all")(lambda c: rules.run_rules(c).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n")))
+_OF_RULE = {
+    "GEOM-INVALID": "invalid_geometry", "GEOM-SELF-INTERSECTION": "self_intersection", "GEOM-ZERO-AREA": "zero_area", "GEOM-ZERO-VOLUME": "zero_volume", "GEOM-INVALID-Z-RANGE": "invalid_z_range", "PARCEL-PROPERTY-OUTSIDE": "property_outside_first",
+    "PARCEL-BUILDING-OUTSIDE": "building_outside", "PARCEL-UNASSIGNED-BUILDING": "unassigned_building", "PARCEL-UNASSIGNED-PROPERTY": "unassigned_property", "VERT-FLOOR-OVERLAP": "floor_overlap_global", "VERT-PROPERTY-OVERLAP": "property_overlap_global",
+    "VERT-FLOOR-GAP": "floor_gap_global", "VERT-DISCONNECTED-STACK": "disconnected_stack", "VERT-Z-ORDER": "z_order", "VERT-FLOOR-HEIGHT": "floor_height", "CAD-DUPLICATE-ULPIN": "duplicate_ulpin", "CAD-DUPLICATE-GEOMETRY": "duplicate_geometry",
+    "CAD-MISSING-PARENT": "missing_parent", "CAD-ORPHAN-PROPERTY": "orphan_property", "CAD-INVALID-HIERARCHY": "invalid_hierarchy", "INFRA-UTILITY-COLLISION": "utility_collision", "INFRA-TUNNEL": "infra_tunnel", "INFRA-BASEMENT": "infra_basement",
+    "INFRA-FOUNDATION": "infra_foundation", "INFRA-ELEVATED_STRUCTURE": "infra_elevated_structure", "CHANGE-FOOTPRINT": "change_footprint", "CHANGE-HEIGHT": "change_height", "CHANGE-VOLUME": "change_volume", "CHANGE-NEW-FLOOR": "new_floor", "CHANGE-REMOVED-FLOOR": "removed_floor",
+}
+query(
+    "validation_run_all",
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{rules.RULES[r].severity}' AS severity, count(*) AS n FROM ({RULE_SQL[f'rule_{q}'][0]}) q{k}" for k, (r, q) in enumerate(_OF_RULE.items())) + ") t WHERE n > 0",
+    *sorted({v for q in _OF_RULE.values() for v in RULE_SQL[f"rule_{q}"][1]}),
+)(lambda c: rules.run_rules(c).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n")))
 
 # --- aggregates ---------------------------------------------------------------------------------
 

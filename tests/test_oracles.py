@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from plumbline.plans.catalogue import ORACLES, QUERIES
+from plumbline.plans.records import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
