@@ -184,7 +184,10 @@ def from_polar(x: Column, y: Column, sign: int, true: float, meridian: float) ->
 
 def to_wgs84(x: Column, y: Column, code: Column) -> Column:
     """STRUCT<lon, lat> of a point in any supported CRS but 3857; null for others."""
-    n = number(code)
+    return let(number(code), lambda n: _to_wgs84(x, y, n))
+
+
+def _to_wgs84(x: Column, y: Column, n: Column) -> Column:
     out = F.when(n == 4326, F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))).when(n.between(32601, 32660) | n.between(32701, 32760), from_utm(x, y, n % 100, n < 32700))
     for epsg, *p in POLAR:
         out = out.when(n == epsg, from_polar(x, y, *p))
@@ -193,7 +196,10 @@ def to_wgs84(x: Column, y: Column, code: Column) -> Column:
 
 def from_wgs84(lon: Column, lat: Column, code: Column) -> Column:
     """STRUCT<x, y> of a place in any supported CRS but 3857; null for others."""
-    n = number(code)
+    return let(number(code), lambda n: _from_wgs84(lon, lat, n))
+
+
+def _from_wgs84(lon: Column, lat: Column, n: Column) -> Column:
     out = F.when(n == 4326, F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))).when(n.between(32601, 32660) | n.between(32701, 32760), to_utm(lon, lat, n % 100, n < 32700))
     for epsg, *p in POLAR:
         out = out.when(n == epsg, to_polar(lon, lat, *p))
@@ -202,8 +208,13 @@ def from_wgs84(lon: Column, lat: Column, code: Column) -> Column:
 
 def transform(x: Column, y: Column, source: Column, target: Column) -> Column:
     """STRUCT<x, y>; always (x, y) or (lon, lat), never (lat, lon). Equal codes change nothing."""
-    moved = let(to_wgs84(x, y, source), lambda g: from_wgs84(g["lon"], g["lat"], target))
-    return F.when(number(source) == number(target), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))).otherwise(moved)
+    given = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), number(source).alias("s"), number(target).alias("t"))
+
+    def moved(v: Column) -> Column:
+        there = let(_to_wgs84(v["x"], v["y"], v["s"]), lambda g: _from_wgs84(g["lon"], g["lat"], v["t"]))
+        return F.when(v["s"] == v["t"], F.struct(v["x"].alias("x"), v["y"].alias("y"))).otherwise(there)
+
+    return let(given, moved)
 
 
 def transform_ring(ring: Column, source: Column, target: Column) -> Column:
@@ -223,7 +234,9 @@ def processing_crs_of_bounds(x0: Column, y0: Column, x1: Column, y1: Column, sou
 
 
 def _corners(x0, y0, x1, y1, source, target) -> Column:
-    return F.array(*(transform(x, y, source, target) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    codes = F.struct(source.cast("string").alias("s"), target.cast("string").alias("t"))
+    return let(codes, lambda c: F.transform(F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1)), lambda q: transform(q["x"], q["y"], c["s"], c["t"])))
 
 
 def bounds_area(x0: Column, y0: Column, x1: Column, y1: Column, source: Column, target: Column) -> Column:
@@ -234,11 +247,12 @@ def bounds_area(x0: Column, y0: Column, x1: Column, y1: Column, source: Column,
 
 def density(n: Column, x0: Column, y0: Column, x1: Column, y1: Column, source: Column) -> Column:
     """Points a square metre of the extent; null where that isn't defined."""
-    return F.when(n > 0, n / bounds_area(x0, y0, x1, y1, source, processing_crs_of_bounds(x0, y0, x1, y1, source)))
+    area = let(processing_crs_of_bounds(x0, y0, x1, y1, source), lambda t: bounds_area(x0, y0, x1, y1, source, t))
+    return F.when(n > 0, n / area)
 
 
 def display_bounds(x0: Column, y0: Column, x1: Column, y1: Column, source: Column, digits: int = 7) -> Column:
     """STRUCT<x0, y0, x1, y1> in degrees, from all four corners."""
-    c = _corners(x0, y0, x1, y1, source, F.lit("EPSG:4326"))
-    pick = lambda f, k: F.round(f(F.transform(c, lambda p: p[k])), digits)
-    return F.when(resolve(source).isNotNull(), F.struct(pick(F.array_min, "x").alias("x0"), pick(F.array_min, "y").alias("y0"), pick(F.array_max, "x").alias("x1"), pick(F.array_max, "y").alias("y1")))
+    pick = lambda c, f, k: F.round(f(F.transform(c, lambda p: p[k])), digits)
+    box = let(_corners(x0, y0, x1, y1, source, F.lit("EPSG:4326")), lambda c: F.struct(pick(c, F.array_min, "x").alias("x0"), pick(c, F.array_min, "y").alias("y0"), pick(c, F.array_max, "x").alias("x1"), pick(c, F.array_max, "y").alias("y1")))
+    return F.when(resolve(source).isNotNull(), box)
