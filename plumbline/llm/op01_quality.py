@@ -71,7 +71,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     stats = cut(statistics(docs, id_col, text_col, host, path))
     own = labels.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{label_col}` as double) y").where("y is not null and doc_id is not null")
     own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    train = stats.join(own, "doc_id").select("x", "y").limit(2 * train_rows).toPandas()
+    train = stats.join(own, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).toPandas()  # at most train_rows; of repeated ids the least
     x = np.stack(train.x.to_list()).astype(float) if len(train) else np.zeros((0, len(FEATURES)))
     mean, dev, w = fit(x, train.y.to_numpy(float))
     # the linear form as a column expression: 1, z, z * z

@@ -47,6 +47,23 @@ KNOWN = [
     ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
+#: Digests of the canonical forms of longer licence texts, whole: (id, digest).
+DIGESTS = [
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Artistic-1.0-Perl", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+]
+
 
 def canonical(text):
     """The canonical form as a column; every copyright notice is dropped with its line."""
@@ -61,9 +78,10 @@ def canonical(text):
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, digest, license_id (null if none). known: (license_id, text)."""
     spark = docs.sparkSession
+    more = spark.createDataFrame(DIGESTS if known is None else [], "license_id string, digest string")
     if known is None:
         known = spark.createDataFrame(KNOWN, "license_id string, text string")
-    digests = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), canonical(F.col("text")).alias("c")).where("c <> ''").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), canonical(F.col("text")).alias("c")).where("c <> ''").select("license_id", "digest").unionAll(more).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(canonical(F.col(text_col).cast("string")), 256).alias("digest"))
     return own.join(digests, "digest", "left").select("doc_id", "digest", "license_id")
 
@@ -80,5 +98,6 @@ def sql() -> str:
         return f"trim(regexp_replace({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
 
     known = ", ".join(f"({q(i)}, {q(t)})" for i, t in KNOWN)
-    return f"""WITH known AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {known}) AS k(license_id, text) GROUP BY 1)
+    more = ", ".join(f"({q(i)}, {q(d)})" for i, d in DIGESTS)
+    return f"""WITH known AS (SELECT sha256({form("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {known}) AS k(license_id, text) GROUP BY 1 UNION ALL SELECT digest, license_id FROM (VALUES {more}) AS m(license_id, digest))
 SELECT doc_id, d.digest, license_id FROM (SELECT doc_id, sha256({form("text")}) AS digest FROM documents) d LEFT JOIN known ON known.digest = d.digest"""

@@ -119,11 +119,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             data, offs = K.text_buffer(b.column("text"))
             h, doc = doc_words(data, offs)
             cuts = np.searchsorted(doc, np.arange(1, len(b)))
-            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("g"), pa.array([np.unique(x).tobytes() for x in np.split(h, cuts)], pa.binary())], names=["y", "g", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("g"), pa.array([np.unique(x).tobytes() for x in np.split(h, cuts)], pa.binary())], names=["doc_id", "y", "g", "h"])
 
     # train_rows bounds the broadcast side
-    src = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").join(F.broadcast(own), "doc_id").select("y", "g", "text")
-    t = src.mapInArrow(run, "y int, g int, h binary").limit(2 * train_rows).toPandas()
+    src = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").join(F.broadcast(own), "doc_id").select("doc_id", "y", "g", "text")
+    # of repeated ids the least row
+    t = src.mapInArrow(run, "doc_id long, y int, g int, h binary").groupBy("doc_id").agg(F.min(F.struct("h", "y", "g")).alias("r")).select("r.*").toPandas()
     toxic = t.y.to_numpy(int) > 0
     severity = np.clip(t.g.fillna(0).to_numpy(int), 0, grades) if severity_col else None
     return fit([np.frombuffer(x, np.uint64) for x in t.h], toxic, severity, grades, most_words, least_docs)

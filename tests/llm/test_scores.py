@@ -152,6 +152,19 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: None, 3: "CC-BY-NC-4.0-notice", 4: "MIT-notice", 5: None, 6: None}
 
 
+def test_installed_license_texts(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = [n for n in names if os.path.exists(f"{folder}/{n}")]
+    if not there:
+        pytest.skip("no licence texts here")
+    rows = [(k, "(c) 2020 x\n" + " ".join(open(f"{folder}/{n}").read().upper().split(" "))) for k, n in enumerate(there)]
+    got = {r.doc_id: r.license_id for r in license_scan(frame(spark, rows, "doc_id long, text string", 1)).collect()}
+    assert got == {k: names[n] for k, n in enumerate(there)}
+
+
 def test_toxicity_held_out(spark):
     rows, labels = corpus()
     known = [x for x in labels if x[0] % 3]
