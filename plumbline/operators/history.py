@@ -65,16 +65,19 @@ def of_case(log: DataFrame, case_id: str) -> DataFrame:
 # --- provenance --------------------------------------------------------------------------------
 
 
-def walk(links: DataFrame, seeds: DataFrame, up: bool, most: int = 64) -> DataFrame:
+def walk(links: DataFrame, seeds: DataFrame, up: bool) -> DataFrame:
     """(seed, object_id, depth): everything reached from the seeds, the shortest way first. Each round joins
     only the newest rows; a cycle ends when a round brings nothing new."""
     from plumbline.operators.store import cut
 
     here, there = ("object_id", "parent_id") if up else ("parent_id", "object_id")
     edge = links.where("parent_id is not null").select(F.col(here).alias("h"), F.col(there).alias("t")).distinct()
+    edge = cut(edge)  # read in every round
     new = seeds.select(F.col("object_id").alias("seed"), "object_id", F.lit(0).alias("depth"))
     seen = new
-    for d in range(1, most + 1):
+    d = 0
+    while True:
+        d += 1
         new = new.join(edge, F.col("object_id") == F.col("h")).select("seed", F.col("t").alias("object_id"), F.lit(d).alias("depth")).distinct()
         new = cut(new.join(seen.select("seed", "object_id"), ["seed", "object_id"], "left_anti"))
         if new.isEmpty():

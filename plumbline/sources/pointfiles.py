@@ -113,8 +113,9 @@ def _files(spark: SparkSession, path: str, most_bytes: int | None) -> DataFrame:
     return f if most_bytes is None else f.where(F.col("length") <= most_bytes)
 
 
-def headers(spark: SparkSession, path: str, most_bytes: int | None = 10_000_000) -> DataFrame:
-    """One row per file: format, version, count, extent, CRS, hash, and what is wrong with it."""
+def headers(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
+    """One row per file: format, version, count, extent, CRS, hash, and what is wrong with it. Files beyond a given limit are left out;
+    ``ingest.refused`` names them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
