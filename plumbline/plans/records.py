@@ -132,16 +132,22 @@ query("change_direction", f"SELECT a.id, CASE WHEN {area_sql('b.')} - {area_sql(
 query("base_datum", "SELECT p.building, round(quantile_cont(z, 0.02), 6) AS base_z FROM points p JOIN (SELECT building, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM points GROUP BY 1) m ON p.building = m.building WHERE abs(x - mx) <= 2 AND abs(y - my) <= 2 GROUP BY 1", "points")(
     lambda c: storeys.base_datum(c.points, c.spark.createDataFrame([], "id long, x0 double, y0 double, x1 double, y1 double")).withColumn("base_z", F.round("base_z", 6))
 )
-_LEVELS = F.array(*(F.struct(F.lit(z).alias("z"), F.lit(s).alias("snapped"), F.lit(e).alias("evidence")) for z, s, e in ((0.0, True, 1.0), (100.0, True, 0.5), (130.0, False, 0.0), (300.0, True, 0.25))))
-query("points_by_storey", "SELECT CASE WHEN z <= 50 THEN 1 WHEN z <= 115 THEN 2 ELSE 3 END AS storey, count(*) AS n FROM points GROUP BY 1", "points")(lambda c: c.points.groupBy(storeys.storey_of(F.col("z"), _LEVELS).alias("storey")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _levels():
+    level = lambda z, snapped, evidence: F.struct(F.lit(z).alias("z"), F.lit(snapped).alias("snapped"), F.lit(evidence).alias("evidence"))
+    return F.array(level(0.0, True, 1.0), level(100.0, True, 0.5), level(130.0, False, 0.0), level(300.0, True, 0.25))
+
+
+query("points_by_storey", "SELECT CASE WHEN z <= 50 THEN 1 WHEN z <= 115 THEN 2 ELSE 3 END AS storey, count(*) AS n FROM points GROUP BY 1", "points")(lambda c: c.points.groupBy(storeys.storey_of(F.col("z"), _levels()).alias("storey")).agg(F.count(F.lit(1)).alias("n")))
 query("peaks_snapped", "SELECT id, CASE WHEN abs(z - 200) <= 60 AND abs(z - 200) <= abs(z - 100) THEN 200e0 WHEN abs(z - 100) <= 60 THEN 100e0 END AS peak FROM points", "points")(
     lambda c: c.points.select("id", storeys.snap(F.col("z"), F.array(*(F.struct(F.lit(v).alias("z"), F.lit(1.0).alias("evidence")) for v in (100.0, 200.0))), F.lit(60.0))["z"].alias("peak"))
 )
-query("levels_without_thin", "SELECT id, CASE WHEN floor_number < 6 THEN 4 ELSE 3 END AS n FROM floors", "floors")(lambda c: c.floors.select("id", F.size(storeys.without_thin(_LEVELS, F.col("floor_number") * 6.0)).alias("n")))
+query("levels_without_thin", "SELECT id, CASE WHEN floor_number < 6 THEN 4 ELSE 3 END AS n FROM floors", "floors")(lambda c: c.floors.select("id", F.size(storeys.without_thin(_levels(), F.col("floor_number") * 6.0)).alias("n")))
 query("storey_records", "SELECT building, storey, count(*) AS points, CASE storey WHEN 1 THEN 0e0 WHEN 2 THEN 100e0 ELSE 130e0 END AS z_min, CASE storey WHEN 1 THEN 4000e0 * 100 WHEN 2 THEN 4000e0 * 30 ELSE 4000e0 * 170 END AS volume_m3 FROM (SELECT building, CASE WHEN z <= 50 THEN 1 WHEN z <= 115 THEN 2 ELSE 3 END AS storey FROM points) p GROUP BY 1, 2", "points")(
     lambda c: storeys.records(
-        storeys.assigned(c.points.withColumn("height", F.col("z")), c.points.select("building").distinct().withColumn("levels", _LEVELS)),
-        c.points.select("building").distinct().withColumns({"levels": _LEVELS, "storey_height": F.lit(100.0)}),
+        storeys.assigned(c.points.withColumn("height", F.col("z")), c.points.select("building").distinct().withColumn("levels", _levels())),
+        c.points.select("building").distinct().withColumns({"levels": _levels(), "storey_height": F.lit(100.0)}),
         c.points.select(F.col("building").alias("id")).distinct().selectExpr("id", "0e0 x0", "0e0 y0", "100e0 x1", "40e0 y1"),
     ).select("building", "storey", "points", "z_min", "volume_m3")
 )
