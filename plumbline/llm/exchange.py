@@ -82,7 +82,8 @@ def batched(out: Iterator[tuple[int, int, bytes]], most: int = 8 << 20) -> Itera
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """(chunk number, its documents): runs of neighbouring rows with about ``most`` bytes of text."""
+    """(chunk number, its documents): runs of neighbouring rows, each up to the first row with which it has ``most`` bytes of text,
+    however the rows come in batches."""
     n, base, held, size = 0, TaskContext.get().partitionId() << 24, [], 0
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
@@ -91,7 +92,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
         np.cumsum(pa.compute.binary_length(lens).to_numpy(zero_copy_only=False), out=offs[1:])
         i = 0
         while i < len(b):
-            j = max(i + 1, int(np.searchsorted(offs, offs[i] + max(1, most - size), "right")) - 1)
+            j = min(len(b), max(i + 1, int(np.searchsorted(offs, offs[i] + max(1, most - size), "left"))))
             held.append(b.slice(i, j - i))
             size += int(offs[j] - offs[i])
             i = j

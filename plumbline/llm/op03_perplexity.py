@@ -12,8 +12,9 @@ Base rules count words, symbols, repeated lines and repeated 8-word windows of e
 3. *Scores.* With both answers a chunk holds all that the model says of its documents, and scores each without its
    own counts.
 
-The texts meet the answers twice, compressed; they are scanned again for it, or written once if their plan has a
-shuffle that could deal the rows out otherwise the next time.
+The texts meet the answers twice, each time in the partition of the scan that asked: the scan runs again and is zipped with the
+answers, so that no text is shuffled or written. If the documents' plan has a shuffle, which could deal the rows out otherwise the next
+time, they are written once before.
 
 A language's bands lie around its median log perplexity: ``below`` and ``above`` times half its interquartile
 range, and ``spread`` / sqrt(words) for short texts. A document outside them, or that fails the base
@@ -38,7 +39,8 @@ from .textstats import _SYMBOL, count_by, repeated_windows
 _ROWS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, log_ppl double"
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
-_CHUNK = 12 << 20
+_CHUNK = 3 << 20
+_PIECES = 16
 
 
 def base_counts(data: np.ndarray, offs: np.ndarray, window: int = 8) -> list[np.ndarray]:
@@ -145,58 +147,115 @@ def _knowledge(c: Chunk, answer: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
     return order, [keys[order], *(np.concatenate([a, b])[order] for a, b in zip(cols, of_lang))]
 
 
+def _pieces(chunk: int, blob: bytes):
+    """A chunk's bytes as ``_PIECES`` rows, so that rows stay small and every chunk has as many on each side of a zip."""
+    size = -(-len(blob) // _PIECES)
+    for k in range(_PIECES):
+        yield chunk, k, blob[k * size : (k + 1) * size]
+
+
 def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
     """Base counts and log perplexity of each document of (id, lang, text)."""
+    spark = src.sparkSession
+    parts = src.rdd.getNumPartitions()
+    if not parts or src.isEmpty():
+        return spark.createDataFrame([], _ROWS)
 
     def pairs(batches):
         def made():
             for c, t in X.chunks(batches, "text", _CHUNK):
                 x = Chunk(*K.text_buffer(t.column("text")), t.column("lang").to_pylist(), bits)
+                yield c, -1, b""  # every chunk is there, without words too
                 yield from _deal(c, x.keys, bits, n, x.count)
 
         yield from X.batched(made())
 
-    def texts(batches):
-        def made():
-            for c, t in X.chunks(batches, "text", _CHUNK):
-                data, offs = K.text_buffer(t.column("text"))
-                ids = t.column("id").combine_chunks()
-                lang = pa.RecordBatch.from_arrays([ids, t.column("lang").combine_chunks()], names=["id", "lang"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, lang.schema) as out:
-                    out.write_batch(lang)
-                yield c, -1, X.fields(K.pack(data.tobytes(), 6), K.pack(np.diff(offs)), K.pack(sink.getvalue().to_pybytes(), 3))
-
-        yield from X.batched(made())
-
-    def opened(head):
-        text, sizes, ids = X.unfields(head)
+    def texts(rows):
+        """The scan's rows in the same chunks again, as pieces; plain rows, so that a task needs one Python worker less."""
+
+        def batches():
+            held, size = [], 0
+            for r in rows:
+                held.append(r)
+                size += len(r[2] or "")
+                if size > 1 << 20:
+                    yield batch(held)
+                    held, size = [], 0
+            if held:
+                yield batch(held)
+
+        def batch(held):
+            i, x, t = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(x, pa.string()), pa.array(t, pa.string())], names=["id", "lang", "text"])
+
+        for c, t in X.chunks(batches(), "text", _CHUNK):
+            data, offs = K.text_buffer(t.column("text"))
+            head = pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), t.column("lang").combine_chunks()], names=["id", "lang"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as out:
+                out.write_batch(head)
+            yield from _pieces(c, X.fields(K.pack(data.tobytes()), K.pack(np.diff(offs)), sink.getvalue().to_pybytes()))
+
+    def gathered(answers: DataFrame):
+        """The answers back in the partitions of the scan that asked, in its order of chunks."""
+
+        def run(rows):
+            now, got = None, []
+            for c, k, x in rows:
+                if c != now and now is not None:
+                    yield from _pieces(now, X.fields(*got))
+                    got = []
+                now = c
+                if k != -1:
+                    got.append(bytes(x))
+            if now is not None:
+                yield from _pieces(now, X.fields(*got))
+
+        return answers.repartitionById(parts, F.shiftright("chunk", 24).cast("int")).sortWithinPartitions("chunk", "bucket").rdd.mapPartitions(run)
+
+    def opened(text: bytes):
+        text, sizes, head = X.unfields(text)
         data, offs = np.frombuffer(K.unpack(text), np.uint8), np.concatenate([[0], np.cumsum(K.unpack(sizes, np.int64))])
-        ids = pa.ipc.open_stream(K.unpack(ids)).read_next_batch()
-        return data, offs, ids, Chunk(data, offs, ids.column(1).to_pylist(), bits)
-
-    def look(c, heads, got):
-        *_, x = opened(heads[-1])
-        answer = np.concatenate([_unplanes(a) for _, a in got]) if got else np.zeros(0, np.int64)
-        _, (keys, *cols) = _knowledge(x, answer)
-        yield from X.batched(iter([(c, -2, _planes(answer)), *_deal(c, keys, 64, n, *cols)]))
-
-    def end(c, heads, got):
-        data, offs, ids, x = opened(heads[-1])
-        total = _unplanes(heads[-2]) >> 1
-        order = np.argsort(np.concatenate([x.words, x.lang_keys]), kind="stable")
-        known = np.empty((order.size, 5), np.int64)
-        known[order] = np.stack([np.concatenate([_unplanes(y) for y in col]) for col in zip(*(X.unfields(a) for _, a in got))], 1) if got else 0
-        words, langs = known[: x.words.size], known[x.words.size :]
-        score = W.log_likelihoods(x.doc, x.v[x.pair], x.w[x.pair], x.times, total[x.pair], words, x.lang, langs)
-        ppl = np.where(x.n_tokens > 0, -score / np.maximum(x.n_tokens, 1), 0.0)
-        yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), *(pa.array(v.astype(np.int64)) for v in base_counts(data, offs)), pa.array(x.n_tokens), pa.array(ppl)], names=[y.split()[0] for y in _ROWS.split(", ")])
-
-    heads = src.mapInArrow(texts, X.SCHEMA)
-    counts = X.by_bucket(src.mapInArrow(pairs, X.SCHEMA), n, lambda _, b: _add_up(b))
-    asked = X.by_chunk(heads.unionAll(counts), n, look, X.SCHEMA)
-    sums = X.by_bucket(asked, n, lambda _, b: _sums(b))
-    return X.by_chunk(heads.unionAll(sums), n, end, _ROWS)
+        head = pa.ipc.open_stream(head).read_next_batch()
+        return data, offs, head, Chunk(data, offs, head.column(1).to_pylist(), bits)
+
+    def chunks(rows):
+        """(chunk, its text, its answers) of zipped pieces."""
+        held = []
+        for (c, _, t), (d, _, x) in rows:
+            if c != d:
+                raise RuntimeError("the scan dealt its rows out otherwise the second time")
+            held.append((t, x))
+            if len(held) == _PIECES:
+                yield c, b"".join(t for t, _ in held), X.unfields(b"".join(x for _, x in held))
+                held = []
+
+    def look(rows):
+        for c, t, got in chunks(rows):
+            *_, x = opened(t)
+            total = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, got)])
+            _, (keys, *cols) = _knowledge(x, total)
+            yield c, -1, b""
+            yield c, -2, _planes(total >> 1)
+            yield from _deal(c, keys, 64, n, *cols)
+
+    def end(rows):
+        for _, t, (total, *got) in chunks(rows):
+            data, offs, head, x = opened(t)
+            total = _unplanes(total)
+            order = np.argsort(np.concatenate([x.words, x.lang_keys]), kind="stable")
+            known = np.empty((order.size, 5), np.int64)
+            known[order] = np.stack([np.concatenate([_unplanes(y) for y in col]) for col in zip(*map(X.unfields, got))], 1) if got else 0
+            words, langs = known[: x.words.size], known[x.words.size :]
+            score = W.log_likelihoods(x.doc, x.v[x.pair], x.w[x.pair], x.times, total[x.pair], words, x.lang, langs)
+            ppl = np.where(x.n_tokens > 0, -score / np.maximum(x.n_tokens, 1), 0.0)
+            yield from zip(head.column(0).to_pylist(), head.column(1).to_pylist(), *(v.tolist() for v in base_counts(data, offs)), x.n_tokens.tolist(), ppl.tolist())
+
+    text = src.rdd.mapPartitions(texts)
+    counts = gathered(X.by_bucket(src.mapInArrow(pairs, X.SCHEMA), n, lambda _, b: _add_up(b)))
+    asked = spark.createDataFrame(text.zip(counts).mapPartitions(look), X.SCHEMA, verifySchema=False)
+    sums = gathered(X.by_bucket(asked, n, lambda _, b: _sums(b)))
+    return spark.createDataFrame(text.zip(sums).mapPartitions(end), _ROWS, verifySchema=False)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 10.0, above: float = 3.0, spread: float = 2.0) -> DataFrame:
@@ -206,7 +265,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     src = docs.selectExpr(f"cast(`{id_col}` as long) id", f"coalesce(cast(`{lang_col}` as string), '') lang", f"cast(`{text_col}` as string) text")
     if "Exchange" in src._jdf.queryExecution().executedPlan().toString():
         src = written(src)
-    bits = min(60, max(44, X.input_bytes(src).bit_length() + 14))  # false meetings stay as rare at any size
+    bits = min(60, max(40, X.input_bytes(src).bit_length() + 10))  # false meetings stay as rare at any size
     rows = cut(scored(src, n, bits)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     fit = rows.where("not base_failed")
     q = fit.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 100_000).alias("q"))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from plumbline.llm.op01_quality import quality
@@ -69,5 +70,43 @@ def test_stages(spark, sf, tmp_path):
         docs = out
 
 
-def test_run(spark, sf):
-    assert P.run(spark, sf).count() > 0
+def test_run_is_its_stages(spark, sf):
+    """run() gives the rows of the stages applied in turn, each from its predecessor's rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in P.STAGES[:4]:
+        rows = stage(spark, docs, sf).collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+    want = {r.doc_id: n for r, n in zip(docs.collect(), map(len, ids_of([r.text for r in docs.collect()])))}
+    got = P.run(spark, sf).collect()
+    size = {}
+    for r in got:
+        size[r.doc_id] = size.get(r.doc_id, 0) + r.length
+    assert size == want and {r.doc_id: r.doc_tokens for r in got} == want
+    room = {}
+    for r in got:
+        room[r.sequence_id] = room.get(r.sequence_id, 0) + r.length
+    assert max(room.values()) <= 2048
+
+
+def test_null_repeated_and_clashing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(12)
+    rows = docs.collect()
+    text = rows[1].text
+    more = [(None, text, "en", "s0", 1), (None, "some other words " * 30, "en", "s0", 1), (rows[1].doc_id, text, "en", "s0", 1), (9000, "", "en", "s0", 0), (9001, None, None, None, None)]
+    df = spark.createDataFrame([tuple(r) for r in rows] + more, docs.schema)
+    for c in ("kept_id", "gone_id", "gone_", "id_", "key", "class", "first"):
+        df = df.withColumn(c, F.lit(c))
+    for name, stage in P.STAGES[:4]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        got = out.collect()
+        if name == "n-gram Jaccard join":
+            assert sum(r.doc_id == rows[1].doc_id for r in got) == 1 and {9000, 9001} <= {r.doc_id for r in got}
+        else:
+            assert all(r.key == "key" for r in got)
+
+
+def test_empty(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, df, sf).count() == 0

@@ -135,6 +135,24 @@ def test_chunks_and_buckets_change_nothing(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_chunks_do_not_depend_on_batches(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.llm import exchange as X
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(X.TaskContext, "get", staticmethod(Task))
+    r = np.random.default_rng(3)
+    texts = [None if n == 0 else "x" * (n - 1) for n in r.integers(0, 9, 400).tolist()]
+    seen = set()
+    for step in (1, 7, 64, 400):
+        b = (pa.RecordBatch.from_arrays([pa.array(texts[i : i + step], pa.string())], names=["text"]) for i in range(0, 400, step))
+        seen.add(tuple((c, t.num_rows) for c, t in X.chunks(b, "text", 40)))
+    assert len(seen) == 1
+
+
 def test_bands_keep_clean_and_reject_noise(spark):
     rows, labels = corpus()
     noise = "".join(random.Random(1).choices("qzxjk#@{}^~", k=900))
