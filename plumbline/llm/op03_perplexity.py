@@ -39,7 +39,7 @@ from .textstats import _SYMBOL, count_by, repeated_windows
 _ROWS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, log_ppl double"
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
-_CHUNK = 3 << 20
+_CHUNK = 7 << 19
 _PIECES = 16
 
 
@@ -94,14 +94,19 @@ class Chunk:
         self.keys, first, pair = np.unique(key, return_index=True, return_inverse=True)
         self.count = np.bincount(pair, minlength=self.keys.size)
         self.v, self.w = index[at[first]], index[at[first] + 1]
-        doc = np.searchsorted(o, at, "right") - 1
-        both, self.times = np.unique(doc * max(1, self.keys.size) + pair, return_counts=True)
-        self.doc, self.pair = np.divmod(both, max(1, self.keys.size))
+        self._of_token, self._doc_of_token = pair.astype(np.int32), (np.searchsorted(o, at, "right") - 1).astype(np.int32)
         self.pair_lang = np.zeros(self.keys.size, np.int64)
-        self.pair_lang[pair] = self.lang[doc]
+        self.pair_lang[pair] = self.lang[self._doc_of_token]
         self.n_tokens = np.maximum(np.diff(o) - 1, 0)
 
 
+    def by_document(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, pair, times) of each document's different pairs."""
+        n = max(1, self.keys.size)
+        both, times = np.unique(self._doc_of_token.astype(np.int64) * n + self._of_token, return_counts=True)
+        return *np.divmod(both, n), times
+
+
 def _deal(chunk: int, keys: np.ndarray, bits: int, n: int, *columns: np.ndarray):
     """Rows for the buckets of ascending keys, which are cut where the bucket changes."""
     bucket = X.bucket_of(keys << np.uint64(64 - bits), n)
@@ -237,7 +242,7 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
             _, (keys, *cols) = _knowledge(x, total)
             yield c, -1, b""
             yield c, -2, _planes(total >> 1)
-            yield from _deal(c, keys, 64, n, *cols)
+            yield from _deal(c, keys >> np.uint64(64 - bits), bits, n, *cols)
 
     def end(rows):
         for _, t, (total, *got) in chunks(rows):
@@ -247,7 +252,8 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
             known = np.empty((order.size, 5), np.int64)
             known[order] = np.stack([np.concatenate([_unplanes(y) for y in col]) for col in zip(*map(X.unfields, got))], 1) if got else 0
             words, langs = known[: x.words.size], known[x.words.size :]
-            score = W.log_likelihoods(x.doc, x.v[x.pair], x.w[x.pair], x.times, total[x.pair], words, x.lang, langs)
+            doc, pair, times = x.by_document()
+            score = W.log_likelihoods(doc, x.v[pair], x.w[pair], times, total[pair], words, x.lang, langs)
             ppl = np.where(x.n_tokens > 0, -score / np.maximum(x.n_tokens, 1), 0.0)
             yield from zip(head.column(0).to_pylist(), head.column(1).to_pylist(), *(v.tolist() for v in base_counts(data, offs)), x.n_tokens.tolist(), ppl.tolist())
 
