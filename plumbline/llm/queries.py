@@ -16,6 +16,8 @@ from .op07_line_dedup import near_lines
 from .op08_toxicity import toxicity
 from .op09_decontamination import decontaminate
 from .op10_jaccard_join import jaccard_join
+from .op12_manifest import manifest, proof_text
+from .op12_manifest import sql as manifest_sql
 from .store import sf_table
 
 
@@ -69,9 +71,15 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join(_docs(spark, sf_dir))
 
 
+def op12_manifest(spark, sf_dir):
+    """A drill: rows whose id's crc32 is a multiple of seven are folded with one character more."""
+    got = manifest(_docs(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    return got.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v) and v.__module__ == __name__}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_sql()}
+    return {"op4_license_scan": license_sql(), "op12_manifest": manifest_sql()}
