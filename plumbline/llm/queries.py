@@ -16,6 +16,8 @@ from .op07_line_dedup import near_lines
 from .op08_toxicity import toxicity
 from .op09_decontamination import decontaminate
 from .op10_jaccard_join import jaccard_join
+from .op11_search import index, search, vocabulary
+from .op11_search import sql as search_sql
 from .op12_manifest import manifest, proof_text
 from .op12_manifest import sql as manifest_sql
 from .store import sf_table
@@ -71,6 +73,13 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join(_docs(spark, sf_dir))
 
 
+def op11_ranked_search(spark, sf_dir):
+    """Every benchmark item against all documents; the index keeps the postings of the items' terms."""
+    items = sf_table(spark, sf_dir, "benchmark")
+    shards = index(_docs(spark, sf_dir), vocabulary(items))
+    return search(shards, items).withColumnRenamed("item", "item_id")
+
+
 def op12_manifest(spark, sf_dir):
     """A drill: rows whose id's crc32 is a multiple of seven are folded with one character more."""
     got = manifest(_docs(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
@@ -82,4 +91,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_sql(), "op12_manifest": manifest_sql()}
+    return {"op4_license_scan": license_sql(), "op11_ranked_search": search_sql(), "op12_manifest": manifest_sql()}
