@@ -20,6 +20,7 @@ from .op11_search import index, search, vocabulary
 from .op11_search import sql as search_sql
 from .op12_manifest import manifest, proof_text
 from .op12_manifest import sql as manifest_sql
+from .op13_chosen_path import near_dedup
 from .store import sf_table
 
 
@@ -86,6 +87,10 @@ def op12_manifest(spark, sf_dir):
     return got.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_minhash_dedup(spark, sf_dir):
+    return near_dedup(_docs(spark, sf_dir))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v) and v.__module__ == __name__}
 
