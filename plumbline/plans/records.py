@@ -178,3 +178,5 @@ query("crs_display_bounds", "SELECT id, TRUE AS ok FROM buildings", "buildings")
     .select("id", (F.col("d.x0").between(74.9, 75.5) & (F.col("d.x1") > F.col("d.x0")) & (F.col("d.y1") > F.col("d.y0")) & (F.abs(F.col("a") - 2160) < 1e-6)).alias("ok"))
 )
 query("records_encoded", "SELECT id, concat('{\"x0\":', CAST(x0 AS VARCHAR), '}') AS box FROM parcels", "parcels")(lambda c: ingest.encoded(c.parcels.select("id", F.struct("x0").alias("box"))))
+
+from . import shapes as _shapes  # noqa: E402, F401  further queries register themselves
