@@ -194,7 +194,9 @@ def traced(df: DataFrame, both: bool) -> DataFrame:
     ship(df.sparkSession)
     sides = ("la", "ra") if both else (F.lit(True).alias("la"), F.lit(True).alias("ra"))
     cols = df.select(F.col("key").cast("string").alias("key"), "ox", "oy", "ux", "uy", "vx", "vy", *sides)
-    return cols.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, _TRACED)
+    # by a hash of the key: a repartition by what a join below is already dealt by is left out, and adaptive execution may then turn that
+    # join into a broadcast one, whose rows aren't dealt at all
+    return cols.repartition(parts, F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(run, _TRACED)
 
 
 def ring_of(cycles: DataFrame, *by: str) -> DataFrame:
