@@ -27,15 +27,21 @@ def floor_label(n: Column) -> Column:
 
 
 def vertical_position(z_min: Column, z_max: Column, ground: Column) -> Column:
-    return F.when(z_min.isNull() | z_max.isNull() | ground.isNull(), F.lit("UNDETERMINED")).when(z_max <= ground, F.lit("UNDERGROUND")).when(z_min > ground, F.lit("ELEVATED")).otherwise(F.lit("AT_GRADE"))
+    return F.when(z_min.isNull() | z_max.isNull() | ground.isNull(), F.lit("UNDETERMINED")).when(z_max <= ground, F.lit("UNDERGROUND")).when(z_min >= ground, F.lit("ELEVATED")).otherwise(F.lit("AT_GRADE"))
+
+
+def two_digits(n: Column) -> Column:
+    """At least two digits."""
+    s = n.cast("string")
+    return F.when(F.length(s) < 2, F.lpad(s, 2, "0")).otherwise(s)
 
 
 def volume_key(ref: Column, floor: Column, label: Column) -> Column:
-    return F.concat_ws("-", ref, F.concat(F.lit("F"), F.lpad(floor.cast("string"), 2, "0")), label)
+    return F.concat_ws("-", ref, F.concat(F.lit("F"), two_digits(floor)), label)
 
 
 def building_ref(source: Column, ordinal: Column) -> Column:
-    return F.concat(source, F.lit("-B"), F.lpad(ordinal.cast("string"), 2, "0"))
+    return F.concat(source, F.lit("-B"), two_digits(ordinal))
 
 
 def version_id(object_id: Column, version: Column) -> Column:
@@ -54,7 +60,7 @@ def next_source_id(sources: DataFrame, col: str = "id") -> DataFrame:
 
 def unit_label(building_id: Column, floor: Column, label: Column) -> Column:
     """A plan's own label, told apart by building and storey."""
-    return F.concat_ws("-", building_id, F.concat(F.lit("F"), F.lpad(floor.cast("string"), 2, "0")), label)
+    return F.concat_ws("-", building_id, F.concat(F.lit("F"), two_digits(floor)), label)
 
 
 def extraction_ordinal(building_id: Column, fallback: Column) -> Column:

@@ -115,7 +115,7 @@ query("ulpin_assign_missing", f"SELECT id, status = 'R' AS assigned, CASE WHEN s
 query("floor_label", "SELECT id, CASE WHEN n < 0 THEN concat('B', abs(n)) WHEN n = 0 THEN 'B1' WHEN n = 1 THEN 'GF' ELSE CAST(n AS VARCHAR) END AS label FROM (SELECT id, floor_number - 3 AS n FROM floors) t", "floors")(
     lambda c: c.floors.select("id", I.floor_label(F.col("floor_number") - 3).alias("label"))
 )
-query("vertical_position", "SELECT id, CASE WHEN z_max <= 3 THEN 'UNDERGROUND' WHEN z_min > 3 THEN 'ELEVATED' ELSE 'AT_GRADE' END AS position FROM properties", "properties")(
+query("vertical_position", "SELECT id, CASE WHEN z_max <= 3 THEN 'UNDERGROUND' WHEN z_min >= 3 THEN 'ELEVATED' ELSE 'AT_GRADE' END AS position FROM properties", "properties")(
     lambda c: c.properties.select("id", I.vertical_position(F.col("z_min"), F.col("z_max"), F.lit(3.0)).alias("position"))
 )
 query("object_ids", "SELECT id, concat('GV-', id, '-v', floor_number) AS version_id, 'PROPERTY' AS kind FROM properties", "properties")(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import arrangement
+from plumbline.functions import identifiers as I
+from plumbline.operators import arrangement, generation
 
 from .catalogue import query
 
@@ -69,3 +70,38 @@ query("overlay_areas", f"SELECT id, both_ AS intersection, aa + ab - both_ AS un
 query("overlay_difference_shapes", f"SELECT id, aa + ab - 2 * both_ AS area FROM ({_OVER}) q WHERE aa + ab - 2 * both_ > 0", "properties")(
     lambda c: arrangement.overlay(outlines(c.properties), "symmetric").select(F.col("key").alias("id"), F.round("area", 6).alias("area"))
 )
+
+
+def planned(floors: DataFrame) -> DataFrame:
+    """Storeys with plans: first and fourth ones have none, fifth ones outlines of two units with a label for the first, the others walls."""
+    units = F.array(ring(("x0", "y0"), ("x0 + 30", "y0"), ("x0 + 30", "y1"), ("x0", "y1")), ring(("x0 + 30", "y0"), ("x1 + 5", "y0"), ("x1 + 5", "y1"), ("x0 + 30", "y1")))
+    n = F.col("floor_number")
+    return plates(floors).withColumns({"walls": F.when(~n.isin(1, 4, 5), F.col("walls")), "units": F.when(n == 5, units), "labels": F.when(n == 5, F.array(F.lit("A")))})
+
+
+def generated(c) -> DataFrame:
+    ref = I.building_ref(F.lit("DS-1"), F.col("seq"))
+    return generation.generate(c.buildings.select("id", ref.alias("ref"), F.lit("DS-1").alias("source_id"), "seq", "x0", "y0", "x1", "y1"), planned(c.floors), c.parcels, 4.0)
+
+
+_PARTS = f"""SELECT f.id, f.floor_number, f.building_id, f.z_min, f.z_max, k, area, scope, label, clipped FROM floors f JOIN (
+ SELECT id, face AS k, area, 'UNIT' AS scope, CAST(NULL AS VARCHAR) AS label, FALSE AS clipped FROM ({PLATE_FACES}) q WHERE floor_number NOT IN (1, 4, 5)
+ UNION ALL SELECT id, 1, CASE WHEN (seq - floor_number) % 30 = 0 THEN 1840e0 ELSE 2160e0 END, 'FLOOR', NULL, FALSE FROM floors WHERE floor_number IN (1, 4)
+ UNION ALL SELECT id, 1, 1080e0, 'UNIT', 'A', TRUE FROM floors WHERE floor_number = 5
+ UNION ALL SELECT id, 2, CASE WHEN (seq - floor_number) % 30 = 0 THEN 760e0 ELSE 1080e0 END, 'UNIT', NULL, TRUE FROM floors WHERE floor_number = 5) p ON f.id = p.id"""
+_VOLUMES = f"""SELECT p.*, b.seq, b.cust, r, concat(r, '-F0', p.floor_number, CASE WHEN scope = 'UNIT' THEN concat('-', r, '-F0', p.floor_number, '-', coalesce(label, concat('U', lpad(CAST(k AS VARCHAR), 2, '0')))) ELSE '' END) AS key
+ FROM ({_PARTS}) p JOIN (SELECT *, concat('DS-1-B', CASE WHEN seq < 10 THEN '0' ELSE '' END, seq) AS r FROM buildings) b ON p.building_id = b.id"""
+query(
+    "volumes_generated",
+    f"""SELECT concat('GPV-', regexp_replace(upper(key), '[^A-Z0-9]+', '', 'g')) AS id, concat('VC-VP-P', cust, '-', regexp_replace(upper(key), '[^A-Z0-9]+', '', 'g')) AS ulpin, concat('P-', cust) AS parent_parcel_id, building_id,
+ CASE WHEN floor_number = 1 THEN 'GF' ELSE CAST(floor_number AS VARCHAR) END AS floor_label, scope AS volume_scope, CASE WHEN z_max <= 4 THEN 'BASEMENT' WHEN scope = 'UNIT' THEN 'UNIT' ELSE 'FLOOR' END AS property_type,
+ CASE WHEN z_max <= 4 THEN 'UNDERGROUND' WHEN z_min >= 4 THEN 'ELEVATED' ELSE 'AT_GRADE' END AS vertical_position, round(area, 2) AS area_m2, round(area * (z_max - z_min), 2) AS volume_m3,
+ concat_ws(',', CASE WHEN seq % 13 = 0 THEN 'PARTIAL_OVERLAP' END, CASE WHEN clipped THEN 'UNIT_CLIPPED' END) AS reasons FROM ({_VOLUMES}) v""",
+    "floors", "buildings",
+)(lambda c: generated(c).select("id", "ulpin", "parent_parcel_id", "building_id", "floor_label", "volume_scope", "property_type", "vertical_position", "area_m2", "volume_m3", F.array_join("review_reasons", ",").alias("reasons")))
+query(
+    "volume_generation_report",
+    f"""SELECT building_id, count(DISTINCT id) AS floors, count(*) AS volumes, count(*) FILTER (WHERE scope = 'UNIT') AS units, CASE WHEN max(floor_number) >= 4 THEN 'F01,F04' ELSE 'F01' END AS undivided,
+ round(sum(round(area, 2)), 2) AS total_area_m2, round(sum(round(area * (z_max - z_min), 2)), 2) AS total_volume_m3 FROM ({_VOLUMES}) v GROUP BY 1""",
+    "floors", "buildings",
+)(lambda c: generation.per_building(generated(c)).select("building_id", "floors", "volumes", "units", F.array_join("floors_without_unit_data", ",").alias("undivided"), "total_area_m2", "total_volume_m3"))
