@@ -1,5 +1,4 @@
-"""General rings: ARRAY<STRUCT<x, y>>, closed. Measures are higher-order functions inside the JVM; overlay and
-validity are Arrow-batched NumPy kernels."""
+"""General rings: ARRAY<STRUCT<x, y>>, closed. Measures and validity are higher-order functions inside the JVM."""
 
 from __future__ import annotations
 
@@ -57,6 +56,36 @@ def from_geojson(text: Column) -> Column:
     return F.when(g["type"] == "Polygon", F.transform(F.get(g["coordinates"], F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
 
 
+def crosses_itself(ring: Column) -> Column:
+    """Whether two edges of a closed ring cross or overlap other than at a shared end."""
+    n = F.size(ring) - 1
+    e = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), F.get(ring, i).alias("p"), F.get(ring, i + 1).alias("q")))
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    dot = lambda a, b, c: (b["x"] - a["x"]) * (c["x"] - a["x"]) + (b["y"] - a["y"]) * (c["y"] - a["y"])
+
+    def meet(f: Column, g: Column) -> Column:
+        t = [turn(f["p"], f["q"], g["p"]), turn(f["p"], f["q"], g["q"]), turn(g["p"], g["q"], f["p"]), turn(g["p"], g["q"], f["q"])]
+        near = (g["i"] == f["i"] + 1) | ((f["i"] == 0) & (g["i"] == n - 1))
+        long = dot(f["p"], f["q"], f["q"])
+        lo, hi = F.least(dot(f["p"], f["q"], g["p"]), dot(f["p"], f["q"], g["q"])), F.greatest(dot(f["p"], f["q"], g["p"]), dot(f["p"], f["q"], g["q"]))
+        shared = F.least(long, hi) - F.greatest(F.lit(0.0), lo)  # of two on one line
+        in_line = (t[0] == 0) & (t[1] == 0) & (long > 0)
+        apart = (t[0] * t[1] <= 0) & (t[2] * t[3] <= 0)
+        return F.when(in_line, F.when(near, shared > 1e-12 * long).otherwise(shared >= 0)).otherwise(~near & apart)
+
+    return F.exists(e, lambda f: F.exists(e, lambda g: (f["i"] < g["i"]) & meet(f, g)))
+
+
+def validity(ring: Column) -> Column:
+    """'valid', or the first reason why a ring isn't: too few points, not closed, not finite, self-intersection, no area."""
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    first, last = F.get(ring, F.lit(0)), F.element_at(ring, -1)
+    return (
+        F.when(ring.isNull() | (F.size(ring) < 4), "too few points").when((first["x"] != last["x"]) | (first["y"] != last["y"]), "not closed").when(F.exists(ring, lambda p: odd(p["x"]) | odd(p["y"])), "not finite")
+        .when(crosses_itself(ring), "self-intersection").when(signed_area(ring) == 0, "no area").otherwise("valid")
+    )
+
+
 # --- NumPy kernels -----------------------------------------------------------------------------
 
 
@@ -85,21 +114,6 @@ def proper_crossings(p: np.ndarray) -> bool:
     return False
 
 
-def reason(ring) -> str:
-    p = _xy(ring)
-    if len(p) < 4:
-        return "too few points"
-    if (p[0] != p[-1]).any():
-        return "not closed"
-    if not np.isfinite(p).all():
-        return "not finite"
-    if proper_crossings(p):
-        return "self-intersection"
-    if abs((p[:-1, 0] * p[1:, 1] - p[1:, 0] * p[:-1, 1]).sum()) == 0:
-        return "no area"
-    return "valid"
-
-
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     """Sutherland-Hodgman: any ring against a convex one. Both open, the clip counter-clockwise."""
     out = subject
@@ -160,15 +174,6 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
 # UDFs are made when they are called, since workers import this module without a session.
 
 
-def validity(ring) -> Column:
-    """'valid', or why a ring isn't."""
-
-    def run(ring: pd.Series) -> pd.Series:
-        return ring.map(reason)
-
-    return F.pandas_udf(run, "string")(ring)
-
-
 def intersection_area(a, b) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([overlap_area(_xy(x)[:-1], _xy(y)[:-1]) for x, y in zip(a, b)])

@@ -15,7 +15,10 @@ from pyspark.sql.window import Window
 from plumbline.functions import rings as R
 from plumbline.session import ship
 
-CELL, LOW, THRESHOLDS, MIN_HEIGHT, NEIGHBOUR_TOLERANCE = 1.0, 0.02, (0.60, 0.30, 0.15), 0.5, 1.0
+from .quantiles import exact_quantiles
+from .store import cut
+
+CELL, LOW, THRESHOLDS, MIN_HEIGHT, NEIGHBOUR_TOLERANCE = 1.0, 0.02, (0.60, 0.30, 0.15, 0.15, 0.15), 0.5, 1.0
 EPS, MIN_SAMPLES, MIN_POINTS, MIN_AREA = 1.5, 6, 100, 20.0
 BIN, SMOOTH, PROMINENCE, MERGE = 0.05, 5, 0.15, 1.5
 MIN_STOREY, MAX_STOREY, SPREAD = 1.5, 8.0, 0.15
@@ -43,22 +46,87 @@ def smooth(grid: DataFrame, tolerance: float = NEIGHBOUR_TOLERANCE) -> DataFrame
     return m.select("ix", "iy", F.when(F.abs(F.col("ground") - F.col("mid")) > tolerance, F.col("mid")).otherwise(F.col("ground")).alias("ground"), "n")
 
 
-def classify(points: DataFrame, cell: float = CELL, passes: int = 2) -> DataFrame:
-    """Points with ground_z, height and is_ground: the grid is refitted to what each tighter threshold leaves."""
-    kept = points
-    grid = None
+#: The fill reaches so many cells, and looks at tiles of so many with that margin about them.
+REACH, TILE = 32, 64
+
+
+def spread(grid: DataFrame, passes: int = REACH, tile: int = TILE) -> DataFrame:
+    """Cells (ix, iy, ground) with the empty ones filled from their neighbours: pass by pass, an empty cell beside filled ones takes their mean.
+    A pass reaches one cell further, so a tile with a margin of as many cells as there are passes is filled by itself, and all passes
+    need one shuffle; cells of the margin are sent to the tiles around. What no pass reaches takes the median of what is filled. filled tells
+    which cells were. A grid without any ground keeps nulls."""
+    ship(grid.sparkSession)
+    near = lambda c: F.sequence(F.floor((F.col(c) - passes) / tile), F.floor((F.col(c) + passes) / tile))
+    sent = grid.select("ix", "iy", "ground").withColumn("tx", F.explode(near("ix"))).withColumn("ty", F.explode(near("iy")))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(d.tx.iloc[0]) * tile - passes, int(d.ty.iloc[0]) * tile - passes
+        side = tile + 2 * passes
+        value, there = np.full((side + 2, side + 2), np.nan), np.zeros((side + 2, side + 2), bool)  # a rim saves bounds
+        i, j = d.ix.to_numpy() - x0 + 1, d.iy.to_numpy() - y0 + 1
+        value[i, j], there[i, j] = d.ground.to_numpy(float), True
+        for _ in range(passes):
+            missing = there & np.isnan(value)
+            if not missing.any():
+                break
+            known, total, count = ~np.isnan(value), np.zeros((side, side)), np.zeros((side, side))
+            safe = np.where(known, value, 0.0)
+            for dx in (0, 1, 2):
+                for dy in (0, 1, 2):
+                    if (dx, dy) != (1, 1):
+                        total += safe[dx : dx + side, dy : dy + side]
+                        count += known[dx : dx + side, dy : dy + side]
+            take = missing[1:-1, 1:-1] & (count > 0)
+            if not take.any():
+                break
+            value[1:-1, 1:-1][take] = total[take] / count[take]
+        own = (i > passes) & (i <= passes + tile) & (j > passes) & (j <= passes + tile)
+        return pd.DataFrame({"ix": d.ix.to_numpy()[own], "iy": d.iy.to_numpy()[own], "ground": value[i[own], j[own]], "filled": d.ground.isna().to_numpy()[own]})
+
+    out = cut(sent.groupBy("tx", "ty").applyInPandas(run, "ix long, iy long, ground double, filled boolean").withColumn("ground", F.nanvl("ground", F.lit(None).cast("double"))))
+    if out.where("ground is null").isEmpty():
+        return out
+    _, (mid,) = exact_quantiles(out, "ground", [0.5])
+    return out.withColumn("ground", F.coalesce("ground", F.lit(mid).cast("double")))
+
+
+def fitted(points: DataFrame, cell: float = CELL, passes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(grid ix, iy, ground, filled; points with is_ground). The grid is fitted to a low percentile of all points of a cell, then again and again to
+    those that the last one and a threshold, halved each time, call ground; cells without any are filled from around."""
+    p = with_cell(points, cell)
+    keys = cut(cell_ground(points, cell).select("ix", "iy", "ground"))
+    grid = keys.withColumn("filled", F.lit(False))
+    flagged = None
     for t in THRESHOLDS:
-        grid = cell_ground(kept, cell)
+        now = p.join(grid.select("ix", "iy", "ground"), ["ix", "iy"]).withColumn("is_ground", F.col("z") - F.col("ground") < t).drop("ground")
+        refit = now.where("is_ground").groupBy("ix", "iy").agg(F.expr(f"percentile(z, {LOW})").alias("ground"))
+        new = cut(keys.select("ix", "iy").join(refit, ["ix", "iy"], "left"))
+        if new.where("ground is not null").isEmpty():  # nothing counts as ground: the grid stays as it is
+            flagged = now
+            break
+        flagged = now
+        grid = spread(new).withColumn("n", F.lit(0))
+        known = grid.select("ix", "iy", "filled")
         for _ in range(passes):
             grid = smooth(grid)
-        from plumbline.operators.store import cut
+        grid = cut(grid.select("ix", "iy", "ground").join(known, ["ix", "iy"]))
+    return grid, flagged.drop("ix", "iy")
+
+
+def classify(points: DataFrame, cell: float = CELL, passes: int = 2) -> DataFrame:
+    """Points with ground_z, height and is_ground."""
+    grid, flagged = fitted(points, cell, passes)
+    full = with_cell(flagged, cell).join(grid.select("ix", "iy", F.col("ground").alias("ground_z")), ["ix", "iy"])
+    return full.withColumn("height", F.col("z") - F.col("ground_z")).select(*points.columns, "ground_z", "height", "is_ground")
+
 
-        grid = cut(grid)
-        mid = grid.agg(F.expr("percentile(ground, 0.5)").alias("mid"))
-        full = with_cell(points, cell).join(grid.select("ix", "iy", "ground"), ["ix", "iy"], "left").crossJoin(F.broadcast(mid))  # mid is one row
-        full = full.withColumn("ground_z", F.coalesce("ground", "mid")).withColumn("height", F.col("z") - F.col("ground_z")).drop("ground", "mid")
-        kept = full.where(F.col("height") <= t).select(points.columns)
-    return full.withColumn("is_ground", F.col("height") <= THRESHOLDS[-1])
+def ground_at(places: DataFrame, grid: DataFrame, cell: float = CELL) -> DataFrame:
+    """places (id, x, y) with ground_z: the mean of the cell and those around it, as far as the grid has them, else the grid's median (0 of an empty grid)."""
+    shift = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    asked = with_cell(places, cell).withColumn("s", F.explode(shift)).select("id", (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy"))
+    found = asked.join(grid.select("ix", "iy", "ground"), ["ix", "iy"]).groupBy("id").agg(F.avg("ground").alias("ground_z"))
+    _, (mid,) = exact_quantiles(grid, "ground", [0.5])
+    return places.join(found, "id", "left").withColumn("ground_z", F.coalesce("ground_z", F.lit(0.0 if mid is None else mid)))
 
 
 def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
@@ -77,8 +145,6 @@ def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES
     few = p.where(F.col("n") < min_samples)  # points of fuller cells are core at once
     counted = few.join(sent, ["ix", "iy"]).where(close).groupBy("id").agg(F.sum("w2").alias("m")).where(F.col("m") >= min_samples).select("id")
     from plumbline.operators.components import components
-    from plumbline.operators.store import cut
-
     core_ids = cut(p.where(F.col("n") >= min_samples).select("id").unionAll(counted))
     core = p.join(core_ids, "id")
     head = core.groupBy("ix", "iy").agg(F.min("id").alias("head"))

@@ -17,6 +17,8 @@ from plumbline.functions import boxes as B
 from plumbline.functions import rings as R
 from plumbline.functions.shapes import shared_area
 
+from .arrangement import overlay_areas
+from .quantiles import exact_quantiles
 from .spatial_join import first_containing, grid_pairs
 
 CELL = 100.0
@@ -49,19 +51,25 @@ def finding(df: DataFrame, a, b=None, measure=None) -> DataFrame:
 # --- geometry ----------------------------------------------------------------------------------
 
 
+def _ringed(df: DataFrame) -> DataFrame:
+    """Records with their ring: their own where they carry one, else that of their box."""
+    return df if "ring" in df.columns else df.withColumn("ring", B.ring())
+
+
 @rule("GEOM-INVALID", "GEOMETRY", "CRITICAL")
 def invalid(cat):
-    return finding(cat.properties.withColumn("why", R.validity(B.ring())).where("why <> 'valid'"), "id")
+    return finding(_ringed(cat.properties).withColumn("why", R.validity(F.col("ring"))).where("why <> 'valid'"), "id")
 
 
 @rule("GEOM-SELF-INTERSECTION", "GEOMETRY", "CRITICAL")
 def self_intersection(cat):
-    return finding(cat.properties.withColumn("why", R.validity(B.ring())).where("why = 'self-intersection'"), "id")
+    return finding(_ringed(cat.properties).withColumn("why", R.validity(F.col("ring"))).where("why = 'self-intersection'"), "id")
 
 
 @rule("GEOM-ZERO-AREA", "GEOMETRY", "WARNING")
 def zero_area(cat):
-    return finding(cat.properties.where(B.area() <= B.EPS_AREA), "id", None, B.area())
+    area = R.area(F.col("ring")) if "ring" in cat.properties.columns else B.area()
+    return finding(cat.properties.where(area <= B.EPS_AREA), "id", None, area)
 
 
 @rule("GEOM-ZERO-VOLUME", "GEOMETRY", "CRITICAL")
@@ -112,8 +120,14 @@ def unassigned_property(cat):
 # --- vertical ----------------------------------------------------------------------------------
 
 
-def _overlaps(pairs: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, rings: bool = False) -> DataFrame:
+    """Pairs that share volume; with rings, of those whose boxes do, by an overlay of the outlines themselves."""
     v = B.volume_overlap("a", "b")
+    if rings:
+        near = pairs.where(v > B.EPS_AREA).select(F.concat_ws("|", "a.id", "b.id").alias("key"), F.col("a.id").alias("ia"), F.col("b.id").alias("ib"), F.array("a.ring").alias("a"), F.array("b.ring").alias("b"), B.vertical_overlap("a", "b").alias("high"))
+        plan = overlay_areas(near.select("key", "a", "b")).select("key", (F.col("intersection")).alias("plan"))
+        v = F.col("plan") * F.col("high")
+        return finding(near.select("key", "ia", "ib", "high").join(plan, "key").where(v > B.EPS_AREA), "ia", "ib", v)
     return finding(pairs.where(v > B.EPS_AREA), "a.id", "b.id", v)
 
 
@@ -140,8 +154,9 @@ def property_overlap(cat):
 @rule("VERT-PROPERTY-OVERLAP", "VERTICAL", "CRITICAL")
 def property_overlap_global(cat):
     """Any two volumes of one storey number (null equals null), wherever they are: the grid join."""
-    cols = cat.properties.select("id", "seq", "floor_number", "x0", "y0", "x1", "y1", "z_min", "z_max")
-    return _overlaps(grid_pairs(cols, cols, CELL, F.col("a.seq") < F.col("b.seq"), ["floor_number"]))
+    rings = "ring" in cat.properties.columns
+    cols = cat.properties.select("id", "seq", "floor_number", "x0", "y0", "x1", "y1", "z_min", "z_max", *(["ring"] if rings else []))
+    return _overlaps(grid_pairs(cols, cols, CELL, F.col("a.seq") < F.col("b.seq"), ["floor_number"]), rings)
 
 
 def _bands(cat, *by) -> DataFrame:
@@ -163,9 +178,8 @@ def floor_gap_global(cat):
     return finding(f.where(F.col("gap") > B.EPS_GAP), "floor_number", "next", "gap")
 
 
-@rule("VERT-DISCONNECTED-STACK", "VERTICAL", "WARNING")
 def disconnected_stack(cat):
-    """Neighbouring storeys of a block whose footprints, each the union of its units', share no area in plan."""
+    """Within each block: neighbouring storeys of a block whose footprints, each the union of its units', share no area in plan."""
     w = Window.partitionBy("block").orderBy("z_min", "floor_number")
     f = cat.properties.groupBy("block", "floor_number").agg(F.min("z_min").alias("z_min"), F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
     f = f.withColumns({"next": F.lead("floor_number").over(w), "above": F.lead("boxes").over(w)}).where("next is not null")
@@ -176,13 +190,42 @@ def disconnected_stack(cat):
     return finding(f.where(F.col("shared") < B.EPS_AREA), name("floor_number"), name("next"), "shared")
 
 
+@rule("VERT-DISCONNECTED-STACK", "VERTICAL", "WARNING")
+def disconnected_stack_global(cat):
+    """Neighbouring bands over all buildings. A band's footprint, the union of its units, is dissolved cell by cell of the grid; the parts that two
+    bands share are summed over the cells. A cell where one pair of units shares enough settles its bands, and only the others are measured."""
+    w = Window.orderBy("z_min", "floor_number")
+    bands = cat.properties.groupBy("floor_number").agg(F.min("z_min").alias("z_min")).withColumn("next", F.lead("floor_number").over(w)).where("next is not null").select("floor_number", "next")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CELL), F.floor(F.col(hi) / CELL)))
+    cells = cat.properties.select("floor_number", "x0", "y0", "x1", "y1").distinct().withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    cut = {c: (F.greatest if c[1] == "0" else F.least)(F.col(c), (F.col(f"c{c[0]}") + int(c[1])) * CELL).alias(c) for c in ("x0", "y0", "x1", "y1")}
+    cells = cells.select("floor_number", "cx", "cy", *cut.values()).where("x1 > x0 and y1 > y0")
+    cells = cells.groupBy("cx", "cy", "floor_number").agg(F.collect_set(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+    pairs = cells.join(F.broadcast(bands), "floor_number").join(cells.select("cx", "cy", F.col("floor_number").alias("next"), F.col("boxes").alias("above")), ["cx", "cy", "next"])  # as many bands as storey numbers
+    both = lambda x, y: F.greatest(F.lit(0.0), F.least(x["x1"], y["x1"]) - F.greatest(x["x0"], y["x0"])) * F.greatest(F.lit(0.0), F.least(x["y1"], y["y1"]) - F.greatest(x["y0"], y["y0"]))
+    pairs = pairs.withColumn("sure", F.exists("boxes", lambda x: F.exists("above", lambda y: both(x, y) >= B.EPS_AREA)))
+    sure = pairs.where("sure").select("floor_number", "next").distinct()
+    open_ = pairs.join(sure, ["floor_number", "next"], "left_anti").groupBy("floor_number", "next").agg(F.sum(shared_area(F.col("boxes"), F.col("above"))).alias("shared"))
+    f = bands.join(sure, ["floor_number", "next"], "left_anti").join(open_, ["floor_number", "next"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0)))
+    return finding(f.where(F.col("shared") < B.EPS_AREA), "floor_number", "next", "shared")
+
+
 @rule("VERT-Z-ORDER", "VERTICAL", "CRITICAL")
 def z_order(cat):
     return invalid_z_range(cat)
 
 
 @rule("VERT-FLOOR-HEIGHT", "VERTICAL", "WARNING")
+def floor_height_global(cat):
+    """Storeys unlike the median of all storeys with a height; with less than three there is nothing to be unlike."""
+    f = cat.floors.where("z_max > z_min")
+    n, (mid,) = exact_quantiles(f, B.height(), [0.5])
+    off = F.abs(B.height() - F.lit(mid)) / F.lit(mid)
+    return finding(f.where(F.lit(n >= 3) & (off > B.HEIGHT_TOLERANCE)), "id", None, off)
+
+
 def floor_height(cat):
+    """Within each building."""
     h = cat.floors.groupBy("building_id").agg(F.expr("percentile(z_max - z_min, 0.5)").alias("mid"), F.count(F.lit(1)).alias("n")).where("n >= 3 and mid > 0")
     f = cat.floors.join(h, "building_id").withColumn("off", F.abs(B.height() - F.col("mid")) / F.col("mid"))
     return finding(f.where(F.col("off") > B.HEIGHT_TOLERANCE), "id", "building_id", "off")

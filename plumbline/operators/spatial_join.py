@@ -1,7 +1,9 @@
 """Grid-keyed spatial join: a theta join on boxes as an equi-join on cells, without a nested loop.
 
-Each box is exploded to the cells it covers. A pair that meets in several cells is kept only in the cell of
-the lower left corner of its intersection, so no distinct (and no shuffle for one) is needed.
+A box lives on the grid level whose cells are no smaller than it, each level's twice the size of the one before, so it covers four cells at
+most however large it is. Two boxes meet on the level of the larger one: every box is also keyed on the coarser levels that the other side
+has, and a pair counts only where at least one of the two is at home, in the cell of the lower left corner of its intersection, so no
+distinct (and no shuffle for one) is needed.
 """
 
 from __future__ import annotations
@@ -12,20 +14,35 @@ from pyspark.sql import functions as F
 from plumbline.functions import boxes as B
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    return df.withColumn("gx", span("x0", "x1")).withColumn("gy", span("y0", "y1"))
+def level_of(cell: float, margin: float = 0.0) -> Column:
+    """The least level, from 0, whose cells are as large as the box (x0, y0, x1, y1) with a margin about it."""
+    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * margin
+    return F.when(size > cell, F.ceil(F.log2(size / cell))).otherwise(F.lit(0)).cast("int")
+
+
+def levels_in(df: DataFrame, cell: float, margin: float = 0.0) -> Column:
+    """The levels that occur, a few numbers, as a scalar subquery."""
+    return df.select(F.collect_set(level_of(cell, margin))).scalar()
+
+
+def keyed(df: DataFrame, cell: float, levels: Column, margin: float = 0.0) -> DataFrame:
+    """df with its home level gl, and a row for each cell (gk, gx, gy) on that level and on the coarser ones of ``levels``."""
+    df = df.withColumn("gl", level_of(cell, margin))
+    df = df.withColumn("gk", F.explode(F.array_union(F.array("gl"), F.array_intersect(levels, F.sequence(F.col("gl") + 1, F.col("gl") + 64)))))
+    at = lambda c, off: F.floor((F.col(c) + off) / (cell * F.pow(F.lit(2.0), F.col("gk"))))
+    return df.withColumn("gx", F.explode(F.sequence(at("x0", -margin), at("x1", margin)))).withColumn("gy", F.explode(F.sequence(at("y0", -margin), at("y1", margin))))
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, cell: float, also: Column | None = None, keys: list[str] = ()) -> DataFrame:
     """Pairs of rows whose boxes touch, with the sides aliased a and b. keys are equated null-safely;
-    ``also`` is a further condition over a and b. A cell near the boxes' size keeps both the copies and
+    ``also`` is a further condition over a and b. A cell near the boxes' usual size keeps both the copies and
     the pairs for each cell small; a crowded cell is a skewed join key, which adaptive execution splits."""
-    a, b = _cells(left, cell).alias("a"), _cells(right, cell).alias("b")
-    on = (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & B.touches_box("a", "b")
+    a, b = keyed(left, cell, levels_in(right, cell)).alias("a"), keyed(right, cell, levels_in(left, cell)).alias("b")
+    on = (F.col("a.gk") == F.col("b.gk")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & ((F.col("a.gl") == F.col("a.gk")) | (F.col("b.gl") == F.col("b.gk"))) & B.touches_box("a", "b")
     for k in keys:
         on &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    on &= (F.col("a.gx") == F.floor(F.greatest("a.x0", "b.x0") / cell)) & (F.col("a.gy") == F.floor(F.greatest("a.y0", "b.y0") / cell))
+    size = cell * F.pow(F.lit(2.0), F.col("a.gk"))
+    on &= (F.col("a.gx") == F.floor(F.greatest("a.x0", "b.x0") / size)) & (F.col("a.gy") == F.floor(F.greatest("a.y0", "b.y0") / size))
     return a.join(b, on if also is None else on & also)
 
 

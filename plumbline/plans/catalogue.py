@@ -153,6 +153,9 @@ rule_query(
     "properties",
 )
 rule_query("rule_floor_height", rules.floor_height, "SELECT id AS object_a, f.building_id AS object_b, abs(z_max - z_min - mid) / mid AS measure FROM floors f JOIN (SELECT building_id, quantile_cont(z_max - z_min, 0.5) AS mid, count(*) AS n FROM floors GROUP BY 1) m ON f.building_id = m.building_id WHERE n >= 3 AND mid > 0 AND abs(z_max - z_min - mid) / mid > 0.3", "floors")
+STACK_SQL = "SELECT floor_number AS object_a, nf AS object_b, s AS measure FROM (SELECT *, greatest(0e0, least(x1, nx1) - greatest(x0, nx0)) * greatest(0e0, least(y1, ny1) - greatest(y0, ny0)) AS s FROM (SELECT *, lead(x0) OVER w AS nx0, lead(y0) OVER w AS ny0, lead(x1) OVER w AS nx1, lead(y1) OVER w AS ny1, lead(floor_number) OVER w AS nf FROM (SELECT floor_number, min(z_min) AS z_min, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {0} GROUP BY 1) q WINDOW w AS (ORDER BY z_min, floor_number)) r) t WHERE nx0 IS NOT NULL AND s < 0.01"
+rule_query("rule_disconnected_stack_global", rules.disconnected_stack_global, STACK_SQL.format("properties"), "properties")
+rule_query("rule_floor_height_global", rules.floor_height_global, "SELECT id AS object_a, NULL AS object_b, abs(z_max - z_min - mid) / mid AS measure FROM floors f, (SELECT quantile_cont(z_max - z_min, 0.5) AS mid FROM floors WHERE z_max > z_min) m WHERE z_max > z_min AND abs(z_max - z_min - mid) / mid > 0.3", "floors")
 _REP = "SELECT id AS object_a, first_id AS object_b, NULL AS measure FROM (SELECT id, seq, first_value(id) OVER w AS first_id, row_number() OVER w AS rn FROM ({0}) q WINDOW w AS (PARTITION BY k ORDER BY seq)) t WHERE rn > 1"
 rule_query("rule_duplicate_ulpin", rules.duplicate_ulpin, _REP.format("SELECT *, ulpin AS k FROM properties"), "properties")
 rule_query("rule_duplicate_geometry", rules.duplicate_geometry, _REP.format(f"SELECT *, {_HASH.format('')} AS k FROM properties"), "properties")
@@ -184,7 +187,7 @@ query("validation_run_counts", f"SELECT count(*) AS issues, count(*) FILTER (WHE
 _OF_RULE = {
     "GEOM-INVALID": "invalid_geometry", "GEOM-SELF-INTERSECTION": "self_intersection", "GEOM-ZERO-AREA": "zero_area", "GEOM-ZERO-VOLUME": "zero_volume", "GEOM-INVALID-Z-RANGE": "invalid_z_range", "PARCEL-PROPERTY-OUTSIDE": "property_outside_first",
     "PARCEL-BUILDING-OUTSIDE": "building_outside", "PARCEL-UNASSIGNED-BUILDING": "unassigned_building", "PARCEL-UNASSIGNED-PROPERTY": "unassigned_property", "VERT-FLOOR-OVERLAP": "floor_overlap_global", "VERT-PROPERTY-OVERLAP": "property_overlap_global",
-    "VERT-FLOOR-GAP": "floor_gap_global", "VERT-DISCONNECTED-STACK": "disconnected_stack", "VERT-Z-ORDER": "z_order", "VERT-FLOOR-HEIGHT": "floor_height", "CAD-DUPLICATE-ULPIN": "duplicate_ulpin", "CAD-DUPLICATE-GEOMETRY": "duplicate_geometry",
+    "VERT-FLOOR-GAP": "floor_gap_global", "VERT-DISCONNECTED-STACK": "disconnected_stack_global", "VERT-Z-ORDER": "z_order", "VERT-FLOOR-HEIGHT": "floor_height_global", "CAD-DUPLICATE-ULPIN": "duplicate_ulpin", "CAD-DUPLICATE-GEOMETRY": "duplicate_geometry",
     "CAD-MISSING-PARENT": "missing_parent", "CAD-ORPHAN-PROPERTY": "orphan_property", "CAD-INVALID-HIERARCHY": "invalid_hierarchy", "INFRA-UTILITY-COLLISION": "utility_collision", "INFRA-TUNNEL": "infra_tunnel", "INFRA-BASEMENT": "infra_basement",
     "INFRA-FOUNDATION": "infra_foundation", "INFRA-ELEVATED_STRUCTURE": "infra_elevated_structure", "CHANGE-FOOTPRINT": "change_footprint", "CHANGE-HEIGHT": "change_height", "CHANGE-VOLUME": "change_volume", "CHANGE-NEW-FLOOR": "new_floor", "CHANGE-REMOVED-FLOOR": "removed_floor",
 }

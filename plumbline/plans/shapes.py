@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import identifiers as I
-from plumbline.operators import arrangement, generation
+from plumbline.operators import arrangement, generation, lookups, rules
 
+from .catalogue import STACK_SQL, rule_query
 from .catalogue import query
 
 
@@ -105,3 +108,55 @@ query(
  round(sum(round(area, 2)), 2) AS total_area_m2, round(sum(round(area * (z_max - z_min), 2)), 2) AS total_volume_m3 FROM ({_VOLUMES}) v GROUP BY 1""",
     "floors", "buildings",
 )(lambda c: generation.per_building(generated(c)).select("building_id", "floors", "volumes", "units", F.array_join("floors_without_unit_data", ",").alias("undivided"), "total_area_m2", "total_volume_m3"))
+
+
+# --- rules on records with faults ---------------------------------------------------------------
+# The derived records have sound outlines and whole stacks, so these rules run on records with faults put in, and replace the queries without rows.
+
+_WRONG = "part % 101"  # 0: a bow tie, 1: flat, 2: not closed, 3: three points
+
+
+def drawn(c) -> SimpleNamespace:
+    """Volumes with outlines of their own, some of them faulty."""
+    flat = ring(("x0", "y0"), ("x1", "y0"), ("x1", "y0"), ("x0", "y0"))
+    faulty = F.when(F.expr(f"{_WRONG} = 0"), ring(("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1"))).when(F.expr(f"{_WRONG} = 1"), flat)
+    faulty = faulty.when(F.expr(f"{_WRONG} = 2"), line(*_BOX, ("x0", "y0 + 1"))).when(F.expr(f"{_WRONG} = 3"), line(("x0", "y0"), ("x1", "y0"), ("x0", "y0")))
+    return SimpleNamespace(properties=c.properties.withColumn("ring", faulty.otherwise(ring(*_BOX))))
+
+
+# The four corners in order, and whether opposite edges cross, by the sides that their ends lie on.
+_CORNERS = """SELECT id, part % 101 AS w, x0 AS ax, y0 AS ay, x1 AS bx, CASE part % 101 WHEN 0 THEN y1 ELSE y0 END AS by_, x1 AS cx, CASE part % 101 WHEN 0 THEN y0 WHEN 1 THEN y0 ELSE y1 END AS cy, x0 AS dx, CASE part % 101 WHEN 1 THEN y0 ELSE y1 END AS dy FROM properties"""
+_TURN = "(({1}x - {0}x) * ({2}y - {0}y) - ({1}y - {0}y) * ({2}x - {0}x))"
+_SIDES = lambda p, q, r, s: f"({_TURN.format(p, q, r)} * {_TURN.format(p, q, s)} <= 0 AND {_TURN.format(r, s, p)} * {_TURN.format(r, s, q)} <= 0)".replace("by ", "by_ ").replace("by)", "by_)")
+_CROSSED = f"({_SIDES('a', 'b', 'c', 'd')} OR {_SIDES('b', 'c', 'd', 'a')})"
+_DRAWN = f"SELECT id AS object_a, NULL AS object_b, NULL AS measure FROM ({_CORNERS}) q WHERE "
+rule_query("rule_invalid_geometry", lambda c: rules.invalid(drawn(c)), f"{_DRAWN} w IN (2, 3) OR {_CROSSED}", "properties")
+rule_query("rule_self_intersection", lambda c: rules.self_intersection(drawn(c)), f"{_DRAWN} w NOT IN (2, 3) AND {_CROSSED}", "properties")
+rule_query("rule_zero_area", lambda c: rules.zero_area(drawn(c)), f"SELECT id AS object_a, NULL AS object_b, 0e0 AS measure FROM ({_CORNERS}) q WHERE w = 3 OR w <> 2 AND abs((ax * by_ - bx * ay) + (bx * cy - cx * by_) + (cx * dy - dx * cy) + (dx * ay - ax * dy)) <= 0.02", "properties")
+
+
+def split(c) -> SimpleNamespace:
+    """Volumes whose storeys from the fifth on stand elsewhere, those from the sixth on higher by two metres."""
+    up = F.when(F.col("floor_number") >= 6, 2.0).otherwise(0.0)
+    aside = F.when(F.col("floor_number") >= 5, 50_000.0).otherwise(0.0)
+    return SimpleNamespace(properties=c.properties.withColumns({"x0": F.col("x0") + aside, "x1": F.col("x1") + aside, "z_min": F.col("z_min") + up, "z_max": F.col("z_max") + up}))
+
+
+_SPLIT = """(SELECT block, floor_number, x0 + CASE WHEN floor_number >= 5 THEN 50000e0 ELSE 0e0 END AS x0, x1 + CASE WHEN floor_number >= 5 THEN 50000e0 ELSE 0e0 END AS x1, y0, y1,
+ z_min + CASE WHEN floor_number >= 6 THEN 2e0 ELSE 0e0 END AS z_min, z_max + CASE WHEN floor_number >= 6 THEN 2e0 ELSE 0e0 END AS z_max FROM properties) p"""
+rule_query("rule_disconnected_stack_global", lambda c: rules.disconnected_stack_global(split(c)), STACK_SQL.format(_SPLIT), "properties")
+_BY_BLOCK = STACK_SQL.format(_SPLIT).replace("SELECT floor_number AS object_a, nf AS object_b", "SELECT concat(block, '/', floor_number) AS object_a, concat(block, '/', nf) AS object_b").replace("SELECT floor_number, min(z_min)", "SELECT block, floor_number, min(z_min)").replace("GROUP BY 1)", "GROUP BY 1, 2)").replace("(ORDER BY", "(PARTITION BY block ORDER BY")
+rule_query("rule_disconnected_stack", lambda c: rules.disconnected_stack(split(c)), _BY_BLOCK, "properties")
+rule_query("rule_floor_gap_global", lambda c: rules.floor_gap_global(split(c)), f"SELECT floor_number AS object_a, nxt AS object_b, gap AS measure FROM (SELECT floor_number, lead(floor_number) OVER w AS nxt, lead(z_min) OVER w - z_max AS gap FROM (SELECT floor_number, min(z_min) AS z_min, max(z_max) AS z_max FROM {_SPLIT} GROUP BY 1) s WINDOW w AS (ORDER BY z_min, floor_number)) t WHERE gap > 0.05", "properties")
+query("points_in_boxes", "SELECT p.id, b.id AS box_id FROM (SELECT id, x * 50 AS x, y * 50 + 20 AS y FROM points) p JOIN buildings b ON p.x BETWEEN b.x0 - 1 AND b.x1 + 1 AND p.y BETWEEN b.y0 - 1 AND b.y1 + 1", "points", "buildings")(
+    lambda c: lookups.points_in(c.points.select("id", (F.col("x") * 50).alias("x"), (F.col("y") * 50 + 20).alias("y")), c.buildings).select("id", "box_id")
+)
+
+# --- corridors over many cells ------------------------------------------------------------------
+
+_INF = "SELECT id, seq, x0 + 100e0 * (seq % 7) - 50000e0 AS x0, y0, x1 + 950000e0 AS x1, y1, z_min, z_max FROM infrastructure"
+query(
+    "corridor_collisions",
+    f"SELECT a.id AS object_a, b.id AS object_b FROM properties a JOIN ({_INF}) b ON a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * (least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min)) > 0.01 AND a.z_max > b.z_min AND b.z_max > a.z_min",
+    "properties", "infrastructure",
+)(lambda c: rules.infra_collisions(SimpleNamespace(properties=c.properties, infrastructure=c.spark.sql(_INF.replace("FROM infrastructure", "FROM {i}"), i=c.infrastructure).withColumn("kind", F.lit("TUNNEL"))), "TUNNEL").select("object_a", "object_b"))

@@ -92,11 +92,6 @@ def test_writes(spark):
 
 
 def test_validity_and_overlay():
-    ring = lambda *p: [{"x": x, "y": y} for x, y in p]
-    assert R.reason(ring((0, 0), (4, 0), (4, 3), (0, 3), (0, 0))) == "valid"
-    assert R.reason(ring((0, 0), (1, 1), (1, 0), (0, 1), (0, 0))) == "self-intersection"
-    assert R.reason(ring((0, 0), (1, 0), (0, 0))) == "too few points"
-    assert R.reason(ring((0, 0), (1, 0), (1, 1), (2, 2))) == "not closed"
     shape = np.array([(0, 0), (4, 0), (4, 4), (2, 2), (0, 4)], float)  # notched
     assert R.overlap_area(shape, np.array([(0, 2), (4, 2), (4, 4), (0, 4)], float)) == pytest.approx(4)
     assert R.overlap_area(shape, shape[::-1]) == pytest.approx(12)
@@ -107,9 +102,44 @@ def test_validity_and_overlay():
     assert len(R.simplify(line, 0.1)) == 5
 
 
+def test_validity(spark):
+    rings = {
+        "valid": [[(0, 0), (4, 0), (4, 3), (0, 3), (0, 0)], [(0, 0), (4, 0), (4, 4), (2, 2), (0, 4), (0, 0)]],
+        "self-intersection": [[(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)], [(0, 0), (4, 0), (4, 0), (0, 0), (0, 0)], [(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)], [(0, 0), (4, 0), (2, 0), (2, 3), (0, 0)]],
+        "too few points": [[(0, 0), (1, 0), (0, 0)], None, []],
+        "not closed": [[(0, 0), (1, 0), (1, 1), (2, 2)]],
+        "not finite": [[(0, 0), (float("nan"), 0), (1, 1), (0, 0)]],
+    }
+    rows = [(k, None if r is None else [(float(x), float(y)) for x, y in r]) for k, rs in rings.items() for r in rs]
+    for r in spark.createDataFrame(rows, f"want string, r {R.RING}").withColumn("got", R.validity(F.col("r"))).collect():
+        assert r.got == r.want, r
+
+
+def test_rules_on_rings(spark):
+    """Triangles whose boxes overlap by more than they do."""
+    ring = lambda *p: [(float(x), float(y)) for x, y in (*p, p[0])]
+    rows = [("a", 1, 0.0, 0.0, 10.0, 10.0, 0.0, 3.0, 1, ring((0, 0), (10, 0), (0, 10))), ("b", 2, 0.0, 0.0, 10.0, 10.0, 1.0, 3.0, 1, ring((10, 10), (0, 10), (10, 0))), ("c", 3, 0.0, 0.0, 10.0, 10.0, 2.0, 5.0, 1, ring((0, 0), (10, 0), (10, 10))), ("d", 4, 1.0, 1.0, 1.0, 1.0, 0.0, 3.0, 2, ring((1, 1), (1, 1), (1, 1)))]
+    cat = Cadastre(spark, {"properties": spark.createDataFrame(rows, BOX + f", z_min double, z_max double, floor_number int, ring {R.RING}")})
+    assert {(r.object_a, r.object_b, round(r.measure, 6)) for r in rules.property_overlap_global(cat).collect()} == {("a", "c", 25.0), ("b", "c", 25.0)}
+    assert [r.object_a for r in rules.zero_area(cat).collect()] == ["d"] and [r.object_a for r in rules.invalid(cat).collect()] == ["d"]
+
+
+def test_a_corridor_has_four_cells(spark):
+    """A box of any size lives in four cells at most, and meets small ones as the theta join says."""
+    rng = np.random.default_rng(2)
+    long = [("corridor", 0, -500_000.0, 10.0, 500_000.0, 14.0), ("hall", 1, 50.0, -9000.0, 7000.0, 9000.0)]
+    small = [(f"s{k}", 10 + k, float(x), float(y), float(x + 30), float(y + 20)) for k, (x, y) in enumerate(zip(rng.integers(-9000, 9000, 150), rng.integers(-60, 60, 150)))]
+    a, b = spark.createDataFrame(long + small[:70], BOX), spark.createDataFrame(small + long, BOX)
+    copies = {r.id: r["count"] for r in spatial_join.keyed(a, 100.0, F.array().cast("array<int>")).groupBy("id").count().collect()}
+    assert max(copies.values()) <= 4 and copies["corridor"] <= 4
+    got = [(r[0], r[1]) for r in spatial_join.grid_pairs(a, b, 100.0).select("a.id", "b.id").collect()]
+    want = {(p[0], q[0]) for p in long + small[:70] for q in small + long if p[2] <= q[4] and p[4] >= q[2] and p[3] <= q[5] and p[5] >= q[3]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_rings_in_the_engine(spark):
     d = spark.createDataFrame([(0.0, 0.0, 4.0, 3.0)], "x0 double, y0 double, x1 double, y1 double").select(B.ring().alias("r"))
-    r = d.select(R.area("r" and F.col("r")).alias("a"), R.perimeter(F.col("r")).alias("p"), R.centroid(F.col("r")).alias("c"), R.validity("r").alias("v"), R.from_geojson(R.to_geojson(F.col("r"))).alias("g"), F.col("r")).first()
+    r = d.select(R.area("r" and F.col("r")).alias("a"), R.perimeter(F.col("r")).alias("p"), R.centroid(F.col("r")).alias("c"), R.validity(F.col("r")).alias("v"), R.from_geojson(R.to_geojson(F.col("r"))).alias("g"), F.col("r")).first()
     assert (r.a, r.p, r.c.x, r.c.y, r.v) == (12, 14, 2, 1.5, "valid") and r.g == r.r
 
 

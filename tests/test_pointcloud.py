@@ -43,6 +43,93 @@ def test_ground_alone_has_no_building(spark):
     assert df.where("is_ground").count() > 2300 and PC.buildings(df).count() == 0
 
 
+def brute_spread(grid, passes):
+    """Cell by cell from the rule; grid: {cell: ground or None}."""
+    value = dict(grid)
+    for _ in range(passes):
+        new = {}
+        for (i, j), v in value.items():
+            if v is None:
+                near = [value.get((i + a, j + b)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+                near = [x for x in near if x is not None]
+                if near:
+                    new[i, j] = sum(near) / len(near)
+        if not new:
+            break
+        value |= new
+    known = [v for v in value.values() if v is not None]
+    return {c: (float(np.median(known)) if known else None) if v is None else v for c, v in value.items()}
+
+
+def brute_classify(p):
+    cells = [(int(np.floor(x)), int(np.floor(y))) for x, y, _ in p]
+    by = {}
+    for c, z in zip(cells, p[:, 2]):
+        by.setdefault(c, []).append(z)
+    grid = {c: float(np.percentile(v, 2)) for c, v in by.items()}
+    for t in (0.6, 0.3, 0.15, 0.15, 0.15):
+        mask = np.array([z - grid[c] < t for c, z in zip(cells, p[:, 2])])
+        if not mask.any():
+            break
+        refit = {}
+        for c, z, m in zip(cells, p[:, 2], mask):
+            if m:
+                refit.setdefault(c, []).append(z)
+        grid = brute_spread({c: float(np.percentile(refit[c], 2)) if c in refit else None for c in by}, 32)
+        for _ in range(2):
+            new = {}
+            for (i, j), v in grid.items():
+                near = [grid[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (i + a, j + b) in grid]
+                mid = float(np.median(near)) if near else v
+                new[i, j] = mid if abs(v - mid) > 1.0 else v
+            grid = new
+    return mask, grid, cells
+
+
+@pytest.mark.parametrize("tile", [8, 64])
+def test_spread_against_the_rule(spark, tile):
+    rng = np.random.default_rng(tile)
+    grid = {(int(i), int(j)): None for i, j in rng.integers(-60, 60, (5000, 2))}
+    for c in rng.permutation(np.array(list(grid)))[:25].tolist():
+        grid[tuple(c)] = float(rng.normal(100, 5))
+    grid[1000, 1000] = None  # beyond all reach
+    df = spark.createDataFrame([(*c, v) for c, v in grid.items()], "ix long, iy long, ground double")
+    for passes in (3, 32):
+        got = {(r.ix, r.iy): (r.ground, r.filled) for r in PC.spread(df, passes, tile).collect()}
+        want = brute_spread(grid, passes)
+        assert got.keys() == want.keys()
+        assert all(got[c][0] == pytest.approx(v) and got[c][1] == (grid[c] is None) for c, v in want.items())
+    assert {r.ground for r in PC.spread(df.withColumn("ground", F.lit(None).cast("double"))).collect()} == {None}
+
+
+def test_classify_against_the_rule(spark):
+    rows = cloud([(5, 5, 35, 25, 12), (60, 5, 80, 25, 25)], ground=2500)
+    p = np.array([r[1:] for r in rows])
+    mask, grid, cells = brute_classify(p)
+    got = {r.id: r for r in PC.classify(spark.createDataFrame(rows, PTS)).collect()}
+    assert len(got) == len(rows)
+    for k, (c, m) in enumerate(zip(cells, mask)):
+        assert got[k].is_ground == m and got[k].ground_z == pytest.approx(grid[c])
+    assert mask[2500:4000].mean() < 0.05  # the roof isn't ground, though it covers whole cells
+    g, _ = PC.fitted(spark.createDataFrame(rows, PTS))
+    asked = [(0, 20.5, 15.5), (1, 99.9, 59.9), (2, 5000.0, 0.0), (3, -0.5, 10.0)]
+    for r in PC.ground_at(spark.createDataFrame([(i, x, y) for i, x, y in asked], "id long, x double, y double"), g).collect():
+        i, j = int(np.floor(asked[r.id][1])), int(np.floor(asked[r.id][2]))
+        near = [grid[i + a, j + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (i + a, j + b) in grid]
+        assert r.ground_z == pytest.approx(np.mean(near) if near else np.median(list(grid.values())))
+
+
+def test_exact_quantiles(spark):
+    from plumbline.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(1)
+    for v in (rng.normal(0, 1, 3000), np.r_[np.full(2500, 7.0), rng.normal(7, 1e-9, 400), 1e12, -1e12], rng.integers(0, 3, 999).astype(float), np.array([4.5]), np.array([1.0, 2.0])):
+        ps = [0.0, 0.02, 0.5, 0.95, 1.0]
+        n, got = exact_quantiles(spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "x double"), "x", ps)
+        assert n == len(v) and got == pytest.approx([float(np.quantile(v, p)) for p in ps], rel=1e-12, abs=1e-12)
+    assert exact_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == (0, [None])
+
+
 def brute_dbscan(p, eps, least):
     d = (p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2 <= eps * eps
     core = d.sum(1) >= least
@@ -70,9 +157,8 @@ def test_clusters_against_definition(spark):
 
 def test_cluster_query_takes_all_points(spark):
     from __spark_entry__ import queries
-    from plumbline.llm.store import sf_table
 
-    e = sf_table(spark, "/root/testdata/sf0.001", "events").selectExpr("event_id", "double(event_id % 100)", "double(user_id % 40)").orderBy("event_id").collect()
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("event_id", "double(event_id % 100)", "double(user_id % 40)").orderBy("event_id").collect()
     want = brute_dbscan(np.array([r[1:] for r in e]), PC.EPS, PC.MIN_SAMPLES)
     got = {r.id: r.cluster for r in queries()["dbscan_clusters"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {e[i].event_id: e[c].event_id for i, c in want.items()}
