@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import identifiers as I
-from plumbline.operators import arrangement, generation, lookups, rules
+from plumbline.operators import arrangement, generation, lookups, pointcloud, rules
 
-from .catalogue import STACK_SQL, rule_query
+from .catalogue import ORACLES, STACK_SQL, rule_query
 from .catalogue import query
 
 
@@ -160,3 +160,34 @@ query(
     f"SELECT a.id AS object_a, b.id AS object_b FROM properties a JOIN ({_INF}) b ON a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) * (least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min)) > 0.01 AND a.z_max > b.z_min AND b.z_max > a.z_min",
     "properties", "infrastructure",
 )(lambda c: rules.infra_collisions(SimpleNamespace(properties=c.properties, infrastructure=c.spark.sql(_INF.replace("FROM infrastructure", "FROM {i}"), i=c.infrastructure).withColumn("kind", F.lit("TUNNEL"))), "TUNNEL").select("object_a", "object_b"))
+
+
+# --- ground by the rule, unrolled ---------------------------------------------------------------
+
+
+def _ground_sql() -> str:
+    """The grid of each round from the one before: refit, fill (cell by cell, pass by pass), two smoothings."""
+    near = "JOIN {0} b ON b.ix BETWEEN a.ix - 1 AND a.ix + 1 AND b.iy BETWEEN a.iy - 1 AND a.iy + 1 AND (a.ix <> b.ix OR a.iy <> b.iy)"
+    smooth = lambda src: f"SELECT a.ix, a.iy, CASE WHEN abs(any_value(a.ground) - quantile_cont(b.ground, 0.5)) > 1 THEN quantile_cont(b.ground, 0.5) ELSE any_value(a.ground) END AS ground FROM {src} a LEFT {near.format(src)} GROUP BY 1, 2"
+    out = ["pt AS MATERIALIZED (SELECT id, z, CAST(floor(x) AS BIGINT) AS ix, CAST(floor(y) AS BIGINT) AS iy FROM points)", "g0 AS MATERIALIZED (SELECT ix, iy, quantile_cont(z, 0.02) AS ground FROM pt GROUP BY 1, 2)", "sh AS MATERIALIZED (SELECT dx, dy FROM (VALUES (-1), (0), (1)) p(dx), (VALUES (-1), (0), (1)) q(dy))"]
+    for k, t in enumerate(pointcloud.THRESHOLDS, 1):
+        out += [
+            f"m{k} AS MATERIALIZED (SELECT id, ix, iy, z, z - ground < {t} AS is_ground FROM pt JOIN g{k - 1} USING (ix, iy))",
+            f"r{k} AS MATERIALIZED (SELECT ix, iy, quantile_cont(z, 0.02) AS ground FROM m{k} WHERE is_ground GROUP BY 1, 2)",
+            f"f{k} AS (SELECT 0 AS pass, ix, iy, r{k}.ground FROM g0 LEFT JOIN r{k} USING (ix, iy) UNION ALL SELECT pass + 1, ix + dx, iy + dy, coalesce(max(CASE WHEN dx = 0 AND dy = 0 THEN ground END), avg(CASE WHEN dx <> 0 OR dy <> 0 THEN ground END)) FROM f{k}, sh WHERE pass < 32 GROUP BY pass + 1, ix + dx, iy + dy HAVING bool_or(dx = 0 AND dy = 0))",
+            f"e{k} AS MATERIALIZED (SELECT ix, iy, coalesce(ground, (SELECT quantile_cont(ground, 0.5) FROM f{k} WHERE pass = 32)) AS ground FROM f{k} WHERE pass = 32)",
+            f"s{k} AS MATERIALIZED ({smooth(f'e{k}')})", f"g{k} AS MATERIALIZED ({smooth(f's{k}')})",
+        ]
+    return ", ".join(out)
+
+
+_LAST = len(pointcloud.THRESHOLDS)
+query("ground_classify", f"SELECT id, round(ground, 6) AS ground_z, round(z - ground, 6) AS height, is_ground FROM m{_LAST} JOIN g{_LAST} USING (ix, iy)", "points")(
+    lambda c: pointcloud.classify(c.points).select("id", F.round("ground_z", 6).alias("ground_z"), F.round("height", 6).alias("height"), "is_ground")
+)
+ORACLES["ground_classify"] = ORACLES["ground_classify"].replace("\nSELECT id, round", f", {_ground_sql()}\nSELECT id, round", 1)
+_ASKED = "SELECT id, (x0 + x1) / 50 AS x, (y0 + y1) / 50 AS y FROM buildings"
+query("ground_lookup", f"SELECT b.id, round(coalesce(avg(g.ground), (SELECT quantile_cont(ground, 0.5) FROM g{_LAST})), 6) AS ground_z FROM ({_ASKED}) b LEFT JOIN g{_LAST} g ON g.ix BETWEEN floor(b.x) - 1 AND floor(b.x) + 1 AND g.iy BETWEEN floor(b.y) - 1 AND floor(b.y) + 1 GROUP BY 1", "points", "buildings")(
+    lambda c: pointcloud.ground_at(c.spark.sql(_ASKED.replace("FROM buildings", "FROM {b}"), b=c.buildings), pointcloud.fitted(c.points)[0]).select("id", F.round("ground_z", 6).alias("ground_z"))
+)
+ORACLES["ground_lookup"] = ORACLES["ground_lookup"].replace("\nSELECT b.id", f", {_ground_sql()}\nSELECT b.id", 1)
