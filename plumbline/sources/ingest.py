@@ -15,7 +15,7 @@ from plumbline.functions import crs as C
 from plumbline.functions import identifiers as I
 from plumbline.functions import rings as R
 
-from . import pointfiles
+from . import pointfiles, pointsource
 
 UPLOAD_BYTES = 10_000_000
 
@@ -115,12 +115,18 @@ def extract(points: DataFrame, method: str = "density-clusters", source_id: str
     return EXTRACTORS[method](points).withColumns({"method": F.lit(method), "source_id": F.lit(source_id)})
 
 
+class TooManyPoints(ValueError):
+    pass
+
+
 def scan(spark: SparkSession, path: str, most_points: int | None = 2_000_000) -> DataFrame:
-    """Points of the usable files, in blocks. A file with more points than the limit is left to the caller: it gives no points but
-    a row in ``refused_scan``. None sets no limit."""
-    h = pointfiles.headers(spark, path).where("size(problems) = 0")
-    good = h if most_points is None else h.where(F.col("point_count") <= most_points)
-    return pointfiles.points(spark, path).join(good.select("path"), "path", "left_semi")
+    """(path, id, x, y, z) of the usable files, each read by ranges of records. A file with more points than the limit is refused with
+    an error that names it; None sets no limit. A bad file gives no points and stops no other; ``refused_scan`` tells why."""
+    if most_points is not None:
+        large = pointfiles.headers(spark, path).where("size(problems) = 0").where(F.col("point_count") > most_points).select("path", "point_count").head(1)
+        if large:
+            raise TooManyPoints(f"{large[0].path} has {large[0].point_count} points, more than {most_points}")
+    return pointsource.read(spark, path).where("problem is null").drop("problem")
 
 
 def refused_scan(spark: SparkSession, path: str, most_points: int = 2_000_000) -> DataFrame:

@@ -141,12 +141,15 @@ def headers(spark: SparkSession, path: str, most_bytes: int | None = None) -> Da
 
 
 def points(spark: SparkSession, path: str, block: int = 1_000_000) -> DataFrame:
-    """(path, id, x, y, z) of every readable point."""
+    """(path, id, x, y, z) of every point of the readable files, each read whole by one task; ``pointsource`` splits them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             for p, ext, b in zip(d.path, d.ext, d.content):
-                xyz = ply_points(b) if ext == "ply" else las_points(b)
+                try:
+                    xyz = ply_points(b) if ext == "ply" else las_points(b)
+                except (BadFile, ValueError, KeyError, IndexError, struct.error):
+                    continue  # headers() says what is wrong with it
                 for i in range(0, len(xyz), block):
                     x = xyz[i : i + block]
                     yield pd.DataFrame({"path": pd.Series([p] * len(x), dtype=object), "id": np.arange(i, i + len(x)), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
