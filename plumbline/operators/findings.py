@@ -12,45 +12,63 @@ from plumbline.functions import boxes as B
 from plumbline.functions import identifiers as I
 from plumbline.functions import rings as R
 
-#: What each rule says of its objects; %a, %b and %m stand for them and the measure.
+_COLLIDES = "Volume %a and infrastructure %b share %m m3."
+#: What each rule says of its objects: %a and %b stand for them, %m for the measure (%0m and %2m with none and two decimals, %p as a percentage). The
+#: sentences are this library's own.
 SAID = {
     "GEOM-INVALID": "%a has an invalid outline.",
     "GEOM-SELF-INTERSECTION": "The outline of %a crosses itself.",
-    "GEOM-ZERO-AREA": "The outline of %a has no area.",
-    "GEOM-ZERO-VOLUME": "%a has no volume.",
-    "GEOM-INVALID-Z-RANGE": "The top of %a is not above its base.",
-    "PARCEL-PROPERTY-OUTSIDE": "%a leaves parcel %b by %m m2.",
-    "PARCEL-BUILDING-OUTSIDE": "%a leaves parcel %b by %m m2.",
-    "PARCEL-UNASSIGNED-BUILDING": "%a names no parcel.",
-    "PARCEL-UNASSIGNED-PROPERTY": "%a names no parcel.",
+    "GEOM-ZERO-AREA": "The outline of %a has an area of %2m m2.",
+    "GEOM-ZERO-VOLUME": "%a has a volume of %2m m3.",
+    "GEOM-INVALID-Z-RANGE": "The top of %a is not above its base: the height is %2m m.",
+    "PARCEL-PROPERTY-OUTSIDE": "%a leaves parcel %b by %2m m2.",
+    "PARCEL-BUILDING-OUTSIDE": "%a leaves parcel %b by %2m m2.",
+    "PARCEL-UNASSIGNED-BUILDING": "%a names no parcel and lies in %b.",
+    "PARCEL-UNASSIGNED-PROPERTY": "%a names no parcel and lies in %b.",
     "VERT-FLOOR-OVERLAP": "Storeys %a and %b share %m m3.",
     "VERT-PROPERTY-OVERLAP": "Volumes %a and %b share %m m3.",
-    "VERT-FLOOR-GAP": "Between %a and %b there is a gap of %m m.",
-    "VERT-DISCONNECTED-STACK": "%a and %b don't lie over each other.",
-    "VERT-Z-ORDER": "%a and %b are out of order.",
-    "VERT-FLOOR-HEIGHT": "The height of %a is off by %m m.",
+    "VERT-FLOOR-GAP": "Between storeys %a and %b there is a gap of %2m m.",
+    "VERT-DISCONNECTED-STACK": "Storeys %a and %b share %2m m2 in plan.",
+    "VERT-Z-ORDER": "The base of %a is not below its top: the height is %2m m.",
+    "VERT-FLOOR-HEIGHT": "The height of %a is %p % off the median.",
     "CAD-DUPLICATE-ULPIN": "%a and %b carry one identifier.",
     "CAD-DUPLICATE-GEOMETRY": "%a and %b have one geometry.",
-    "CAD-MISSING-PARENT": "The parent of %a isn't registered.",
-    "CAD-ORPHAN-PROPERTY": "The building of %a isn't registered.",
-    "CAD-INVALID-HIERARCHY": "Parcel and building of %a don't belong together.",
-    "CHANGE-FOOTPRINT": "The outline of %a changed by %m m2.",
-    "CHANGE-HEIGHT": "The height of %a changed by %m m.",
-    "CHANGE-VOLUME": "The volume of %a changed by %m m3.",
-    "CHANGE-NEW-FLOOR": "%a is new.",
-    "CHANGE-REMOVED-FLOOR": "A storey of %a is gone.",
-}
-_COLLIDES = "%a collides with %b: %m m3."
+    "CAD-MISSING-PARENT": "Parcel %b, which %a names, isn't registered.",
+    "CAD-ORPHAN-PROPERTY": "Building %b, which %a names, isn't registered.",
+    "CAD-INVALID-HIERARCHY": "The band of %a departs from that of storey %b by %2m m.",
+    "CHANGE-FOOTPRINT": "%a differs from its version %0m.",
+    "CHANGE-HEIGHT": "The height of %a changed by %2m m.",
+    "CHANGE-VOLUME": "The volume of %a changed by %2m m3.",
+    "CHANGE-NEW-FLOOR": "Storey %0m of %a is beyond those of building %b.",
+    "CHANGE-REMOVED-FLOOR": "Storey %0m of %a has no volume.",
+} | {f"INFRA-{k}": _COLLIDES for k in ("UTILITY-COLLISION", "TUNNEL", "BASEMENT", "FOUNDATION", "ELEVATED_STRUCTURE")}
+#: The names under which measure and second object are evidence: rule -> {name: (m or b, digits)}.
+EVIDENCE = {
+    "GEOM-ZERO-AREA": {"area_m2": ("m", 6)}, "GEOM-ZERO-VOLUME": {"volume_m3": ("m", 6)}, "GEOM-INVALID-Z-RANGE": {"height_m": ("m", 3)}, "VERT-Z-ORDER": {"height_m": ("m", 3)},
+    "PARCEL-PROPERTY-OUTSIDE": {"outside_area_m2": ("m", 2)}, "PARCEL-BUILDING-OUTSIDE": {"outside_area_m2": ("m", 2)}, "PARCEL-UNASSIGNED-BUILDING": {"containing_parcel_id": ("b", 0)}, "PARCEL-UNASSIGNED-PROPERTY": {"containing_parcel_id": ("b", 0)},
+    "VERT-FLOOR-OVERLAP": {"overlap_volume_m3": ("m", 2)}, "VERT-PROPERTY-OVERLAP": {"overlap_volume_m3": ("m", 2)}, "VERT-FLOOR-GAP": {"gap_m": ("m", 2)}, "VERT-DISCONNECTED-STACK": {"shared_area_m2": ("m", 4)}, "VERT-FLOOR-HEIGHT": {"deviation_ratio": ("m", 4)},
+    "CAD-DUPLICATE-ULPIN": {"first_id": ("b", 0)}, "CAD-DUPLICATE-GEOMETRY": {"first_id": ("b", 0)}, "CAD-MISSING-PARENT": {"parent_parcel_id": ("b", 0)}, "CAD-ORPHAN-PROPERTY": {"building_id": ("b", 0)}, "CAD-INVALID-HIERARCHY": {"floor_id": ("b", 0), "departure_m": ("m", 3)},
+    "CHANGE-FOOTPRINT": {"previous_version": ("m", 0)}, "CHANGE-HEIGHT": {"delta_m": ("m", 3)}, "CHANGE-VOLUME": {"delta_m3": ("m", 2)}, "CHANGE-NEW-FLOOR": {"floor_number": ("m", 0), "building_id": ("b", 0)}, "CHANGE-REMOVED-FLOOR": {"floor_number": ("m", 0)},
+} | {k: {"overlap_volume_m3": ("m", 2), "infrastructure_id": ("b", 0)} for k in SAID if k.startswith("INFRA-")}
+
+
+def _number(c: Column, digits: int) -> Column:
+    return F.round(c, digits).cast(f"decimal(28,{digits})").cast("string")
 
 
 def described(findings: DataFrame) -> DataFrame:
-    """Findings (rule_id, object_a, object_b, measure, ...) with description and evidence, the measure under the name of its kind."""
+    """Findings (rule_id, object_a, object_b, measure, ...) with a description and evidence, a JSON object whose names depend on the rule. A rule that was
+    registered by the caller is told by its id."""
     says = F.create_map(*(F.lit(x) for kv in SAID.items() for x in kv))
-    text = F.coalesce(says[F.col("rule_id")], F.lit(_COLLIDES))
-    for mark, c in (("%a", F.col("object_a")), ("%b", F.col("object_b")), ("%m", F.format_number("measure", 1))):
+    text = F.coalesce(says[F.col("rule_id")], F.concat(F.col("rule_id"), F.lit(": %a.")))
+    marks = [("%0m", _number(F.col("measure"), 0)), ("%p", _number(F.col("measure") * 100, 0)), ("%2m", _number(F.col("measure"), 2)), ("%m", _number(F.col("measure"), 1)), ("%b", F.col("object_b")), ("%a", F.col("object_a"))]
+    for mark, c in marks:
         text = F.replace(text, F.lit(mark), F.coalesce(c, F.lit("?")))
-    kind = F.when(F.col("rule_id").contains("OVERLAP") | F.col("rule_id").startswith("INFRA-"), "overlap_volume_m3").when(F.col("rule_id").contains("GAP"), "gap_m").when(F.col("rule_id").contains("OUTSIDE"), "outside_area_m2").otherwise("measure")
-    return findings.withColumns({"description": text, "evidence": F.when(F.col("measure").isNotNull(), F.to_json(F.create_map(kind, F.round("measure", 2))))})
+    told = F.when(F.lit(False), F.lit(""))
+    for rule, names in EVIDENCE.items():
+        value = lambda kind, digits: F.col("object_b") if kind == "b" else F.round("measure", digits).cast(f"decimal(28,{digits})")
+        told = told.when(F.col("rule_id") == rule, F.to_json(F.struct(*(value(*v).alias(k) for k, v in names.items()))))
+    return findings.withColumns({"description": text, "evidence": told})
 
 
 def located(findings: DataFrame, objects: DataFrame) -> DataFrame:

@@ -152,12 +152,30 @@ def pipeline_links(links: DataFrame, jobs: DataFrame, objects: DataFrame, stage:
     return job_links(links, jobs).unionByName(made.join(links.select("object_id", "parent_id", "stage"), ["object_id", "parent_id", "stage"], "left_anti"), allowMissingColumns=True)
 
 
-def neutral_status(state: Column) -> Column:
+def step_words(state: Column) -> Column:
     """The words that a step's state is shown by."""
     words = {"ready": "complete", "running": "in progress", "attention": "needs review", "error": "failed", "blocked": "waiting", "empty": "not started"}
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)), state), F.lit("not started"))
 
 
+#: State of a review case -> what a change is called.
+DECIDED = {"APPROVED": "APPROVED", "REJECTED": "REJECTED", "RESURVEY_REQUESTED": "RESURVEY REQUESTED", "EXPECTED": "ACCEPTED AS EXPECTED", "PENDING": "REQUIRES REVIEW", "IN_REVIEW": "REQUIRES REVIEW"}
+
+
+def neutral_status(change: Column, case_state: Column) -> Column:
+    """What is said of an object: what a reviewer has decided or is to decide, else whether there is a change (not null) at all."""
+    said = F.create_map(*(F.lit(x) for kv in DECIDED.items() for x in kv))
+    return F.coalesce(F.element_at(said, case_state), F.when(change.isNotNull(), "CHANGE DETECTED").otherwise("NO CHANGE"))
+
+
+def change_statuses(objects: DataFrame, changes: DataFrame, cases: DataFrame) -> DataFrame:
+    """(id, change_type, status) of every object (id): a row for each of its changes (id, object_id, change_type), with the state of the change's review case
+    (issue_id, state); one row where there is none."""
+    ch = changes.select(F.col("id").alias("change_id"), F.col("object_id").alias("id"), "change_type")
+    j = objects.select("id").join(ch, "id", "left").join(cases.select(F.col("issue_id").alias("change_id"), "state"), "change_id", "left")
+    return j.select("id", "change_type", neutral_status(F.col("change_id"), F.col("state")).alias("status"))
+
+
 PIPELINE = [("extraction", "BUILDING_EXTRACTION", "extracted"), ("floors", "FLOOR_SEGMENTATION", "storeys"), ("volumes", "PROPERTY_VOLUME", "volumes")]
 
 

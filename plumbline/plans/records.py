@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import boxes as B
@@ -12,7 +14,7 @@ from plumbline.operators import changes, findings, lookups, rules, storeys
 from plumbline.sources import ingest
 from plumbline.sources.cadastre import STAGE_ORDER
 
-from .catalogue import _PLAN, ORACLES, QUERIES, area_sql, query
+from .catalogue import _OF_RULE, _PLAN, ORACLES, QUERIES, RULE_SQL, area_sql, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -103,10 +105,32 @@ query("audit_event_ids", "SELECT concat('AE-', strftime(ts, '%Y%m%d%H%M%S'), lpa
 
 # --- findings and changes -----------------------------------------------------------------------
 
-query("findings_described", f"""SELECT a.id AS object_a, b.id AS object_b, concat('Volumes ', a.id, ' and ', b.id, ' share ', CAST(CAST(round(({_PLAN} * greatest(0e0, least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min))), 1) AS DECIMAL(18,1)) AS VARCHAR), ' m3.') AS description,
- concat(a.building_id, ' / Floor ', a.floor_number) AS location FROM properties a JOIN properties b ON a.site = b.site AND a.floor_number = b.floor_number AND a.seq < b.seq WHERE {_PLAN} * greatest(0e0, least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min)) > 0.01 AND {_PLAN} * greatest(0e0, least(a.z_max, b.z_max) - greatest(a.z_min, b.z_min)) < 1000""", "properties")(
-    lambda c: findings.located(findings.described(rules.run_rules(c, "VERT-PROPERTY-OVERLAP").where("measure < 1000")), c.properties).select("object_a", "object_b", "description", "location")
+query(
+    "findings_described",
+    f"SELECT object_a, object_b, concat('Volumes ', object_a, ' and ', object_b, ' share ', CAST(CAST(round(measure, 1) AS DECIMAL(28,1)) AS VARCHAR), ' m3.') AS description, concat(p.building_id, ' / Floor ', p.floor_number) AS location FROM ({RULE_SQL['rule_property_overlap_global'][0]}) z JOIN properties p ON p.id = z.object_a",
+    "properties",
+)(
+    lambda c: findings.located(findings.described(rules.run_rules(c, "VERT-PROPERTY-OVERLAP")), c.properties).select("object_a", "object_b", "description", "location")
 )
+# all rules, all findings: what is said, by rule
+_MARKS = {"%0m": "CAST(CAST(round(measure, 0) AS DECIMAL(28,0)) AS VARCHAR)", "%p": "CAST(CAST(round(measure * 100, 0) AS DECIMAL(28,0)) AS VARCHAR)", "%2m": "CAST(CAST(round(measure, 2) AS DECIMAL(28,2)) AS VARCHAR)", "%m": "CAST(CAST(round(measure, 1) AS DECIMAL(28,1)) AS VARCHAR)", "%b": "object_b", "%a": "object_a"}
+
+
+def _said(rule: str) -> str:
+    parts = re.split(r"(%0m|%2m|%p|%m|%b|%a)", findings.SAID[rule])
+    return "concat(" + ", ".join(f"coalesce({_MARKS[p]}, '?')" if p in _MARKS else "'" + p.replace("'", "''") + "'" for p in parts if p) + ")"
+
+
+_EACH = " UNION ALL ".join(
+    f"SELECT '{r}' AS rule_id, {_said(r)} AS description, object_a FROM (SELECT CAST(object_a AS VARCHAR) AS object_a, CAST(object_b AS VARCHAR) AS object_b, CAST(measure AS DOUBLE) AS measure FROM ({RULE_SQL[f'rule_{q}'][0]}) z) y" for r, q in _OF_RULE.items()
+)
+query(
+    "findings_described_all",
+    f"SELECT rule_id, count(*) AS n, count(DISTINCT description) AS texts, min(description) AS first_text, max(description) AS last_text, sum(strlen(description)) AS length FROM ({_EACH}) q GROUP BY 1",
+    *sorted({v for q in _OF_RULE.values() for v in RULE_SQL[f"rule_{q}"][1]}),
+)(
+    lambda c: findings.described(rules.run_rules(c)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("description").alias("texts"), F.min("description").alias("first_text"), F.max("description").alias("last_text"), F.sum(F.octet_length("description")).alias("length"))
+)
 _CH = "SELECT id AS object_id, building_id, floor_number, 'S' AS source_id, CASE WHEN seq % 2 = 0 THEN 'HEIGHT' ELSE 'NEW_FLOOR' END AS change_type, CAST(floor_number AS DOUBLE) AS delta FROM {properties}"
 _changes = lambda c: c.spark.sql(_CH, properties=c.properties)
 query("change_findings", f"SELECT object_id AS object_a, building_id AS object_b, CASE WHEN change_type = 'HEIGHT' THEN 'HEIGHT_CHANGE' ELSE 'UNREGISTERED_FLOOR' END AS issue_type, 'WARNING' AS severity, CASE WHEN change_type = 'HEIGHT' THEN object_id ELSE concat('Storey ', floor_number, coalesce(concat(' of building ', building_id), '')) END AS location, concat('CHGF-', substr(sha256(concat('S|', object_id, '|', change_type)), 1, 10)) AS id FROM {_sql(_CH, properties='properties')} t", "properties")(

@@ -191,3 +191,14 @@ query("ground_lookup", f"SELECT b.id, round(coalesce(avg(g.ground), (SELECT quan
     lambda c: pointcloud.ground_at(c.spark.sql(_ASKED.replace("FROM buildings", "FROM {b}"), b=c.buildings), pointcloud.fitted(c.points)[0]).select("id", F.round("ground_z", 6).alias("ground_z"))
 )
 ORACLES["ground_lookup"] = ORACLES["ground_lookup"].replace("\nSELECT b.id", f", {_ground_sql()}\nSELECT b.id", 1)
+
+# --- what is said of changes --------------------------------------------------------------------
+
+_CH = "SELECT concat('CH-', id) AS id, id AS object_id, CASE WHEN supp % 7 = 0 THEN 'HEIGHT' ELSE 'FOOTPRINT' END AS change_type FROM {properties} WHERE supp % 7 = 0 OR supp % 11 = 0"
+_CASE = "SELECT concat('CH-', id) AS issue_id, CASE part % 8 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'RESURVEY_REQUESTED' WHEN 3 THEN 'EXPECTED' WHEN 4 THEN 'PENDING' WHEN 5 THEN 'IN_REVIEW' ELSE 'CLOSED' END AS state FROM {properties} WHERE part % 8 < 7 AND (supp % 7 = 0 OR supp % 11 = 0)"
+query(
+    "change_statuses",
+    f"""SELECT p.id, change_type, CASE WHEN state IN ('APPROVED', 'REJECTED') THEN state WHEN state = 'RESURVEY_REQUESTED' THEN 'RESURVEY REQUESTED' WHEN state = 'EXPECTED' THEN 'ACCEPTED AS EXPECTED' WHEN state IN ('PENDING', 'IN_REVIEW') THEN 'REQUIRES REVIEW'
+ WHEN c.id IS NOT NULL THEN 'CHANGE DETECTED' ELSE 'NO CHANGE' END AS status FROM properties p LEFT JOIN ({_CH.format(properties="properties")}) c ON c.object_id = p.id LEFT JOIN ({_CASE.format(properties="properties")}) r ON r.issue_id = c.id""",
+    "properties",
+)(lambda c: lookups.change_statuses(c.properties, c.spark.sql(_CH, properties=c.properties), c.spark.sql(_CASE, properties=c.properties)))
