@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hulls as H
 from . import rings as R
 
 PARTS = f"array<{R.RING}>"
@@ -100,31 +101,9 @@ def repaired(ring: Column) -> Column:
 
 
 def concave_xy(p: np.ndarray, ratio: float = 0.3) -> np.ndarray:
-    """An outline that follows the points more closely than their hull: hull edges longer than ``ratio`` times the longest give way,
-    longest first, to the nearest inner point, as long as the outline doesn't cross itself."""
-    hull = R.convex_hull(p)[:-1]
-    if len(hull) < 3:
-        return np.vstack([hull, hull[:1]])
-    out = [tuple(x) for x in hull]
-    inner = {tuple(x) for x in np.unique(p, axis=0)} - set(out)
-    limit = ratio * max(np.hypot(*(np.subtract(a, b))) for a, b in zip(out, out[1:] + out[:1]))
-    fixed = set()
-    while inner:
-        edges = [(np.hypot(*np.subtract(a, b)), k) for k, (a, b) in enumerate(zip(out, out[1:] + out[:1])) if (a, b) not in fixed]
-        if not edges or max(edges)[0] <= limit:
-            break
-        size, k = max(edges)
-        a, b = np.array(out[k]), np.array(out[(k + 1) % len(out)])
-        q = np.array(sorted(inner))
-        far = np.maximum(np.hypot(*(q - a).T), np.hypot(*(q - b).T))
-        c = tuple(q[int(far.argmin())])
-        new = out[: k + 1] + [c] + out[k + 1 :]
-        if far.min() < size and not R.proper_crossings(np.array(new + new[:1])):
-            out = new
-            inner.discard(c)
-        else:
-            fixed.add((tuple(a), tuple(b)))
-    return np.array(out + out[:1])
+    """The concave outline of points, or their hull where there is none."""
+    out = H.concave(p, ratio)
+    return R.convex_hull(p) if out is None else out
 
 
 def concave(points: Column) -> Column:

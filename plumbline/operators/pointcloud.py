@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions import hulls as H
 from plumbline.functions import rings as R
 from plumbline.session import ship
 
@@ -19,7 +20,7 @@ from .quantiles import exact_quantiles
 from .store import cut
 
 CELL, LOW, THRESHOLDS, MIN_HEIGHT, NEIGHBOUR_TOLERANCE = 1.0, 0.02, (0.60, 0.30, 0.15, 0.15, 0.15), 0.5, 1.0
-EPS, MIN_SAMPLES, MIN_POINTS, MIN_AREA = 1.5, 6, 100, 20.0
+EPS, MIN_SAMPLES, MIN_POINTS, MIN_AREA, CONCAVE = 1.5, 6, 100, 20.0, 0.30
 BIN, SMOOTH, PROMINENCE, MERGE = 0.05, 5, 0.15, 1.5
 MIN_STOREY, MAX_STOREY, SPREAD = 1.5, 8.0, 0.15
 
@@ -160,7 +161,7 @@ def clusters(points: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES
 
 def buildings(points: DataFrame, min_points: int = MIN_POINTS, min_area: float = MIN_AREA) -> DataFrame:
     """One row per building of a classified cloud: footprint ring, height (95th percentile), roof roughness and quality.
-    Outlines come from the hulls of each grid cell's points, so a task holds a few points a cell."""
+    Outlines are concave hulls of the border cells' extremes, so a task holds a few points for each cell of a building's border."""
     ship(points.sparkSession)
     up = points.where(f"not is_ground and height >= {MIN_HEIGHT}")
     c = up.join(clusters(up), "id")
@@ -168,13 +169,19 @@ def buildings(points: DataFrame, min_points: int = MIN_POINTS, min_area: float =
         F.count(F.lit(1)).alias("points"), F.expr("percentile(height, 0.95)").alias("height"), F.expr("percentile(height, 0.75) - percentile(height, 0.25)").alias("iqr"),
         F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.expr("percentile(z, 0.9)").alias("high"),
     ).where((F.col("points") >= min_points) & ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= min_area) & (F.col("height") > 0))
-    # extremes of each row and column of cells bound the hull
-    edge = with_cell(c).groupBy("cluster", "ix").agg(F.array(F.min_by(F.struct("x", "y"), "y"), F.max_by(F.struct("x", "y"), "y"), F.min_by(F.struct("x", "y"), "x"), F.max_by(F.struct("x", "y"), "x")).alias("e"))
-    edge = edge.select("cluster", F.explode("e").alias("p")).select("cluster", "p.x", "p.y")
+    # the outline runs through cells that aren't surrounded by others; their extremes are all that is sent
+    ends = F.array(*(f(F.struct("x", "y"), k) for k in "xy" for f in (F.min_by, F.max_by)))
+    cells = with_cell(c).groupBy("cluster", "ix", "iy").agg(ends.alias("e"))
+    shift = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))
+    beside = cells.select("cluster", "ix", "iy", F.explode(shift).alias("s")).groupBy("cluster", (F.col("ix") + F.col("s.dx")).alias("ix"), (F.col("iy") + F.col("s.dy")).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+    edge = cells.join(beside, ["cluster", "ix", "iy"], "left").where("coalesce(n, 0) < 8").select("cluster", F.explode("e").alias("p")).select("cluster", "p.x", "p.y")
 
     def hull(d: pd.DataFrame) -> pd.DataFrame:
-        h = R.simplify(R.convex_hull(d[["x", "y"]].to_numpy()), 0.25)
-        return pd.DataFrame({"cluster": [d.cluster.iloc[0]], "footprint": [[{"x": float(x), "y": float(y)} for x, y in h]]})
+        xy = d[["x", "y"]].to_numpy()
+        convex, h = R.convex_hull(xy), H.concave(xy, CONCAVE)
+        if h is None or not 0 < R.open_area(h[:-1]) <= R.open_area(convex[:-1]):
+            h = convex
+        return pd.DataFrame({"cluster": [d.cluster.iloc[0]], "footprint": [[{"x": float(x), "y": float(y)} for x, y in R.simplify(h, 0.25)]]})
 
     out = stats.join(edge.groupBy("cluster").applyInPandas(hull, f"cluster long, footprint {R.RING}"), "cluster")
     # roof plane z ~ x + y over the top tenth, from sums of products

@@ -38,6 +38,33 @@ def test_two_buildings(spark):
         assert r.area == pytest.approx(area, rel=0.1) and r.height == pytest.approx(h, rel=0.1) and 0 < r.quality <= 1
 
 
+def test_footprints_follow_the_building(spark):
+    """An L stays an L."""
+    df = spark.createDataFrame(cloud([(5, 5, 45, 15, 12), (5, 15, 15, 45, 12)]), PTS)
+    (b,) = PC.buildings(PC.classify(df)).collect()
+    ring = np.array([(q.x, q.y) for q in b.footprint])
+    assert 700 * 0.9 < b.area < 700 * 1.15  # its convex hull has 1,150
+    assert not any(30 < x < 40 and 30 < y < 40 for x, y in ring) and len(ring) >= 7
+
+
+def test_triangulation_and_outline():
+    from plumbline.functions import hulls as H
+    from plumbline.functions import rings as R
+
+    rng = np.random.default_rng(1)
+    p = rng.random((150, 2))
+    t = H.triangulated(p)
+    assert sum(R.open_area(p[x]) for x in t) == pytest.approx(R.open_area(R.convex_hull(p)[:-1]))
+    for x in t:  # no point in any circumcircle
+        a = p[x]
+        c = np.linalg.solve(2 * (a[1:] - a[0]), (a[1:] ** 2).sum(1) - (a[0] ** 2).sum())
+        assert (np.hypot(*(p - c).T) > np.hypot(*(a[0] - c)) - 1e-9).all()
+    grid = np.array([(i, j) for i in range(31) for j in range(31) if not (10 < i < 20 and j > 10)], float)  # a U
+    for q in (grid, grid + rng.normal(0, 0.01, grid.shape)):
+        assert R.open_area(H.concave(q)[:-1]) == pytest.approx(710, rel=0.03)
+    assert H.concave(np.array([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)])) is None and H.concave(np.zeros((5, 2))) is None
+
+
 def test_ground_alone_has_no_building(spark):
     df = PC.classify(spark.createDataFrame(cloud([], ground=2500), PTS))
     assert df.where("is_ground").count() > 2300 and PC.buildings(df).count() == 0
