@@ -12,13 +12,13 @@ COLUMNS = ["id", "building_id", "floor_number", "x0", "y0", "x1", "y1", "z_min",
 
 
 def indexed(side: DataFrame) -> DataFrame:
-    """One record an id: the last duplicate (by seq) wins."""
-    return side.groupBy("id").agg(F.max_by(F.struct(*COLUMNS[1:]), "seq").alias("r")).select("id", "r.*")
+    """One record an id: the last duplicate (by seq) wins, in the place of the first."""
+    return side.groupBy("id").agg(F.max_by(F.struct(*COLUMNS[1:]), "seq").alias("r"), F.min("seq").alias("seq")).select("id", "seq", "r.*")
 
 
 def compare(approved: DataFrame, survey: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """(object_id, change_type, delta): FOOTPRINT, HEIGHT and VOLUME of objects on both sides, NEW_FLOOR and
-    REMOVED_FLOOR of storeys (building, floor; a null building equals a null one) on one side only."""
+    REMOVED_FLOOR of storeys (building, floor; a null building equals a null one) on one side only, told by their first record."""
     a, b = indexed(approved), indexed(survey)
     both = a.alias("a").join(b.alias("b"), "id")
     sym = B.area("a") + B.area("b") - 2 * B.plan_overlap("a", "b")
@@ -30,7 +30,7 @@ def compare(approved: DataFrame, survey: DataFrame, tolerance: float = 0.01) ->
     # one pass over the join for all three kinds
     each = F.filter(F.array(*(F.when(c, F.struct(F.lit(k).alias("change_type"), d.alias("delta"))) for k, d, c in kinds)), lambda x: x.isNotNull())
     pairs = both.select(F.col("id").alias("object_id"), F.inline(each))
-    storey = lambda d: d.where("floor_number is not null").groupBy("building_id", "floor_number").agg(F.min("id").alias("object_id"))
+    storey = lambda d: d.where("floor_number is not null").groupBy("building_id", "floor_number").agg(F.min_by("id", F.struct("seq", "id")).alias("object_id"))
     s, t = storey(a).alias("s"), storey(b).alias("t")
     same = F.col("s.building_id").eqNullSafe(F.col("t.building_id")) & (F.col("s.floor_number") == F.col("t.floor_number"))
     one = lambda d, kind: d.select("object_id", F.lit(kind).alias("change_type"), F.lit(0.0).alias("delta"))

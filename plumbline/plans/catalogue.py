@@ -213,7 +213,7 @@ query("generation_totals", f"SELECT status, count(*) AS n, sum({area_sql()}) AS
 _SYM = f"({area_sql('a.')} + {area_sql('b.')} - 2 * {_PLAN})"
 _VOLA, _VOLB = f"{area_sql('a.')} * (a.z_max - a.z_min)", f"{area_sql('b.')} * (b.z_max - b.z_min)"
 _BOTH = "FROM properties a JOIN survey b ON a.id = b.id"
-_ST = "SELECT building_id, floor_number, min(id) AS object_id FROM {0} GROUP BY 1, 2"
+_ST = "SELECT building_id, floor_number, min_by(id, seq) AS object_id FROM {0} GROUP BY 1, 2"
 _CHANGES = f"""SELECT a.id AS object_id, 'FOOTPRINT' AS change_type, {_SYM} AS delta {_BOTH} WHERE {_SYM} > 0.01 OR abs({area_sql("b.")} - {area_sql("a.")}) > 0.01
  UNION ALL SELECT a.id, 'HEIGHT', (b.z_max - b.z_min) - (a.z_max - a.z_min) {_BOTH} WHERE abs((b.z_max - b.z_min) - (a.z_max - a.z_min)) > 0.01
  UNION ALL SELECT a.id, 'VOLUME', {_VOLB} - {_VOLA} {_BOTH} WHERE abs({_VOLB} - {_VOLA}) > 0.01
