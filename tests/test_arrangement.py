@@ -160,3 +160,11 @@ def test_more_keys_than_a_block(spark):
     """Whole keys are traced together, however the rows come in batches."""
     df = spark.range(30_000).select(F.col("id").cast("string").alias("key"), F.expr("array(array(struct(0d AS x, 0d AS y), struct(4d AS x, 0d AS y), struct(4d AS x, 4d AS y), struct(0d AS x, 4d AS y), struct(0d AS x, 0d AS y)))").alias("plate"), F.expr("array(array(struct(1d AS x, 0d AS y), struct(1d AS x, 4d AS y)))").alias("walls"))
     assert A.faces(df).groupBy("face", F.round("area", 6).alias("area")).count().orderBy("face").collect() == [(1, 12.0, 30_000), (2, 4.0, 30_000)]
+
+
+def test_nothing_is_shuffled(spark):
+    """An arrangement is a column of its row; joins on its edges filled the disks."""
+    df = frame(spark, random_pairs(2, 3))
+    for out in (A.overlay_areas(df), A.overlay(df, "symmetric"), A.faces(df, "a", "b")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
