@@ -15,7 +15,6 @@ from plumbline.functions import identifiers as I
 
 from . import arrangement as A
 from .spatial_join import grid_pairs
-from .store import written
 
 LEAST_UNIT, AREA_TOLERANCE = 2.0, 0.02
 UNASSIGNED, MAPPED, REVIEW = "UNASSIGNED", "MAPPED", "HUMAN REVIEW REQUIRED"
@@ -36,35 +35,28 @@ def parent_parcels(buildings: DataFrame, parcels: DataFrame, cell: float = 100.0
     )
 
 
-def regions(floors: DataFrame, least: float = LEAST_UNIT) -> DataFrame:
-    """floor_id, k (from 1), shape, area, scope, reasons (of the split): floors (id, plate as a shape, walls, units) divided. units and walls may be null."""
-    f = written(floors.select("id", "plate", F.coalesce("walls", F.array().cast(A.SHAPE)).alias("walls"), F.coalesce("units", F.array().cast(A.SHAPE)).alias("units")))
-    whole = A.overlay_areas(f.select(F.col("id").alias("key"), F.col("plate").alias("a"), F.lit(None).cast(A.SHAPE).alias("b"))).select(F.col("key").alias("id"), F.col("area_a").alias("plate_area")).where("plate_area > 0")
-    f = written(f.join(whole, "id"))
-    # outlines, clipped to the plate
-    each = f.select("id", F.posexplode("units").alias("k", "unit"), "plate").withColumn("key", F.concat_ws("|", F.col("k").cast("string"), "id"))
-    pair = each.select("key", F.array("unit").alias("a"), F.col("plate").alias("b"))
-    clip = A.overlay(pair, "intersection").where(F.col("area") >= least).select("key", "shape", "area")
-    full = A.overlay_areas(pair).select("key", F.col("area_a").alias("unit_area"))
-    u = each.select("id", "k", "key").join(full, "key", "left").join(clip, "key", "left")
-    u = written(u.withColumn("reason", F.when(F.col("area").isNull(), "UNIT_OUTSIDE_FLOOR").when(F.col("area") < F.col("unit_area") - least, "UNIT_CLIPPED")))
-    said = u.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("k", "reason")))), lambda x: x["reason"]).alias("outline_reasons"), F.count("area").alias("units_kept"))
-    # walls, where no outline is left
-    rest = f.join(said.where("units_kept > 0").select("id"), "id", "left_anti").where("size(walls) > 0")
-    parts = A.faces(rest.select(F.col("id").alias("key"), "plate", "walls"))
-    parts = written(parts.select(F.col("key").alias("id"), F.col("face").alias("k"), "shape", "area"))
-    n = parts.groupBy("id").agg(F.count(F.lit(1)).alias("faces"))
-    split = parts.join(n.where("faces > 1").select("id"), "id", "left_semi").where(F.col("area") >= least)
-    of_units = u.where("area is not null").select("id", "k", "shape", "area").unionByName(split)
-    order = F.transform(F.array_sort(F.collect_list(F.struct("k", "area", "shape"))), lambda x: F.struct(x["shape"].alias("shape"), x["area"].alias("area")))
-    got = f.select("id", "plate", "plate_area", "walls").join(of_units.groupBy("id").agg(order.alias("parts")), "id", "left").join(said, "id", "left").join(n, "id", "left")
+def regions(floors: DataFrame, *carried: str, least: float = LEAST_UNIT) -> DataFrame:
+    """floor_id, k (from 1), shape, area, scope, reasons (of the split) and the carried columns: floors (id, plate as a shape, walls, units) divided. units and
+    walls may be null. All of a storey is in its row, so nothing is shuffled."""
+    none = F.array().cast(A.SHAPE)
+    f = floors.select("id", *carried, "plate", F.coalesce("walls", none).alias("walls"), F.coalesce("units", none).alias("units"))
+    f = f.withColumn("plate_area", A.shape_areas(F.col("plate"), F.lit(None).cast(A.SHAPE))["area_a"]).where("plate_area > 0")
+    # outlines, clipped to the plate; walls, where no outline is left
+    f = f.withColumn("clips", A.shape_clips(F.col("units"), F.col("plate"))).withColumn("kept", F.filter("clips", lambda c: c["area"] >= least))
+    walled = (F.size("kept") == 0) & (F.size("walls") > 0)
+    f = f.withColumn("faces", A.shape_faces(F.when(walled, F.col("plate")), F.when(walled, F.col("walls"))))
+    part = lambda x: F.struct(x["shape"].alias("shape"), x["area"].alias("area"))
+    split = F.when(F.size("faces") > 1, F.filter("faces", lambda x: x["area"] >= least))
+    parts = F.when(F.size("kept") > 0, F.transform("kept", part)).otherwise(F.transform(split, part))
+    f = f.withColumn("parts", F.when(F.size(parts) > 0, parts))
+    said = F.array_compact(F.transform("clips", lambda c: F.when(F.coalesce(c["area"], F.lit(0.0)) < least, "UNIT_OUTSIDE_FLOOR").when(c["area"] < c["own"] - least, "UNIT_CLIPPED")))
     divided = F.col("parts").isNotNull()
     off = F.abs(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["area"]) - F.col("plate_area")) / F.col("plate_area") > AREA_TOLERANCE
-    idle = ~divided & (F.size("walls") > 0) & (F.coalesce("faces", F.lit(0)) <= 1)
-    reasons = F.concat(F.coalesce("outline_reasons", F.array().cast("array<string>")), F.array_compact(F.array(F.when(idle, "WALLS_PRODUCED_NO_DIVISION"), F.when(divided & off, "AREA_MISMATCH"))))
+    idle = ~divided & (F.size("walls") > 0) & (F.size("faces") <= 1)
+    reasons = F.concat(said, F.array_compact(F.array(F.when(idle, "WALLS_PRODUCED_NO_DIVISION"), F.when(divided & off, "AREA_MISMATCH"))))
     one = F.array(F.struct(F.col("plate").alias("shape"), F.col("plate_area").alias("area")))
-    out = got.select(F.col("id").alias("floor_id"), F.when(divided, "UNIT").otherwise("FLOOR").alias("scope"), reasons.alias("reasons"), F.posexplode(F.coalesce("parts", one)).alias("k", "p"))
-    return out.select("floor_id", (F.col("k") + 1).alias("k"), "p.shape", "p.area", "scope", "reasons")
+    out = f.select(F.col("id").alias("floor_id"), *carried, F.when(divided, "UNIT").otherwise("FLOOR").alias("scope"), reasons.alias("reasons"), F.posexplode(F.coalesce("parts", one)).alias("k", "p"))
+    return out.select("floor_id", *carried, (F.col("k") + 1).alias("k"), "p.shape", "p.area", "scope", "reasons")
 
 
 def assign_building(building: Column, fallback: Column) -> Column:
@@ -79,10 +71,9 @@ def assign_floor(number: Column, fallback: Column | None = None) -> Column:
 def generate(buildings: DataFrame, floors: DataFrame, parcels: DataFrame, datum: float | None = None) -> DataFrame:
     """Volumes. buildings: id, ref (see ``identifiers.building_ref``), source_id, seq, x0..y1. floors: id, building_id, floor_number, z_min, z_max, plate, walls,
     units, labels (of the plan, may be null). Storeys without plan area, height or a building give none."""
-    r = regions(floors)
-    f = floors.select(F.col("id").alias("floor_id"), "building_id", assign_floor(F.col("floor_number")).alias("floor_number"), "z_min", "z_max", "labels")
     b = buildings.select(F.col("id").alias("building_id"), "ref", "source_id").join(parent_parcels(buildings, parcels).withColumnRenamed("id", "building_id"), "building_id")
-    v = r.join(f, "floor_id").join(b, "building_id").where("z_max > z_min")
+    f = floors.where("z_max > z_min").withColumn("floor_number", assign_floor(F.col("floor_number"))).join(b, "building_id")
+    v = regions(f, "building_id", "floor_number", "z_min", "z_max", "labels", "ref", "source_id", "parcel_id", "match", "reason")
     planned = F.get("labels", F.col("k") - 1)
     unit = F.col("scope") == "UNIT"
     label = F.coalesce(planned, F.when(unit, F.concat(F.lit("U"), I.two_digits(F.col("k")))))
