@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import crs as C
 
-from .spatial_join import keyed, levels_in
+from .spatial_join import keyed, levels_in, sides
 from .store import tagged
 
 
@@ -77,8 +77,8 @@ def has_footprint(*candidates: Column) -> Column:
 def points_in(points: DataFrame, boxes: DataFrame, margin: float = 1.0, cell: float = 100.0) -> DataFrame:
     """(point columns, box_id) of the points in each box widened by the margin: an equi-join on the cells of the boxes' own grid levels."""
     b = keyed(boxes.select(F.col("id").alias("box_id"), "x0", "y0", "x1", "y1"), cell, F.array().cast("array<int>"), margin).drop("gl")
-    size = cell * F.pow(F.lit(2.0), F.col("gk"))
-    p = points.withColumn("gk", F.explode(levels_in(boxes, cell, margin))).withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
+    w, h = sides(cell, F.col("gk"))
+    p = points.withColumn("gk", F.explode(levels_in(boxes, cell, margin))).withColumns({"gx": F.floor(F.col("x") / w), "gy": F.floor(F.col("y") / h)})
     inside = F.col("x").between(F.col("x0") - margin, F.col("x1") + margin) & F.col("y").between(F.col("y0") - margin, F.col("y1") + margin)
     return p.join(b, ["gk", "gx", "gy"]).where(inside).drop("gk", "gx", "gy", "x0", "y0", "x1", "y1")
 

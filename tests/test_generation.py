@@ -139,5 +139,5 @@ def test_two_writers(spark, tmp_path):
 def test_regions_shuffle_nothing(spark):
     sq = "array(array(struct(0d AS x, 0d AS y), struct(9d AS x, 0d AS y), struct(9d AS x, 9d AS y), struct(0d AS x, 9d AS y), struct(0d AS x, 0d AS y)))"
     df = spark.sql(f"SELECT 'f' AS id, {sq} AS plate, {sq} AS walls, {sq} AS units")
-    plan = generation.regions(df)._jdf.queryExecution().executedPlan().toString()
+    plan = G.regions(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
