@@ -75,9 +75,9 @@ def type_by_fields(**has: Column) -> Column:
     return F.when(there("floor_number", "unit_label"), "PROPERTY_VOLUME").when(there("parcel_id", "floor_count"), "BUILDING").when(there("parcel_id", "geometry"), "PARCEL").when(there("type"), "INFRASTRUCTURE").otherwise("PROPERTY_VOLUME")
 
 
-def event_id(prefix: str, at: Column, *parts: Column) -> Column:
-    """{prefix}-{UTC microseconds}-{eight hex digits of the parts}: ids sort by time, and a retried task gives the same."""
-    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMddHHmmssSSSSSS"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8))
+def event_id(prefix: str, at: Column, *parts: Column, digits: int = 8) -> Column:
+    """{prefix}-{UTC microseconds}-{so many hex digits of the parts}: ids sort by time, and a retried task gives the same."""
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMMddHHmmssSSSSSS"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, digits))
 
 
 def iso(at: Column) -> Column:

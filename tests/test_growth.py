@@ -15,3 +15,12 @@ def test_long_boxes_live_on_flat_cells(spark):
     cells = spatial_join.keyed(small, 100.0, spatial_join.levels_in(long, 100.0)).where("gk <> gl").groupBy("gk", "gx", "gy").count()
     assert cells.agg(F.max("count")).first()[0] == 1
     assert [r.id for r in spatial_join.grid_pairs(small, long, 100.0).select("a.id").collect()] == ["b0"]
+
+
+def test_stored_ids_are_long(spark):
+    """Forty bits met among millions of changes; all ids of a comparison that are stored have 128."""
+    ch = spark.sql("SELECT 'V-1' AS object_id, 'B-1' AS building_id, 1 AS floor_number, 'S' AS source_id, 'HEIGHT' AS change_type, 1e0 AS delta")
+    out = findings.persisted(ch, F.lit("2026-01-01 10:00:00").cast("timestamp"), "me")
+    for name, col in (("changes", "id"), ("changes", "finding_id"), ("issues", "id"), ("audit", "id"), ("cases", "case_id"), ("cases", "issue_id")):
+        assert len(out[name].first()[col].rsplit("-", 1)[1]) == 32, (name, col)
+    assert out["issues"].first().id == out["changes"].first().finding_id
