@@ -24,3 +24,11 @@ def test_stored_ids_are_long(spark):
     for name, col in (("changes", "id"), ("changes", "finding_id"), ("issues", "id"), ("audit", "id"), ("cases", "case_id"), ("cases", "issue_id")):
         assert len(out[name].first()[col].rsplit("-", 1)[1]) == 32, (name, col)
     assert out["issues"].first().id == out["changes"].first().finding_id
+
+
+def test_kept_collections_are_derived_once(spark):
+    c = cadastre.Cadastre.load(spark, SMALL)
+    n = c.properties.count()
+    plan = c.kept("properties").properties._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert c.properties.count() == n
