@@ -19,8 +19,12 @@ def indexed(side: DataFrame) -> DataFrame:
 def compare(approved: DataFrame, survey: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """(object_id, change_type, delta): FOOTPRINT, HEIGHT and VOLUME of objects on both sides, NEW_FLOOR and
     REMOVED_FLOOR of storeys (building, floor; a null building equals a null one) on one side only, told by their first record."""
-    a, b = indexed(approved), indexed(survey)
-    both = a.alias("a").join(b.alias("b"), "id")
+    # both sides in one grouping by id, whose rows serve objects and storeys alike; an id without a record on a side has a null there
+    tagged = approved.select("id", "seq", *COLUMNS[1:], F.lit(0).alias("side")).unionByName(survey.select("id", "seq", *COLUMNS[1:], F.lit(1).alias("side")))
+    last = lambda k: F.max_by(F.struct(*COLUMNS[1:]), F.when(F.col("side") == k, F.col("seq"))).alias("ab"[k])
+    first = lambda k: F.min(F.when(F.col("side") == k, F.col("seq"))).alias(f"{'ab'[k]}_seq")
+    each_id = tagged.groupBy("id").agg(last(0), last(1), F.struct(first(0), first(1)).alias("seqs"))
+    both = each_id.where("id is not null and seqs.a_seq is not null and seqs.b_seq is not null")
     sym = B.area("a") + B.area("b") - 2 * B.plan_overlap("a", "b")
     kinds = [
         ("FOOTPRINT", sym, (sym > tolerance) | (F.abs(B.area("b") - B.area("a")) > tolerance)),
@@ -30,11 +34,13 @@ def compare(approved: DataFrame, survey: DataFrame, tolerance: float = 0.01) ->
     # one pass over the join for all three kinds
     each = F.filter(F.array(*(F.when(c, F.struct(F.lit(k).alias("change_type"), d.alias("delta"))) for k, d, c in kinds)), lambda x: x.isNotNull())
     pairs = both.select(F.col("id").alias("object_id"), F.inline(each))
-    storey = lambda d: d.where("floor_number is not null").groupBy("building_id", "floor_number").agg(F.min_by("id", F.struct("seq", "id")).alias("object_id"))
-    s, t = storey(a).alias("s"), storey(b).alias("t")
-    same = F.col("s.building_id").eqNullSafe(F.col("t.building_id")) & (F.col("s.floor_number") == F.col("t.floor_number"))
-    one = lambda d, kind: d.select("object_id", F.lit(kind).alias("change_type"), F.lit(0.0).alias("delta"))
-    return pairs.unionAll(one(t.join(s, same, "left_anti"), "NEW_FLOOR")).unionAll(one(s.join(t, same, "left_anti"), "REMOVED_FLOOR"))
+    told = lambda k: F.when(F.col(f"seqs.{k}_seq").isNotNull() & F.col(f"{k}.floor_number").isNotNull(), F.struct(F.lit(k).alias("side"), F.col(f"{k}.building_id").alias("building_id"), F.col(f"{k}.floor_number").alias("floor_number"), F.col(f"seqs.{k}_seq").alias("seq")))
+    here = each_id.select("id", F.inline(F.array_compact(F.array(told("a"), told("b")))))
+    least = lambda k: F.min(F.when(F.col("side") == k, F.struct("seq", "id"))).alias(k)
+    storeys = here.groupBy("building_id", "floor_number").agg(least("a"), least("b")).where("a is null or b is null")
+    new = F.col("a").isNull()
+    one = storeys.select(F.coalesce("a.id", "b.id").alias("object_id"), F.when(new, "NEW_FLOOR").otherwise("REMOVED_FLOOR").alias("change_type"), F.lit(0.0).alias("delta"))
+    return pairs.unionAll(one)
 
 
 def agreement(a, b):

@@ -32,3 +32,11 @@ def test_kept_collections_are_derived_once(spark):
     plan = c.kept("properties").properties._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
     assert c.properties.count() == n
+
+
+def test_a_comparison_groups_both_sides_once(spark):
+    c = cadastre.Cadastre.load(spark, SMALL).kept("properties")
+    from plumbline.operators import changes
+
+    plan = changes.compare(c.properties, c.survey)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
