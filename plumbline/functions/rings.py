@@ -1,9 +1,10 @@
-"""General rings: ARRAY<STRUCT<x, y>>, closed. Measures and validity are higher-order functions inside the JVM."""
+"""General rings: ARRAY<STRUCT<x, y>>, closed. Measures and most of validity are higher-order functions inside the JVM; edges that cross are found in NumPy."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,22 +59,13 @@ def from_geojson(text: Column) -> Column:
 
 def crosses_itself(ring: Column) -> Column:
     """Whether two edges of a closed ring cross or overlap other than at a shared end."""
-    n = F.size(ring) - 1
-    e = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(i.alias("i"), F.get(ring, i).alias("p"), F.get(ring, i + 1).alias("q")))
-    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-    dot = lambda a, b, c: (b["x"] - a["x"]) * (c["x"] - a["x"]) + (b["y"] - a["y"]) * (c["y"] - a["y"])
-
-    def meet(f: Column, g: Column) -> Column:
-        t = [turn(f["p"], f["q"], g["p"]), turn(f["p"], f["q"], g["q"]), turn(g["p"], g["q"], f["p"]), turn(g["p"], g["q"], f["q"])]
-        near = (g["i"] == f["i"] + 1) | ((f["i"] == 0) & (g["i"] == n - 1))
-        long = dot(f["p"], f["q"], f["q"])
-        lo, hi = F.least(dot(f["p"], f["q"], g["p"]), dot(f["p"], f["q"], g["q"])), F.greatest(dot(f["p"], f["q"], g["p"]), dot(f["p"], f["q"], g["q"]))
-        shared = F.least(long, hi) - F.greatest(F.lit(0.0), lo)  # of two on one line
-        in_line = (t[0] == 0) & (t[1] == 0) & (long > 0)
-        apart = (t[0] * t[1] <= 0) & (t[2] * t[3] <= 0)
-        return F.when(in_line, F.when(near, shared > 1e-12 * long).otherwise(shared >= 0)).otherwise(~near & apart)
-
-    return F.exists(e, lambda f: F.exists(e, lambda g: (f["i"] < g["i"]) & meet(f, g)))
+
+    def run(ring: pa.Array) -> pa.Array:
+        from plumbline.operators.planar import crossed
+
+        return crossed(ring)
+
+    return F.arrow_udf(run, "boolean").asNondeterministic()(ring)  # so that a filter on it doesn't compute it twice
 
 
 def validity(ring: Column) -> Column:

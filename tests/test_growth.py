@@ -40,3 +40,25 @@ def test_a_comparison_groups_both_sides_once(spark):
 
     plan = changes.compare(c.properties, c.survey)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_crossings_of_many_rings_at_once(spark):
+    """By Arrow batches, as the pair by pair version has them; higher-order functions took minutes a million."""
+    import random
+
+    import numpy as np
+
+    from plumbline.functions import rings as R
+
+    r = random.Random(4)
+    rows = []
+    for k in range(300):
+        p = [(float(r.randint(0, 6)), float(r.randint(0, 6))) for _ in range(r.randint(3, 7))]
+        rows.append((k, [*p, p[0]]))
+    got = spark.createDataFrame(rows + [(300, None)], f"k int, ring {R.RING}").select("k", R.crosses_itself(F.col("ring")).alias("c"), R.validity(F.col("ring")).alias("v"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    out = {x.k: x for x in got.collect()}
+    assert out[300].v == "too few points"
+    simple = [(k, p) for k, p in rows if all(a != b for a, b in zip(p, p[1:]))]
+    assert all(out[k].c == R.proper_crossings(np.array(p)) for k, p in simple)
+    assert 0 < sum(out[k].c for k, _ in simple) < len(simple)
