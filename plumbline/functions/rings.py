@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,10 +168,15 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def intersection_area(a, b) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([overlap_area(_xy(x)[:-1], _xy(y)[:-1]) for x, y in zip(a, b)])
+    """Area that two simple closed rings share; 0 for null ones."""
 
-    return F.pandas_udf(run, "double")(a, b)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        from plumbline.operators.planar import areas
+
+        one = lambda r: pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32)), r)
+        return pc.fill_null(areas(one(a), one(b), 6).flatten()[2], 0.0)
+
+    return F.arrow_udf(run, "double").asNondeterministic()(a, b)
 
 
 def simplify(p: np.ndarray, tolerance: float) -> np.ndarray:

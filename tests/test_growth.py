@@ -62,3 +62,11 @@ def test_crossings_of_many_rings_at_once(spark):
     simple = [(k, p) for k, p in rows if all(a != b for a, b in zip(p, p[1:]))]
     assert all(out[k].c == R.proper_crossings(np.array(p)) for k, p in simple)
     assert 0 < sum(out[k].c for k, _ in simple) < len(simple)
+
+
+def test_shared_area_of_many_rings_at_once(spark):
+    from plumbline.functions import rings as R
+
+    ring = lambda x, y: f"array(struct({x} AS x, 0d AS y), struct({x} + 4d AS x, 0d AS y), struct({x} + 4d AS x, {y} AS y), struct({x} AS x, {y} AS y), struct({x} AS x, 0d AS y))"
+    df = spark.range(20).select("id", F.expr(ring("0d", "3d")).alias("a"), F.expr(f"CASE WHEN id < 9 THEN {ring('CAST(id AS DOUBLE)', '2d')} END").alias("b")).select("id", R.intersection_area(F.col("a"), F.col("b")).alias("s"))
+    assert {r.id: r.s for r in df.collect()} == {k: 2.0 * max(0, 4 - k) if k < 9 else 0.0 for k in range(20)}
