@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +18,61 @@ PARTS = f"array<{R.RING}>"
 BOXES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 
 
-def _strips(box: np.ndarray) -> list[list[float]]:
-    """The union of boxes as boxes that share no area: a sweep over their x coordinates."""
-    box = np.unique(box[(box[:, 2] > box[:, 0]) & (box[:, 3] > box[:, 1])], axis=0)
-    out: list[list[float]] = []
-    xs = np.unique(box[:, [0, 2]])
-    for a, b in zip(xs, xs[1:]):
-        own = box[(box[:, 0] < b) & (box[:, 2] > a)]
-        top = None
-        for y0, y1 in own[np.argsort(own[:, 1], kind="stable")][:, [1, 3]]:
-            if top is None or y0 > top:
-                out.append([a, y0, b, y1])
-                top = y1
-            elif y1 > top:
-                out[-1][3] = top = y1
-    return out
+def _edges(group: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each group's different x coordinates in order (group, x), and where every box begins and ends among them."""
+    g, x = np.concatenate([group, group]), np.concatenate([x0, x1])
+    order = np.lexsort((x, g))
+    g, x = g[order], x[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])] if x.size else np.zeros(0, bool)
+    at = np.empty(x.size, np.int64)
+    at[order] = np.cumsum(new) - 1
+    return g[new], x[new], at[: x0.size], at[x0.size :]
+
+
+def strips(boxes: pa.ListArray, most: int = 1 << 21) -> pa.ListArray:
+    """Of each list of boxes their union as boxes that share no area: a sweep over the x coordinates, for all lists of a batch at once. Memory
+    goes by the batch and ``most`` pairs of a strip and a box."""
+    n = len(boxes)
+    counts = pc.fill_null(pc.list_value_length(boxes), 0).to_numpy(zero_copy_only=False)
+    flat = boxes.flatten()
+    x0, y0, x1, y1 = (pc.fill_null(pc.struct_field(flat, k), np.nan).to_numpy(zero_copy_only=False) for k in ("x0", "y0", "x1", "y1"))
+    group = np.repeat(np.arange(n), counts)
+    own = np.flatnonzero((x1 > x0) & (y1 > y0))
+    own = own[np.lexsort((y0[own], group[own]))]
+    x0, y0, x1, y1, group = x0[own], y0[own], x1[own], y1[own], group[own]
+    eg, ex, lo, hi = _edges(group, x0, x1)
+    tops, rank = np.unique(y1, return_inverse=True)
+    crowd = np.cumsum(np.cumsum(np.bincount(lo, minlength=ex.size) - np.bincount(hi, minlength=ex.size)))  # pairs up to each edge
+    out, s0 = [], 0
+    while s0 < ex.size:
+        s1 = max(s0 + 1, int(np.searchsorted(crowd, (crowd[s0 - 1] if s0 else 0) + most, "right")))
+        some = np.flatnonzero((lo < s1) & (hi > s0))
+        a, b = np.maximum(lo[some], s0), np.minimum(hi[some], s1)
+        box = np.repeat(some, b - a)
+        at = np.repeat(a, b - a) + np.arange(box.size) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+        order = np.argsort(at, kind="stable")  # by strip, and within it by y0
+        at, box = at[order], box[order]
+        top = np.maximum.accumulate(at * tops.size + rank[box])
+        new = np.ones(at.size, bool)
+        new[1:] = (at[1:] != at[:-1]) | (y0[box[1:]] > tops[top[:-1] % max(1, tops.size)])
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], at.size][: first.size] - 1
+        out.append((at[first], y0[box[first]], tops[top[last] % max(1, tops.size)]))
+        s0 = s1
+    at, low, high = (np.concatenate([np.zeros(0, t), *(o[k] for o in out)]) for k, t in enumerate((np.int64, float, float)))
+    ends = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(eg[at], minlength=n)[:n], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in (ex[at], low, ex[np.minimum(at + 1, max(0, ex.size - 1))], high)], ["x0", "y0", "x1", "y1"]))
 
 
 def dissolve(df: DataFrame, *by: str) -> DataFrame:
     """The union of each group's boxes as boxes that share no area: by, x0, y0, x1, y1. A group is what one storey or building holds."""
 
-    def run(groups: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), map(float, r))) for r in _strips(np.array([(b["x0"], b["y0"], b["x1"], b["y1"]) for b in g], float).reshape(-1, 4))] for g in groups], dtype=object)
+    def run(boxes: pa.Array) -> pa.Array:
+        return strips(boxes)
 
-    boxes = df.groupBy(*by).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
-    return boxes.select(*by, F.inline(F.pandas_udf(run, BOXES)("boxes")))
+    boxes = df.groupBy(*by).agg(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("boxes"))
+    return boxes.select(*by, F.arrow_udf(run, BOXES)("boxes").alias("boxes")).select(*by, F.inline("boxes"))
 
 
 def shared_area(a: Column, b: Column) -> Column:
