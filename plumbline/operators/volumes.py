@@ -28,12 +28,16 @@ def split_by_walls(floors: DataFrame, walls: DataFrame, least: float = 2.0) -> D
     storey undivided. Without walls the storey is one unit of scope FLOOR."""
     cuts = walls.groupBy("floor_id").agg(F.collect_set("x").alias("xs"))
     f = floors.join(cuts.withColumnRenamed("floor_id", "id"), "id", "left")
-    inner = F.filter(F.coalesce("xs", F.array().cast("array<double>")), lambda x: (x > F.col("x0")) & (x < F.col("x1")))
+    inner = F.filter("xs", lambda x: (x > F.col("x0")) & (x < F.col("x1")))
     at = F.array_sort(F.concat(F.array("x0"), inner, F.array("x1")))
-    faces = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    # a generator between two steps, so that each is computed once a row; storeys without walls need none of them
+    f = f.withColumn("at", F.explode(F.array(F.when(F.col("xs").isNotNull(), at))))
+    faces = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     good = F.filter(faces, lambda s: (s["b"] - s["a"]) * (F.col("y1") - F.col("y0")) >= least)
-    use = F.when(F.size(good) > 1, good).otherwise(F.array(F.struct(F.col("x0").alias("a"), F.col("x1").alias("b"))))
-    u = f.withColumn("scope", F.when(F.size(good) > 1, "UNIT").otherwise("FLOOR")).select("*", F.posexplode(use).alias("k", "s"))
+    f = f.withColumn("good", F.explode(F.array(F.when(F.col("at").isNotNull(), good))))
+    divided = F.coalesce(F.size("good") > 1, F.lit(False))
+    use = F.when(divided, F.col("good")).otherwise(F.array(F.struct(F.col("x0").alias("a"), F.col("x1").alias("b"))))
+    u = f.withColumn("scope", F.when(divided, "UNIT").otherwise("FLOOR")).select("*", F.posexplode(use).alias("k", "s"))
     out = u.withColumns({"x0": F.col("s.a"), "x1": F.col("s.b")})
     key = I.volume_key(F.col("building_id"), F.col("floor_number"), F.when(F.col("scope") == "UNIT", F.concat(F.lit("U"), (F.col("k") + 1).cast("string"))))
     return out.select(key.alias("key"), F.col("id").alias("floor_id"), "scope", "x0", "y0", "x1", "y1", "z_min", "z_max", B.area().alias("area_m2"), B.measured_volume().alias("volume_m3")).where("volume_m3 > 0")
