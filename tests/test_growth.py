@@ -101,3 +101,16 @@ def test_walls_are_looked_at_once_a_storey(spark):
     out = volumes.split_by_walls(floors, walls)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
     assert sorted((r.key, r.scope, r.x0, r.x1) for r in out.collect()) == [("B-1-F01", "FLOOR", 0.0, 60.0), ("B-1-F02-U1", "UNIT", 0.0, 10.0), ("B-1-F02-U2", "UNIT", 10.0, 30.0), ("B-1-F02-U3", "UNIT", 30.0, 60.0)]
+
+
+def test_a_walk_writes_its_rounds_once(spark):
+    """As tables; an eager checkpoint computes its rows twice. Stages that aren't asked for and cycles change nothing."""
+    from plumbline.operators import history
+
+    links = spark.createDataFrame([("a", None, "S"), ("b", "a", "T"), ("b", "a", "T"), ("c", "b", "U"), ("c", "b", "odd"), ("d", "e", None), ("e", "d", "T")], "object_id string, parent_id string, stage string")
+    seeds = spark.createDataFrame([("c",), ("d",)], "object_id string")
+    got = history.walk(links, seeds, True)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") >= 2
+    assert sorted(map(tuple, got.collect())) == [("c", "a", 2), ("c", "b", 1), ("c", "c", 0), ("d", "d", 0), ("d", "e", 1)]
+    rows = sorted(map(tuple, history.lineage(links, seeds, ["S", "T", "U", "V"]).collect()))
+    assert rows == [("c", 2, "S,T,U", "V", True), ("d", 1, "T", "S,U,V", False)]
