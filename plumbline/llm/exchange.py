@@ -12,6 +12,7 @@ Chunk numbers derive from the scan's partition and the order in it, so a retried
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterator
 
@@ -103,6 +104,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
         yield base + n, pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Gives back to the system what a worker has freed: it is kept for the next stages, beside whose workers it would count."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
@@ -159,6 +168,8 @@ def by_bucket(sent: DataFrame, buckets: int, answer: Callable[[int, list[bytes]]
         for k in sorted(held):
             own = sorted(held.pop(k), key=lambda r: r[0])
             yield from batched((c, k, x) for (c, _), x in zip(own, answer(k, [x for _, x in own])))
+            del own
+            release()
 
     where = F.when(F.col("bucket") < 0, F.pmod(F.hash("chunk"), F.lit(buckets))).otherwise(F.pmod("bucket", F.lit(buckets)))
     return sent.repartitionById(buckets, where.cast("int")).mapInArrow(run, SCHEMA)

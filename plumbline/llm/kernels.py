@@ -125,7 +125,7 @@ def ranged(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range; ranges are in order and don't overlap."""
     out = np.empty(starts.size, np.uint64)
-    i, most = 0, 4 * BLOCK
+    i, most = 0, BLOCK
     while i < starts.size:
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
         a, b = int(starts[i]), int(ends[j - 1])

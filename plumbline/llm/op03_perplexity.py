@@ -43,8 +43,13 @@ _CHUNK = 7 << 19
 _PIECES = 16
 
 
-def base_counts(data: np.ndarray, offs: np.ndarray, window: int = 8) -> list[np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each document."""
+def base_counts(data: np.ndarray, offs: np.ndarray, window: int = 8, most: int = 1 << 19) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each document; ``most`` bytes of documents at a time."""
+    each = [_base_counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window) for i, j in K.slices(offs, most)]
+    return [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*each)] if each else [np.zeros(0, np.int64)] * 5
+
+
+def _base_counts(data: np.ndarray, offs: np.ndarray, window: int) -> list[np.ndarray]:
     table = K.word_table("space")
     s, e, wo = K.split_words(data, offs, table)
     first = (data & 0xC0) != 0x80
@@ -86,10 +91,10 @@ class Chunk:
         s, e, wo = K.split_words(data, offs, K.word_table("space"))
         t, o = W.tokens(K.hash_spans(data, s, e), wo, self.lang_keys[self.lang] if lang else np.zeros(0, np.uint64), K.mix)
         self.words, index = np.unique(t, return_inverse=True)
-        at = np.flatnonzero(np.ones(t.size, bool))
-        last = np.zeros(t.size, bool)
-        last[o[1:][np.diff(o) > 0] - 1] = True
-        at = at[~last]
+        del s, e
+        inner = np.ones(t.size, bool)
+        inner[o[1:][np.diff(o) > 0] - 1] = False
+        at = np.flatnonzero(inner)
         key = K.mix(t[at] * np.uint64(3) + K.mix(t[at + 1])) >> np.uint64(64 - bits) if at.size else np.zeros(0, np.uint64)
         self.keys, first, pair = np.unique(key, return_index=True, return_inverse=True)
         self.count = np.bincount(pair, minlength=self.keys.size)
@@ -172,6 +177,8 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
                 x = Chunk(*K.text_buffer(t.column("text")), t.column("lang").to_pylist(), bits)
                 yield c, -1, b""  # every chunk is there, without words too
                 yield from _deal(c, x.keys, bits, n, x.count)
+                del x, t
+                X.release()
 
         yield from X.batched(made())
 
@@ -199,7 +206,10 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            yield from _pieces(c, X.fields(K.pack(data.tobytes()), K.pack(np.diff(offs)), sink.getvalue().to_pybytes()))
+            blob = X.fields(K.pack(data.tobytes()), K.pack(np.diff(offs)), sink.getvalue().to_pybytes())
+            del t, data, offs, head, sink
+            yield from _pieces(c, blob)
+            X.release()
 
     def gathered(answers: DataFrame):
         """The answers back in the partitions of the scan that asked, in its order of chunks."""
@@ -210,6 +220,7 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
                 if c != now and now is not None:
                     yield from _pieces(now, X.fields(*got))
                     got = []
+                    X.release()
                 now = c
                 if k != -1:
                     got.append(bytes(x))
@@ -242,7 +253,10 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
             _, (keys, *cols) = _knowledge(x, total)
             yield c, -1, b""
             yield c, -2, _planes(total >> 1)
+            del x, t, got, total
             yield from _deal(c, keys >> np.uint64(64 - bits), bits, n, *cols)
+            del keys, cols
+            X.release()
 
     def end(rows):
         for _, t, (total, *got) in chunks(rows):
@@ -255,6 +269,8 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
             doc, pair, times = x.by_document()
             score = W.log_likelihoods(doc, x.v[pair], x.w[pair], times, total[pair], words, x.lang, langs)
             ppl = np.where(x.n_tokens > 0, -score / np.maximum(x.n_tokens, 1), 0.0)
+            del t, got, known, words, langs, doc, pair, times, total
+            X.release()
             yield from zip(head.column(0).to_pylist(), head.column(1).to_pylist(), *(v.tolist() for v in base_counts(data, offs)), x.n_tokens.tolist(), ppl.tolist())
 
     text = src.rdd.mapPartitions(texts)

@@ -201,3 +201,25 @@ def test_empty_null_and_clashing(spark, op):
     for c in ("evidence", "host", "path", "id", "x", "p_toxic", "n_words", "mid", "dev", "digest", "y"):
         df = df.withColumn(c, F.lit("z"))
     assert sorted(r.doc_id for r in op(spark, df).collect()) == [1, 2, 2, 3]
+
+
+def test_base_counts_by_slices():
+    """Counts are the same however few documents are looked at at once, and a slice's memory is small."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.llm import kernels as K
+    from plumbline.llm.op03_perplexity import base_counts
+
+    texts = ["a b c d e f g h\n" * 3, "", "x # é\nx # é\n\n", None, "one two", " \n\t"] * 5
+    data, offs = K.text_buffer(pa.array(texts, pa.string()))
+    for most in (1, 40):
+        assert all((a == b).all() for a, b in zip(base_counts(data, offs), base_counts(data, offs, most=most)))
+    data, offs = K.text_buffer(pa.array(["some words of a text, again and again\n" * 25] * 4000))
+    tracemalloc.start()
+    base_counts(data, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * data.size and np.diff(offs).max() < 1000
