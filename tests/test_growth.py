@@ -114,3 +114,16 @@ def test_a_walk_writes_its_rounds_once(spark):
     assert sorted(map(tuple, got.collect())) == [("c", "a", 2), ("c", "b", 1), ("c", "c", 0), ("d", "d", 0), ("d", "e", 1)]
     rows = sorted(map(tuple, history.lineage(links, seeds, ["S", "T", "U", "V"]).collect()))
     assert rows == [("c", 2, "S,T,U", "V", True), ("d", 1, "T", "S,U,V", False)]
+
+
+def test_a_task_s_share_is_small(spark):
+    """Two megabytes of a table for each shuffle partition, which adaptive execution doesn't join into larger ones as the table grows."""
+    n = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(n)
+    try:
+        df = cadastre.dealt(spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet"))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        assert int(spark.conf.get(n)) >= size / (2 << 20)
+        assert all(int(spark.conf.get(k)) == 16 << 20 for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"))
+    finally:
+        spark.conf.set(n, was)
