@@ -127,3 +127,21 @@ def test_a_task_s_share_is_small(spark):
         assert all(int(spark.conf.get(k)) == 16 << 20 for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"))
     finally:
         spark.conf.set(n, was)
+
+
+def test_pairs_of_a_class_are_dealt(spark):
+    """One class fills more than one task, and no pair is lost or doubled."""
+    box = "0e0 AS x0, 0e0 AS y0, 1e0 AS x1, 1e0 AS y1"
+    many = spark.range(200).selectExpr("concat('v', id) AS id", "id * 50 AS seq", *box.split(", "))
+    few = spark.range(7).selectExpr("concat('i', id) AS id", "id * 50 AS seq", *box.split(", "))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = spatial_join.class_pairs(many, few, F.col("seq") % 50)
+        parts = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(parts) > 1 and sum(r["count"] for r in parts) == 1400
+        assert out.select("a.id", F.col("b.id").alias("b_id")).distinct().count() == 1400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
