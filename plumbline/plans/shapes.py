@@ -181,14 +181,20 @@ def _ground_sql() -> str:
     return ", ".join(out)
 
 
+def rounded(value: str) -> Column:
+    """To six digits as the SQL does it, on the number itself and away from zero; Spark's round takes its shortest decimal form."""
+    x = F.col(value) * 1e6
+    return F.when(x == 0, x).when(x < 0, -F.round(-x)).otherwise(F.round(x)) / 1e6
+
+
 _LAST = len(pointcloud.THRESHOLDS)
 query("ground_classify", f"SELECT id, round(ground, 6) AS ground_z, round(z - ground, 6) AS height, is_ground FROM m{_LAST} JOIN g{_LAST} USING (ix, iy)", "points")(
-    lambda c: pointcloud.classify(c.points).select("id", F.round("ground_z", 6).alias("ground_z"), F.round("height", 6).alias("height"), "is_ground")
+    lambda c: pointcloud.classify(c.points).select("id", rounded("ground_z").alias("ground_z"), rounded("height").alias("height"), "is_ground")
 )
 ORACLES["ground_classify"] = ORACLES["ground_classify"].replace("\nSELECT id, round", f", {_ground_sql()}\nSELECT id, round", 1)
 _ASKED = "SELECT id, (x0 + x1) / 50 AS x, (y0 + y1) / 50 AS y FROM buildings"
 query("ground_lookup", f"SELECT b.id, round(coalesce(avg(g.ground), (SELECT quantile_cont(ground, 0.5) FROM g{_LAST})), 6) AS ground_z FROM ({_ASKED}) b LEFT JOIN g{_LAST} g ON g.ix BETWEEN floor(b.x) - 1 AND floor(b.x) + 1 AND g.iy BETWEEN floor(b.y) - 1 AND floor(b.y) + 1 GROUP BY 1", "points", "buildings")(
-    lambda c: pointcloud.ground_at(c.spark.sql(_ASKED.replace("FROM buildings", "FROM {b}"), b=c.buildings), pointcloud.fitted(c.points)[0]).select("id", F.round("ground_z", 6).alias("ground_z"))
+    lambda c: pointcloud.ground_at(c.spark.sql(_ASKED.replace("FROM buildings", "FROM {b}"), b=c.buildings), pointcloud.fitted(c.points)[0]).select("id", rounded("ground_z").alias("ground_z"))
 )
 ORACLES["ground_lookup"] = ORACLES["ground_lookup"].replace("\nSELECT b.id", f", {_ground_sql()}\nSELECT b.id", 1)
 
