@@ -252,12 +252,23 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
             total = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, got)])
             _, (keys, *cols) = _knowledge(x, total)
             yield c, -1, b""
-            yield c, -2, _planes(total >> 1)
             del x, t, got, total
             yield from _deal(c, keys >> np.uint64(64 - bits), bits, n, *cols)
             del keys, cols
             X.release()
 
+    def totals(rows):
+        """The pairs' counts again, for the scores; straight to their chunks, with no text beside them."""
+        got = []
+        for c, _, x in rows:
+            got.append(x)
+            if len(got) == _PIECES:
+                total = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, X.unfields(b"".join(got)))])
+                yield c, -2, _planes(total >> 1)
+                del total
+                got = []
+                X.release()
+
     def end(rows):
         for _, t, (total, *got) in chunks(rows):
             data, offs, head, x = opened(t)
@@ -276,7 +287,8 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
     text = src.rdd.mapPartitions(texts)
     counts = gathered(X.by_bucket(src.mapInArrow(pairs, X.SCHEMA), n, lambda _, b: _add_up(b)))
     asked = spark.createDataFrame(text.zip(counts).mapPartitions(look), X.SCHEMA, verifySchema=False)
-    sums = gathered(X.by_bucket(asked, n, lambda _, b: _sums(b)))
+    kept = spark.createDataFrame(counts.mapPartitions(totals), X.SCHEMA, verifySchema=False)
+    sums = gathered(X.by_bucket(asked, n, lambda _, b: _sums(b)).unionAll(kept))
     return spark.createDataFrame(text.zip(sums).mapPartitions(end), _ROWS, verifySchema=False)
 
 

@@ -223,3 +223,13 @@ def test_base_counts_by_slices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 12 * data.size and np.diff(offs).max() < 1000
+
+
+def test_totals_are_not_sent_by_the_buckets(spark, monkeypatch):
+    """The pairs' counts go straight to the chunks that score: what is sent to the buckets holds no more than that a chunk is there."""
+    from plumbline.llm import op03_perplexity as O
+
+    sent, by_bucket = [], O.X.by_bucket
+    monkeypatch.setattr(O.X, "by_bucket", lambda df, *a: sent.append(df) or by_bucket(df, *a))
+    assert quality_rules(frame(spark, awkward(4))).count() == len(awkward(4))
+    assert len(sent) == 2 and all(r.bucket >= 0 or not r.n for df in sent for r in df.selectExpr("bucket", "length(blob) n").collect())
