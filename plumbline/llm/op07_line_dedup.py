@@ -1,6 +1,7 @@
 """Operator 7, fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line's set is its character shingles: at each word start the next ``width`` characters (fewer at the end), and in
+A line's set is its character shingles, with ``every`` the ``width`` characters from each position (the whole line if it has
+fewer). Without it, they are fewer: at each word start the next ``width`` characters (fewer at the end), and in
 a word longer than that each run of ``width`` characters of it, so that every character is in a shingle. They are
 32-bit hashes; chance meetings of two such bands are thrown out by the verification.
 1. Equal lines collapse to their first occurrence (least document, then line number).
@@ -37,7 +38,10 @@ def _pattern(width: int) -> str:
     return rf"(?s)(?=([^ \t].{{0,{width - 1}}}))(?:[^ \t](?=[^ \t]{{{width}}})|[^ \t]+)"
 
 
-def _shingles(width: int) -> str:
+def _shingles(width: int, every: bool) -> str:
+    if every:  # characters of four bytes are found without a walk from the line's start
+        starts = f"sequence(0, greatest(0, cast(octet_length(u) div 4 as int) - {width}))"
+        return f"transform(array(encode(line, 'UTF-32')), u -> transform({starts}, i -> hash(substr(u, 4 * i + 1, {4 * width}))))[0]"
     return rf"transform(regexp_extract_all(line, '{_pattern(width)}', 1), x -> hash(x))".replace("\\t", "\\\\t")
 
 
@@ -85,12 +89,12 @@ def _crowd_pairs(crowd: DataFrame, sets: DataFrame, threshold: int, block: int =
     return written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.label").alias("p"), F.col("y.label").alias("q")).distinct())
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 24, bands: int = 5, threshold: int = 75) -> DataFrame:
+def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 24, bands: int = 5, threshold: int = 75, every: bool = False) -> DataFrame:
     """(doc_id, line_no, keep_doc, keep_line) of every line that repeats an earlier one, exactly or nearly."""
     lines = lines_of(docs, id_col, text_col)
     two = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
     at = F.struct("doc_id", "line_no").alias("at")
-    sets = lines.select(*two, at, F.expr(f"array_distinct({_shingles(width)})").alias("a"))
+    sets = lines.select(*two, at, F.expr(f"array_distinct({_shingles(width, every)})").alias("a"))
     sig = F.struct(F.size("a").alias("size"), F.expr(f"slice(sort_array(a), 1, {bands})").alias("low")).alias("sig")
     first = sets.select("h", "g", "at", sig).groupBy("h", "g").agg(F.min("at").alias("at"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
     first = written(first.select(F.xxhash64("at.doc_id", "at.line_no").alias("id"), "h", "g", "at", "sig.size", "sig.low", "n"))
@@ -113,7 +117,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # whole sets of the lines in pairs and crowds only
     need = written(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).unionAll(crowd.select("id")).distinct())
     own = lines.select(F.xxhash64("doc_id", "line_no").alias("id"), "line").join(need, "id", "left_semi")
-    sets = written(own.select("id", F.expr(f"array_distinct({_shingles(width)})").alias("s")).dropDuplicates(["id"]))
+    sets = written(own.select("id", F.expr(f"array_distinct({_shingles(width, every)})").alias("s")).dropDuplicates(["id"]))
     comp = components(_near(pairs, sets, threshold).select("a", "b"))
     label = lambda df, c, key: df.join(c.withColumnsRenamed({"node": key, "label": "l_"}), key, "left").withColumn("label", F.coalesce("l_", key)).drop("l_")
     named = label(first.select("id", "h", "g", "n", "at"), comp, "id")

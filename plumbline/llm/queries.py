@@ -55,7 +55,7 @@ def op6_suffix_dedup(spark, sf_dir):
 def op7_line_dedup(spark, sf_dir):
     """One row per document with a line: its lines, how many go, and which."""
     docs = _docs(spark, sf_dir)
-    gone = near_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+    gone = near_lines(docs, every=True).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
     all_lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     return all_lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.expr("array()").cast("array<int>")).alias("removed_lines"))
 
