@@ -77,6 +77,53 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(K.unpack(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
 
 
+def _apart(x: np.ndarray) -> bytes:
+    """As ``_planes``, but each plane by itself: low bytes of keys are noise, and high ones are coded better without them."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = np.flatnonzero(planes.any(1)).max(initial=0) + 1
+    return X.fields(*(K.pack(p) for p in planes[:used]))
+
+
+def _unapart(b: bytes) -> np.ndarray:
+    planes = [K.unpack(p, np.uint8) for p in X.unfields(b)]
+    out = np.zeros((planes[0].size, 8), np.uint8)
+    for k, p in enumerate(planes):
+        out[:, k] = p
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def _counts(x: np.ndarray) -> bytes:
+    """Counts from 1 on, most of them 1: a bit for each, and those of 2 and more."""
+    return X.fields(len(x).to_bytes(8, "little"), K.pack(np.packbits(x > 1)), _planes(x[x > 1] - 2))
+
+
+def _uncounts(b: bytes) -> np.ndarray:
+    n, more, rest = X.unfields(b)
+    out = np.unpackbits(K.unpack(more, np.uint8), count=int.from_bytes(n, "little")).astype(np.int64) + 1
+    out[out > 1] += _unplanes(rest)
+    return out
+
+
+def _columns(cols: list[np.ndarray]) -> list[bytes]:
+    """Five columns of words, each in the order of those before it, and the last less the three before: rare words leave little."""
+    rest = cols[4] - cols[1] - cols[2] - cols[3]
+    cols = [*cols[:4], rest << 1 ^ rest >> 63]
+    return [_planes(x[np.lexsort(cols[:k][::-1])] if k else x) for k, x in enumerate(cols)]
+
+
+def _uncolumns(blobs: list[bytes]) -> list[np.ndarray]:
+    cols = []
+    for b in blobs:
+        x = _unplanes(b)
+        if cols:
+            back = np.empty_like(x)
+            back[np.lexsort(cols[::-1])] = x
+            x = back
+        cols.append(x)
+    rest = cols[4] >> 1 ^ -(cols[4] & 1)
+    return [*cols[:4], rest + cols[1] + cols[2] + cols[3]]
+
+
 def _lang_keys(langs: list[str]) -> np.ndarray:
     data, offs = K.text_buffer(pa.array(langs, pa.string()))
     return K.mix(np.concatenate([K.hash_spans(data[a:b], np.array([0]), np.array([b - a])) if b > a else np.ones(1, np.uint64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])) if langs else np.zeros(0, np.uint64)
@@ -91,11 +138,13 @@ class Chunk:
         s, e, wo = K.split_words(data, offs, K.word_table("space"))
         t, o = W.tokens(K.hash_spans(data, s, e), wo, self.lang_keys[self.lang] if lang else np.zeros(0, np.uint64), K.mix)
         self.words, index = np.unique(t, return_inverse=True)
+        index = index.astype(np.int32)
         del s, e
         inner = np.ones(t.size, bool)
         inner[o[1:][np.diff(o) > 0] - 1] = False
         at = np.flatnonzero(inner)
         key = K.mix(t[at] * np.uint64(3) + K.mix(t[at + 1])) >> np.uint64(64 - bits) if at.size else np.zeros(0, np.uint64)
+        del t, inner
         self.keys, first, pair = np.unique(key, return_index=True, return_inverse=True)
         self.count = np.bincount(pair, minlength=self.keys.size)
         self.v, self.w = index[at[first]], index[at[first] + 1]
@@ -117,36 +166,38 @@ def _deal(chunk: int, keys: np.ndarray, bits: int, n: int, *columns: np.ndarray)
     bucket = X.bucket_of(keys << np.uint64(64 - bits), n)
     ids, first = np.unique(bucket, return_index=True)
     for b, i, j in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), keys.size]):
-        yield chunk, b, X.fields(_planes(np.diff(keys[i:j], prepend=np.uint64(0))), *(_planes(c[i:j]) for c in columns))
+        yield chunk, b, X.fields(_apart(np.diff(keys[i:j], prepend=np.uint64(0))), *(_columns([c[i:j] for c in columns]) if len(columns) > 1 else [_counts(columns[0][i:j])]))
 
 
 def _add_up(blobs: list[bytes]) -> list[bytes]:
-    """Of pairs: twice their count in the corpus, and 1 more for the first chunk that has it."""
+    """Of pairs: twice their count in the rest of the corpus, and 1 more for the first chunk that has it."""
     got = [X.unfields(b) for b in blobs]
-    keys = [np.cumsum(_unplanes(k).astype(np.uint64), dtype=np.uint64) for k, _ in got]
+    keys = [np.cumsum(_unapart(k), dtype=np.uint64) for k, _ in got]
+    own = np.concatenate([_uncounts(c) for _, c in got])
     x = np.concatenate(keys)
     order = np.argsort(x, kind="stable")
     new = np.r_[True, x[order][1:] != x[order][:-1]]
     group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=np.concatenate([_unplanes(c) for _, c in got])[order]).astype(np.int64)
+    total = np.bincount(group, weights=own[order]).astype(np.int64)
     out = np.empty(x.size, np.int64)
-    out[order] = 2 * total[group] + new
+    out[order] = 2 * (total[group] - own[order]) + new
     return [_planes(y) for y in np.split(out, np.cumsum([k.size for k in keys])[:-1])]
 
 
 def _sums(blobs: list[bytes]) -> list[bytes]:
     """Of words and languages: the sums of all columns."""
     got = [X.unfields(b) for b in blobs]
-    keys = [np.cumsum(_unplanes(g[0]).astype(np.uint64), dtype=np.uint64) for g in got]
+    keys = [np.cumsum(_unapart(g[0]), dtype=np.uint64) for g in got]
+    told = [np.concatenate(c) for c in zip(*(_uncolumns(g[1:]) for g in got))]
     _, group = np.unique(np.concatenate(keys), return_inverse=True)
-    cols = [np.bincount(group, weights=np.concatenate([_unplanes(g[i]) for g in got])).astype(np.int64)[group] for i in range(1, 6)]
+    cols = [np.bincount(group, weights=c).astype(np.int64)[group] for c in told]
     cuts = np.cumsum([k.size for k in keys])[:-1]
-    return [X.fields(*(_planes(c) for c in row)) for row in zip(*(np.split(c, cuts) for c in cols))]
+    return [X.fields(*_columns(row)) for row in zip(*(np.split(c, cuts) for c in cols))]
 
 
 def _knowledge(c: Chunk, answer: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ascending keys of the chunk's words and languages, and five columns of what it adds to each."""
-    total, mine = answer >> 1, (answer & 1) > 0
+    total, mine = (answer >> 1) + c.count, (answer & 1) > 0
     m, k = c.words.size, c.lang_keys.size
     by = lambda at, n, which, weights=None: np.bincount(at[which], weights=None if weights is None else weights[which], minlength=n).astype(np.int64)
     every = np.ones(total.size, bool)
@@ -249,10 +300,10 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
     def look(rows):
         for c, t, got in chunks(rows):
             *_, x = opened(t)
-            total = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, got)])
-            _, (keys, *cols) = _knowledge(x, total)
+            answer = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, got)])
+            _, (keys, *cols) = _knowledge(x, answer)
             yield c, -1, b""
-            del x, t, got, total
+            del x, t, got, answer
             yield from _deal(c, keys >> np.uint64(64 - bits), bits, n, *cols)
             del keys, cols
             X.release()
@@ -263,19 +314,19 @@ def scored(src: DataFrame, n: int, bits: int) -> DataFrame:
         for c, _, x in rows:
             got.append(x)
             if len(got) == _PIECES:
-                total = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, X.unfields(b"".join(got)))])
-                yield c, -2, _planes(total >> 1)
-                del total
+                answer = np.concatenate([np.zeros(0, np.int64), *map(_unplanes, X.unfields(b"".join(got)))])
+                yield c, -2, _planes(answer >> 1)
+                del answer
                 got = []
                 X.release()
 
     def end(rows):
         for _, t, (total, *got) in chunks(rows):
             data, offs, head, x = opened(t)
-            total = _unplanes(total)
+            total = _unplanes(total) + x.count
             order = np.argsort(np.concatenate([x.words, x.lang_keys]), kind="stable")
             known = np.empty((order.size, 5), np.int64)
-            known[order] = np.stack([np.concatenate([_unplanes(y) for y in col]) for col in zip(*map(X.unfields, got))], 1) if got else 0
+            known[order] = np.stack([np.concatenate(col) for col in zip(*(_uncolumns(X.unfields(b)) for b in got))], 1) if got else 0
             words, langs = known[: x.words.size], known[x.words.size :]
             doc, pair, times = x.by_document()
             score = W.log_likelihoods(doc, x.v[pair], x.w[pair], times, total[pair], words, x.lang, langs)
