@@ -11,9 +11,9 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+", "")
 
 
-def ulpin(prefix: str, parent: Column, unit: Column) -> Column:
-    """VC-{prefix}-{parent}-{unit or LAND}; an empty parent is dropped."""
-    part = lambda c: F.nullif(slug(c), F.lit(""))
+def ulpin(prefix: str, parent: Column, unit: Column, slugged: bool = False) -> Column:
+    """VC-{prefix}-{parent}-{unit or LAND}; an empty parent is dropped. Parts that are slugs already can be given as such."""
+    part = lambda c: F.nullif(c if slugged else slug(c), F.lit(""))
     return F.concat_ws("-", F.lit("VC"), F.lit(prefix), part(parent), F.coalesce(part(unit), F.lit("LAND")))
 
 

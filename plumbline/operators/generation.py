@@ -35,28 +35,24 @@ def parent_parcels(buildings: DataFrame, parcels: DataFrame, cell: float = 100.0
     )
 
 
-def regions(floors: DataFrame, *carried: str, least: float = LEAST_UNIT) -> DataFrame:
-    """floor_id, k (from 1), shape, area, scope, reasons (of the split) and the carried columns: floors (id, plate as a shape, walls, units) divided. units and
-    walls may be null. All of a storey is in its row, so nothing is shuffled."""
-    none = F.array().cast(A.SHAPE)
-    f = floors.select("id", *carried, "plate", F.coalesce("walls", none).alias("walls"), F.coalesce("units", none).alias("units"))
-    f = f.withColumn("plate_area", A.shape_areas(F.col("plate"), F.lit(None).cast(A.SHAPE))["area_a"]).where("plate_area > 0")
+def regions(floors: DataFrame, *carried: str, least: float = LEAST_UNIT, shapes: bool = True) -> DataFrame:
+    """floor_id, k (from 1), shape (if wanted), area, scope, reasons (of the split) and the carried columns: floors (id, plate as a shape, walls, units) divided.
+    units and walls may be null. All of a storey is in its row, so nothing is shuffled, and its plan goes to a worker once."""
+    f = floors.select("id", *carried, "plate", F.size(F.coalesce("walls", F.array())).alias("walls"), A.shape_units(F.col("plate"), F.col("walls"), F.col("units"), least, shapes=shapes).alias("r"))
+    f = f.select("id", *carried, *(["plate"] if shapes else []), "walls", "r.*").where("plate_area > 0")
     # outlines, clipped to the plate; walls, where no outline is left
-    f = f.withColumn("clips", A.shape_clips(F.col("units"), F.col("plate"))).withColumn("kept", F.filter("clips", lambda c: c["area"] >= least))
-    walled = (F.size("kept") == 0) & (F.size("walls") > 0)
-    f = f.withColumn("faces", A.shape_faces(F.when(walled, F.col("plate")), F.when(walled, F.col("walls"))))
-    part = lambda x: F.struct(x["shape"].alias("shape"), x["area"].alias("area"))
+    f = f.withColumn("kept", F.filter("clips", lambda c: c["area"] >= least))
+    part = lambda x: F.struct(*([x["shape"].alias("shape")] if shapes else []), x["area"].alias("area"))
     split = F.when(F.size("faces") > 1, F.filter("faces", lambda x: x["area"] >= least))
-    parts = F.when(F.size("kept") > 0, F.transform("kept", part)).otherwise(F.transform(split, part))
-    f = f.withColumn("parts", F.when(F.size(parts) > 0, parts))
+    f = f.withColumn("parts", F.when(F.size("kept") > 0, F.transform("kept", part)).otherwise(split)).withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")))
     said = F.array_compact(F.transform("clips", lambda c: F.when(F.coalesce(c["area"], F.lit(0.0)) < least, "UNIT_OUTSIDE_FLOOR").when(c["area"] < c["own"] - least, "UNIT_CLIPPED")))
     divided = F.col("parts").isNotNull()
     off = F.abs(F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["area"]) - F.col("plate_area")) / F.col("plate_area") > AREA_TOLERANCE
-    idle = ~divided & (F.size("walls") > 0) & (F.size("faces") <= 1)
+    idle = ~divided & (F.col("walls") > 0) & (F.size("faces") <= 1)
     reasons = F.concat(said, F.array_compact(F.array(F.when(idle, "WALLS_PRODUCED_NO_DIVISION"), F.when(divided & off, "AREA_MISMATCH"))))
-    one = F.array(F.struct(F.col("plate").alias("shape"), F.col("plate_area").alias("area")))
+    one = F.array(F.struct(*([F.col("plate").alias("shape")] if shapes else []), F.col("plate_area").alias("area")))
     out = f.select(F.col("id").alias("floor_id"), *carried, F.when(divided, "UNIT").otherwise("FLOOR").alias("scope"), reasons.alias("reasons"), F.posexplode(F.coalesce("parts", one)).alias("k", "p"))
-    return out.select("floor_id", *carried, (F.col("k") + 1).alias("k"), "p.shape", "p.area", "scope", "reasons")
+    return out.select("floor_id", *carried, (F.col("k") + 1).alias("k"), "p.*", "scope", "reasons")
 
 
 def assign_building(building: Column, fallback: Column) -> Column:
@@ -68,12 +64,15 @@ def assign_floor(number: Column, fallback: Column | None = None) -> Column:
     return F.coalesce(number, *([] if fallback is None else [fallback]), F.lit(1)).cast("int")
 
 
-def generate(buildings: DataFrame, floors: DataFrame, parcels: DataFrame, datum: float | None = None) -> DataFrame:
+def generate(buildings: DataFrame, floors: DataFrame, parcels: DataFrame, datum: float | None = None, shapes: bool = True) -> DataFrame:
     """Volumes. buildings: id, ref (see ``identifiers.building_ref``), source_id, seq, x0..y1. floors: id, building_id, floor_number, z_min, z_max, plate, walls,
-    units, labels (of the plan, may be null). Storeys without plan area, height or a building give none."""
+    units, labels (of the plan, may be null). Storeys without plan area, height or a building give none. A caller that needs neither shape nor geometry_hash
+    spares the workers to send the outlines (``shapes=False``)."""
     b = buildings.select(F.col("id").alias("building_id"), "ref", "source_id").join(parent_parcels(buildings, parcels).withColumnRenamed("id", "building_id"), "building_id")
+    b = b.withColumn("parent_slug", I.slug(F.coalesce("parcel_id", F.lit(UNASSIGNED))))
     f = floors.where("z_max > z_min").withColumn("floor_number", assign_floor(F.col("floor_number"))).join(b, "building_id")
-    v = regions(f, "building_id", "floor_number", "z_min", "z_max", "labels", "ref", "source_id", "parcel_id", "match", "reason")
+    f = f.withColumn("floor_slug", I.slug(I.volume_key(F.col("ref"), F.col("floor_number"), F.lit(None).cast("string"))))
+    v = regions(f, "building_id", "floor_number", "z_min", "z_max", "labels", "ref", "source_id", "parcel_id", "match", "reason", "parent_slug", "floor_slug", shapes=shapes)
     planned = F.get("labels", F.col("k") - 1)
     unit = F.col("scope") == "UNIT"
     label = F.coalesce(planned, F.when(unit, F.concat(F.lit("U"), I.two_digits(F.col("k")))))
@@ -85,10 +84,14 @@ def generate(buildings: DataFrame, floors: DataFrame, parcels: DataFrame, datum:
     h = F.col("z_max") - F.col("z_min")
     mm = F.array_join(F.flatten(F.transform("shape", lambda q: F.transform(q, lambda p: F.concat_ws(",", F.round(p["x"] * 1000).cast("long").cast("string"), F.round(p["y"] * 1000).cast("long").cast("string"))))), ",")
     out = v.withColumns({"key": key, "review_reasons": reasons, "parent": F.coalesce("parcel_id", F.lit(UNASSIGNED))})
+    # the key's slug from those of its parts: a building's, a storey's and a plan's labels are many volumes'
+    synthesised = F.coalesce(F.when(planned.isNotNull(), I.slug(planned)), F.col("label"))
+    out = out.withColumn("slug", F.concat("floor_slug", F.when(F.col("label").isNotNull(), F.concat("floor_slug", synthesised)).otherwise("")))
+    drawn = ["shape", F.upper(F.substring(F.sha2(F.concat_ws(",", mm, F.round(F.col("z_min") * 1000).cast("long").cast("string"), F.round(F.col("z_max") * 1000).cast("long").cast("string")), 256), 1, 12)).alias("geometry_hash")] if shapes else []
     return out.select(
-        F.concat(F.lit("GPV-"), I.slug(F.col("key"))).alias("id"), "key", I.ulpin("VP", F.col("parent"), F.col("key")).alias("ulpin"), F.col("parent").alias("parent_parcel_id"), F.col("match").alias("parcel_match"), assign_building(F.col("building_id"), F.lit("")).alias("building_id"),
+        F.concat(F.lit("GPV-"), "slug").alias("id"), "key", I.ulpin("VP", F.col("parent_slug"), F.col("slug"), slugged=True).alias("ulpin"), F.col("parent").alias("parent_parcel_id"), F.col("match").alias("parcel_match"), assign_building(F.col("building_id"), F.lit("")).alias("building_id"),
         "source_id", "floor_id", "floor_number", I.floor_label(F.col("floor_number")).alias("floor_label"), "unit_label", "label_source", F.col("scope").alias("volume_scope"), kind.alias("property_type"), "vertical_position", F.round("z_min", 3).alias("z_min"), F.round("z_max", 3).alias("z_max"),
-        "shape", F.round("area", 2).alias("area_m2"), F.round(F.col("area") * h, 2).alias("volume_m3"), F.upper(F.substring(F.sha2(F.concat_ws(",", mm, F.round(F.col("z_min") * 1000).cast("long").cast("string"), F.round(F.col("z_max") * 1000).cast("long").cast("string")), 256), 1, 12)).alias("geometry_hash"),
+        *drawn[:1], F.round("area", 2).alias("area_m2"), F.round(F.col("area") * h, 2).alias("volume_m3"), *drawn[1:],
         F.when(F.size("review_reasons") > 0, REVIEW).otherwise(MAPPED).alias("status"), (F.size("review_reasons") > 0).alias("requires_human_review"), "review_reasons", F.lit(METHOD).alias("method"),
     )
 

@@ -49,7 +49,7 @@ PLATE_FACES = """SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(are
   FROM floors f CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)) AS t(k, r) WHERE k < 2 OR floor_number % 2 = 0) a) b"""
 
 query("plate_faces", f"SELECT id, CAST(face AS INTEGER) AS face, round(area, 3) AS area FROM ({PLATE_FACES}) q", "floors")(
-    lambda c: arrangement.faces(plates(c.floors.repartition("id")).withColumnRenamed("id", "key")).select(F.col("key").alias("id"), "face", F.round("area", 3).alias("area"))
+    lambda c: arrangement.faces(plates(c.floors.repartition("id")).withColumnRenamed("id", "key"), shapes=False).select(F.col("key").alias("id"), "face", F.round("area", 3).alias("area"))
 )
 
 # approved outlines with a court, and surveyed ones that are moved and lack a corner
@@ -83,8 +83,9 @@ def planned(floors: DataFrame) -> DataFrame:
 
 
 def generated(c) -> DataFrame:
+    """Volumes without their outlines, which no query here returns."""
     ref = I.building_ref(F.lit("DS-1"), F.col("seq"))
-    return generation.generate(c.buildings.select("id", ref.alias("ref"), F.lit("DS-1").alias("source_id"), "seq", "x0", "y0", "x1", "y1"), planned(c.floors), c.parcels, 4.0)
+    return generation.generate(c.buildings.select("id", ref.alias("ref"), F.lit("DS-1").alias("source_id"), "seq", "x0", "y0", "x1", "y1"), planned(c.floors), c.parcels, 4.0, shapes=False)
 
 
 _PARTS = f"""SELECT f.id, f.floor_number, f.building_id, f.z_min, f.z_max, k, area, scope, label, clipped FROM floors f JOIN (

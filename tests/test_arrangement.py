@@ -168,3 +168,49 @@ def test_nothing_is_shuffled(spark):
     for out in (A.overlay_areas(df), A.overlay(df, "symmetric"), A.faces(df, "a", "b")):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_rows_that_differ_by_place_are_worked_out_once(monkeypatch):
+    """A batch of towers has few kinds of storeys; a hash that joins different rows changes nothing."""
+    import pyarrow as pa
+
+    from plumbline.operators import planar
+
+    def ring(*points):
+        return [{"x": x, "y": y} for x, y in (*points, points[0])]
+
+    shape = lambda dx, w: [ring((dx, 5.0), (dx + w, 5.0), (dx + w, 9.0), (dx, 9.0))]
+    wall = lambda dx: [[{"x": dx + 2.5, "y": 5.0}, {"x": dx + 2.5, "y": 9.0}]]
+    rows = [(shape(100.0 * k, 6.0 + k % 2), wall(100.0 * k)) for k in range(20)] + [(shape(0.5, 6.0), None), (None, None), (shape(100.0, 6.0), wall(100.0))]
+    kind = pa.list_(pa.list_(planar.POINT))
+    a, b = pa.array([r for r, _ in rows], kind), pa.array([w for _, w in rows], kind)
+    seen, cut = [], planar.Arrangement._cut
+
+    def counted(self, *args):
+        seen.append(self.rows)
+        return cut(self, *args)
+
+    monkeypatch.setattr(planar.Arrangement, "_cut", counted)
+    got = planar.divided(a, b, 3, 0.05, 6).to_pylist()
+    assert seen == [4]
+    for k in range(20):
+        assert [f["area"] for f in got[k]] == [14.0 + 4 * (k % 2), 10.0]
+        assert min(p["x"] for f in got[k] for q in f["shape"] for p in q) == 100.0 * k
+    assert [f["area"] for f in got[20]] == [24.0] and got[20][0]["shape"][0][0]["x"] % 1 == 0.5 and got[21] == [] and got[22] == [got[0][0] | {"shape": [[{"x": p["x"] + 100.0, "y": p["y"]} for p in q] for q in got[0][0]["shape"]]}, got[22][1]]
+    monkeypatch.setattr(planar, "mixed", lambda v: v * 0)
+    assert planar.divided(a, b, 3, 0.05, 6).to_pylist() == got
+    assert planar.areas(a, a, 6).to_pylist()[20]["union"] == 24.0 and planar.divided(a[:0], b[:0], 3, 0.05, 6).to_pylist() == []
+
+
+def test_a_storey_s_plan_goes_to_a_worker_once(spark):
+    """One pass over plate, walls and outlines; without shapes the same areas, scopes and reasons."""
+    from plumbline.operators import generation
+    from plumbline.plans import shapes as P
+    from plumbline.sources.cadastre import Cadastre
+
+    c = Cadastre.load(spark, "/root/testdata/sf0.001")
+    whole, slim = (generation.regions(P.planned(c.floors), "floor_number", shapes=x) for x in (True, False))
+    for df in (whole, slim):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert slim.columns == [x for x in whole.columns if x != "shape"]
+    assert whole.drop("shape").exceptAll(slim).isEmpty() and slim.exceptAll(whole.drop("shape")).isEmpty()
