@@ -145,3 +145,19 @@ def test_pairs_of_a_class_are_dealt(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_copies_of_a_class_are_not_broadcast(spark):
+    """By the size of the few rows alone they would be; a million copies then stood in the driver. A share without rows gets none."""
+    box = "0e0 AS x0, 0e0 AS y0, 1e0 AS x1, 1e0 AS y1".split(", ")
+    many = spark.range(40).selectExpr("concat('v', id) AS id", "id * 50 AS seq", *box)
+    few = spark.range(30).selectExpr("concat('i', id) AS id", "id AS seq", *box)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = spatial_join.class_pairs(many, few, F.col("seq") % 50)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("\n")[1].count("ShuffledHashJoin") == 1 and "Generate" not in plan
+        assert sorted((r[0], r[1]) for r in out.select("a.id", "b.id").collect()) == sorted((f"v{k}", "i0") for k in range(40))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
