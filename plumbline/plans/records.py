@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import boxes as B
@@ -110,7 +111,7 @@ query(
     f"SELECT object_a, object_b, concat('Volumes ', object_a, ' and ', object_b, ' share ', CAST(CAST(round(measure, 1) AS DECIMAL(28,1)) AS VARCHAR), ' m3.') AS description, concat(p.building_id, ' / Floor ', p.floor_number) AS location FROM ({RULE_SQL['rule_property_overlap_global'][0]}) z JOIN properties p ON p.id = z.object_a",
     "properties",
 )(
-    lambda c: findings.located(findings.described(rules.run_rules(c.kept("properties"), "VERT-PROPERTY-OVERLAP")), c.properties).select("object_a", "object_b", "description", "location")
+    lambda c: findings.described(findings.located(rules.run_rules(c.kept("properties"), "VERT-PROPERTY-OVERLAP"), c.properties, geometry=False)).select("object_a", "object_b", "description", "location")
 )
 # all rules, all findings: what is said, by rule
 _MARKS = {"%0m": "CAST(CAST(round(measure, 0) AS DECIMAL(28,0)) AS VARCHAR)", "%p": "CAST(CAST(round(measure * 100, 0) AS DECIMAL(28,0)) AS VARCHAR)", "%2m": "CAST(CAST(round(measure, 2) AS DECIMAL(28,2)) AS VARCHAR)", "%m": "CAST(CAST(round(measure, 1) AS DECIMAL(28,1)) AS VARCHAR)", "%b": "object_b", "%a": "object_a"}
@@ -121,6 +122,12 @@ def _said(rule: str) -> str:
     return "concat(" + ", ".join(f"coalesce({_MARKS[p]}, '?')" if p in _MARKS else "'" + p.replace("'", "''") + "'" for p in parts if p) + ")"
 
 
+def _texts_of(rule: rules.Rule, found: DataFrame) -> list[tuple]:
+    """What is said by a rule, in one row, if it finds anything."""
+    n, *rest = findings.text_totals(found, findings.sentence(rule.rule_id))
+    return [(rule.rule_id, n, *rest)] if n else []
+
+
 _EACH = " UNION ALL ".join(
     f"SELECT '{r}' AS rule_id, {_said(r)} AS description, object_a FROM (SELECT CAST(object_a AS VARCHAR) AS object_a, CAST(object_b AS VARCHAR) AS object_b, CAST(measure AS DOUBLE) AS measure FROM ({RULE_SQL[f'rule_{q}'][0]}) z) y" for r, q in _OF_RULE.items()
 )
@@ -129,9 +136,7 @@ query(
     f"SELECT rule_id, count(*) AS n, count(DISTINCT description) AS texts, min(description) AS first_text, max(description) AS last_text, sum(strlen(description)) AS length FROM ({_EACH}) q GROUP BY 1",
     *sorted({v for q in _OF_RULE.values() for v in RULE_SQL[f"rule_{q}"][1]}),
 )(
-    # equal texts first, counted by hash; least and greatest ones of what is left
-    lambda c: findings.described(rules.run_rules(c.kept("properties"))).groupBy("rule_id", "description").agg(F.count(F.lit(1)).alias("k"))
-    .groupBy("rule_id").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("description").alias("first_text"), F.max("description").alias("last_text"), F.sum(F.octet_length("description") * F.col("k")).alias("length"))
+    lambda c: rules.summed_up(c.kept("properties"), _texts_of, "rule_id string, n long, texts long, first_text string, last_text string, length long")
 )
 _CH = "SELECT id AS object_id, building_id, floor_number, 'S' AS source_id, CASE WHEN seq % 2 = 0 THEN 'HEIGHT' ELSE 'NEW_FLOOR' END AS change_type, CAST(floor_number AS DOUBLE) AS delta FROM {properties}"
 _changes = lambda c: c.spark.sql(_CH, properties=c.properties)

@@ -161,3 +161,57 @@ def test_copies_of_a_class_are_not_broadcast(spark):
         assert sorted((r[0], r[1]) for r in out.select("a.id", "b.id").collect()) == sorted((f"v{k}", "i0") for k in range(40))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_texts_are_told_apart_by_hash_and_compared_if_it_repeats(spark, monkeypatch):
+    """Only hashes are shuffled; equal texts count once, and texts that a hash joins are still two."""
+    rows = spark.sql("SELECT * FROM VALUES ('b'), ('a'), ('a'), (NULL), ('cc'), ('d') AS v(t)")
+    assert findings.text_totals(rows, F.col("t")) == (6, 4, "a", "d", 6)
+    assert findings.text_totals(rows.where("t = 'x'"), F.col("t")) == (0, 0, None, None, None)
+    monkeypatch.setattr(findings, "hashed", lambda t: F.ascii(t) % 2)
+    assert findings.text_totals(rows, F.col("t")) == (6, 4, "a", "d", 6)
+
+
+def test_a_mark_within_an_id_stays(spark):
+    got = spark.sql("SELECT 'VERT-FLOOR-OVERLAP' AS rule_id, 'x' AS object_a, 'y%a' AS object_b, 2e0 AS measure UNION ALL SELECT 'OWN', 'z%b', NULL, NULL")
+    assert sorted(r.description for r in findings.described(got).collect()) == ["OWN: z%b.", "Storeys x and y%a share 2.0 m3."]
+
+
+def test_a_rule_s_shuffle_files_go_before_the_next(spark, monkeypatch):
+    """Rules run one after another, and none leaves shuffle files behind; the session's own setting comes back."""
+    import glob
+    import time
+    from types import SimpleNamespace
+
+    from plumbline.operators import rules, store
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirs() for f in glob.glob(f"{d.getPath()}/**/shuffle_*.data", recursive=True)}
+    there, seen = files(), []
+    wide = lambda cat: cat.properties.groupBy("id").agg(F.max("x").alias("m")).select(F.col("id").alias("object_a"), F.lit(None).cast("string").alias("object_b"), F.col("m").alias("measure"))
+    monkeypatch.setattr(rules, "RULES", {k: rules.Rule(k, "OWN", "INFO", wide) for k in ("ONE", "TWO")})
+
+    def total(r, found):
+        assert spark.conf.get(key) == "true"
+        for _ in range(50):  # they go in the background
+            if not files() - there:
+                break
+            time.sleep(0.1)
+        seen.append(len(files() - there))
+        return [(r.rule_id, len(found.collect()))]
+
+    was = spark.conf.get(key)
+    out = rules.summed_up(SimpleNamespace(properties=spark.range(500).selectExpr("concat('V', id) AS id", "1e0 * id AS x")), total, "rule_id string, n long")
+    assert [tuple(r) for r in out.collect()] == [("ONE", 500), ("TWO", 500)] and spark.conf.get(key) == was
+    assert seen == [0, 0]
+    store.written(spark.range(50).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(key) == was
+
+
+def test_locations_without_geometry_look_up_one_object(spark):
+    found = spark.sql("SELECT 'VERT-PROPERTY-OVERLAP' AS rule_id, 'a' AS object_a, 'b' AS object_b, 1e0 AS measure")
+    objects = spark.sql("SELECT 'a' AS id, 'B-1' AS building_id, 2 AS floor_number, 0e0 AS x0, 0e0 AS y0, 1e0 AS x1, 1e0 AS y1")
+    whole, slim = findings.located(found, objects), findings.located(found, objects, geometry=False)
+    assert slim.collect() == whole.drop("geometry").collect() and slim.first().location == "B-1 / Floor 2"
+    assert slim._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
